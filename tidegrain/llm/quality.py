@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .batches import crc_bucket, table
-from .stats import FEATURES, NAMES, document_stats, features, map_counts
+from .batches import crc_bucket, slices, table
+from .stats import NAMES, SLICE, count, document_stats, features, map_counts
 
 MAX_ROWS = 20_000
 BINS = 64
@@ -137,9 +137,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
     text = names.index("text")
 
     def run(batches):
-        from .batches import slices
-        from .stats import SLICE, count
-
         for part in slices(batches, column=text, limit=SLICE):
             s = forest.score(features(count(part.column(text))))
             yield part.filter(pa.array(s >= threshold))
@@ -151,6 +148,3 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = score(docs, learn(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", (crc_bucket() == 0).alias("held_out"), "score", "predicted")
-
-
-assert set(FEATURES) >= {"n_words"}

@@ -8,14 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op10_bpe
 from .mixing import OP8_SQL, op8_mixing
+from .quality import op1_quality
+from .rules import op7_rules
+from .secret_scan import op4_secrets
 from .token_counts import op2_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op2_token_counts": op2_token_counts,
+    "op4_secrets": op4_secrets,
+    "op7_rules": op7_rules,
     "op8_mixing": op8_mixing,
     "op10_bpe": op10_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_secrets": op4_secrets,
+    "op7_rules": op7_rules,
     "op8_mixing": OP8_SQL,
 }
