@@ -176,7 +176,7 @@ def exact_links(df: DataFrame, families: DataFrame, width: int, percent: int, id
     load = families.groupBy("component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("values"))
     blocks = load.select("component", F.greatest(F.ceil(F.col("n") / BLOCK_DOCS), F.ceil(F.col("values") / BLOCK_VALUES)).cast("int").alias("n_blocks"))
     placed = families.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int")).select("node", "component", "block", "n_blocks")
-    texts = df.select(df[id_col].alias("node"), df[text_col].cast("string").alias("text_")).dropDuplicates(["node"]) if False else df.select(df[id_col].alias("node"), df[text_col].cast("string").alias("text_"))
+    texts = df.select(df[id_col].alias("node"), df[text_col].cast("string").alias("text_"))
     joined = placed.join(texts, "node")
     kind = df.schema[id_col].dataType.simpleString()
 

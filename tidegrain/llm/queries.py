@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op10_bpe
+from .minhash import OP6_SQL, op6_near_duplicates
 from .mixing import OP8_SQL, op8_mixing
 from .quality import op1_quality
 from .rules import op7_rules
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_token_counts": op2_token_counts,
     "op4_secrets": op4_secrets,
+    "op6_near_duplicates": op6_near_duplicates,
     "op7_rules": op7_rules,
     "op8_mixing": op8_mixing,
     "op10_bpe": op10_bpe,
@@ -24,6 +26,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op4_secrets": op4_secrets,
+    "op6_near_duplicates": op6_near_duplicates,
     "op7_rules": op7_rules,
+    "op6_near_duplicates": OP6_SQL,
     "op8_mixing": OP8_SQL,
 }
