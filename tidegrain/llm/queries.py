@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ann import op9_nearest
 from .bpe import op10_bpe
 from .minhash import OP6_SQL, op6_near_duplicates
 from .mixing import OP8_SQL, op8_mixing
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_near_duplicates": op6_near_duplicates,
     "op7_rules": op7_rules,
     "op8_mixing": op8_mixing,
+    "op9_nearest": op9_nearest,
     "op10_bpe": op10_bpe,
 }
 
