@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .ann import op9_nearest
 from .bpe import op10_bpe
+from .licenses import op5_licenses
 from .minhash import OP6_SQL, op6_near_duplicates
 from .mixing import OP8_SQL, op8_mixing
 from .quality import op1_quality
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_token_counts": op2_token_counts,
     "op4_secrets": op4_secrets,
+    "op5_licenses": op5_licenses,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_rules": op7_rules,
     "op8_mixing": op8_mixing,
