@@ -12,6 +12,7 @@ from .licenses import op5_licenses
 from .minhash import OP6_SQL, op6_near_duplicates
 from .mixing import OP8_SQL, op8_mixing
 from .quality import op1_quality
+from .repeats import op3_repeats
 from .rules import op7_rules
 from .secret_scan import op4_secrets
 from .token_counts import op2_token_counts
@@ -19,6 +20,7 @@ from .token_counts import op2_token_counts
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_token_counts": op2_token_counts,
+    "op3_repeats": op3_repeats,
     "op4_secrets": op4_secrets,
     "op5_licenses": op5_licenses,
     "op6_near_duplicates": op6_near_duplicates,

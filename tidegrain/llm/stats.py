@@ -71,7 +71,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of ODD and of its inverse modulo 2**64, up to ``n``."""
-    return _powers(max(SLICE * 2, 1 << n.bit_length()))
+    return _powers(SLICE if n <= SLICE else 1 << n.bit_length())
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
