@@ -1 +1,6 @@
-"""Part of the planning library; see README.md."""
+"""The registered queries, each a plan over the given tables, with its SQL twin where SQL can express it."""
+
+from . import clean_queries  # noqa: F401
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
