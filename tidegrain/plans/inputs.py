@@ -22,13 +22,13 @@ def sales_lines(spark: SparkSession, sf: str) -> DataFrame:
         .join(nation, F.col("s_nationkey") == nation["n_nationkey"])
         .join(item, li["l_partkey"] == item["p_partkey"])
         .withColumn("store_key", F.concat(F.lit("S"), F.col("n_regionkey").cast("string")))
-        .withColumnRenamed("p_brand", "product_key")
+        .withColumnRenamed("p_type", "product_key")
     )
 
 
 part(
     "sales_lines",
-    """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_returnflag, l_shipdate::DATE AS date, 'S' || n_regionkey AS store_key, p_brand AS product_key, p_type, p_size
+    """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_returnflag, l_shipdate::DATE AS date, 'S' || n_regionkey AS store_key, p_type AS product_key, p_brand, p_size
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN part ON l_partkey = p_partkey""",
 )
 
