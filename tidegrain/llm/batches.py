@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: int = 1, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -23,6 +23,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: int = 1, limit: int = SLIC
         ends = np.cumsum(sizes)
         at = 0
         while at < batch.num_rows:
+            pa.default_memory_pool().release_unused()
             before = ends[at - 1] if at else 0
             stop = max(at + 1, int(np.searchsorted(ends, before + limit, side="right")))
             yield batch.slice(at, stop - at)

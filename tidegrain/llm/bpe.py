@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .batches import map_texts, table
 
-CACHE_PIECES = 600_000
+CACHE_PIECES = 250_000
 LONGEST_CACHED = 1_000
 
 

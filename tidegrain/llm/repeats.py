@@ -31,10 +31,10 @@ from .induced import later_copies
 from .stats import Buffer
 
 GRAM = 32
-SLICE = 2 << 20
-HELD_SEEDS = 1 << 20
-BUCKET_BYTES = 8 << 20
-SHARD_BYTES = 8 << 20
+SLICE = 1 << 20
+HELD_SEEDS = 1 << 19
+BUCKET_BYTES = 6 << 20
+SHARD_BYTES = 2 << 20
 SEED = np.dtype([("anchor", np.uint64), ("piece", np.uint64), ("doc", np.int64), ("start", np.int32), ("n", np.int32)])
 
 

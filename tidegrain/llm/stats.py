@@ -38,7 +38,7 @@ RATIOS = {
 }
 FEATURES = ("n_words", "n_lines", "longest_word", *RATIOS)
 WINDOW = 5
-SLICE = 4 << 20
+SLICE = 2 << 20
 
 
 def _mask(chars: bytes) -> np.ndarray:
