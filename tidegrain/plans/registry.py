@@ -22,7 +22,7 @@ def with_parts(names: str, body: str) -> str:
         if name in wanted:
             wanted |= {other for other in PARTS if other != name and f"@{other}" in PARTS[name]}
     listed = [f"{name} AS ({PARTS[name].replace('@', '')})" for name in PARTS if name in wanted]
-    return ("WITH RECURSIVE " + ",\n".join(listed) + "\n" + body) if listed else body
+    return ("WITH RECURSIVE " + ",\n".join(listed) + (body if body.startswith(",") else "\n" + body)) if listed else body
 
 
 def query(name: str, parts: str = "", sql: str | None = None):
