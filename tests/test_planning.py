@@ -184,3 +184,58 @@ def test_retrieval(spark):
     gold = spark.createDataFrame([(1, "b")], "query_id int, evidence_id string")
     m = evidence.ranking_metrics(evidence.lexical(q, e, 5), gold).first()
     assert m.recall_1 == 0.0 and m.recall_3 == 1.0 and m.reciprocal_rank == 0.5
+
+
+def test_holt_winters_equals_a_plain_loop(spark):
+    import math
+
+    ys = [20 + i * 0.3 + 5 * math.sin(i * 2 * math.pi / 7) for i in range(40)]
+    rows = spark.createDataFrame([("S", "P", D(2026, 1, 1) + dt.timedelta(i), y) for i, y in enumerate(ys)], "store_key string, product_key string, date date, y double")
+    best = None
+    for a, b, g in forecast.GRID:
+        m1, m2 = sum(ys[:7]) / 7, sum(ys[7:14]) / 7
+        level, trend, season, sse = m1, (m2 - m1) / 7, [y - m1 for y in ys[:7]], 0.0
+        for y in ys:
+            old = season.pop(0)
+            sse += (y - level - trend - old) ** 2
+            new = a * (y - old) + (1 - a) * (level + trend)
+            trend = b * (new - level) + (1 - b) * trend
+            season.append(g * (y - new) + (1 - g) * old)
+            level = new
+        path = [max(0.0, level + h * trend + season[h - 1]) for h in range(1, 8)]
+        best = min(best, (sse, path)) if best else (sse, path)
+    got = [r.prediction for r in forecast.holt_winters(rows).orderBy("horizon").collect()]
+    assert got == pytest.approx(best[1])
+
+
+def test_block_bootstrap(spark):
+    rows = spark.createDataFrame([(D(2026, 1, 1) + dt.timedelta(i), 10.0, 9.0, 13.0, 5.0, 15.0 if i % 2 else 8.0) for i in range(30)], "target_date date, target double, good double, poor double, interval_lower double, interval_upper double")
+    plan = evaluate.block_plan(rows, 7, 50, 3)
+    per = plan.groupBy("replication").count().collect()
+    assert len(per) == 50 and {r["count"] for r in per} == {30}
+    w = evaluate.paired_wape(rows, plan, "good", ["poor"]).first()
+    assert w.high == pytest.approx(-0.2) and w.low == pytest.approx(-0.2)
+    c = evaluate.interval_bootstrap(rows, plan).first()
+    assert c.n == 50 and 0.4 < c.low <= c.high < 0.6
+
+
+def test_import_stream(spark, tmp_path):
+    from tidegrain.streaming.imports import current, import_stream
+
+    schema = "k int, v double"
+    rules = {"negative": F.col("v") < 0}
+    for i, rows in enumerate(([(1, 1.0), (2, -1.0)], [(1, 5.0), (3, 3.0)])):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"part{i}"))
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+        q = import_stream(stream, str(tmp_path / "table"), ["k"], rules, str(tmp_path / "check"))
+        q.awaitTermination(120)
+        last = q
+    assert {r.k: r.v for r in current(spark, str(tmp_path / "table"), last).collect()} == {1: 5.0, 3: 3.0}
+    assert spark.read.parquet(str(tmp_path / "table" / "quarantine")).count() == 1
+
+
+def test_registered_queries_have_matching_sql():
+    import __spark_entry__ as entry
+
+    found, sql = entry.queries(), entry.oracle_sql()
+    assert set(sql) <= set(found) and len(found) > 150

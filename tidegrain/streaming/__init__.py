@@ -1 +1 @@
-"""Part of the planning library; see README.md."""
+"""Continuous imports: the batch revisions of operators.revise applied to each micro-batch."""
