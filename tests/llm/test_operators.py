@@ -268,7 +268,9 @@ def repeats_by_hand(texts, length):
     return out
 
 
-def test_repeats_match_brute_force(spark, odd, monkeypatch):
+@pytest.mark.parametrize("hot", [3, 50_000])
+def test_repeats_match_brute_force(spark, odd, monkeypatch, hot):
+    monkeypatch.setattr(repeats, "HOT_PIECES", hot)
     r = np.random.default_rng(5)
     passages = ["".join(r.choice(list("abé d"), int(r.integers(60, 260)))) for _ in range(6)]
     texts = {i: "".join(str(x) for k in r.integers(0, 6, 4) for x in (passages[k], r.integers(10**9))) for i in range(40)}

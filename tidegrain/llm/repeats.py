@@ -6,7 +6,8 @@ repeats cover go. Finding them:
 1. In every string of ``length`` bytes the 32-byte gram of least hash is its anchor, so equal strings have equal anchors at the same
    place. A text becomes a few pieces: maximal runs of strings with one anchor. Pieces that are equal as a whole collapse to the
    earliest, first within a task and then per anchor bucket; the others are repeats already. So copies never meet in a task.
-2. An anchor with two or more different pieces goes to the shard of its hash with the bytes of those pieces.
+2. An anchor with two or more different pieces goes to the shard of its hash with the bytes of those pieces. An anchor with very many
+   (a line that stands in a third of all texts) is dealt out by single strings instead, by their first and last bytes as well.
 3. A shard's pieces, joined by separators, are suffix-sorted with shared prefixes; strings whose shared prefix reaches ``length`` are
    equal, and all but the earliest are repeats. Shards spill to files of the task, so their size is not bound by memory.
 4. The spans of a document meet at its text, which is cut.
@@ -35,6 +36,7 @@ SLICE = 1 << 20
 HELD_SEEDS = 1 << 19
 BUCKET_BYTES = 6 << 20
 SHARD_BYTES = 2 << 20
+HOT_PIECES = 50_000  # an anchor with more different pieces is dealt out string by string
 SEED = np.dtype([("anchor", np.uint64), ("piece", np.uint64), ("doc", np.int64), ("start", np.int32), ("n", np.int32)])
 
 
@@ -110,9 +112,9 @@ def piece_spans(df: DataFrame, length: int, buckets: int, id_col: str, text_col:
             kept, again = collapse(np.concatenate(held))
             held.clear()
             place = (kept["anchor"] % np.uint64(buckets)).astype(np.int64)
-            kept = kept[np.argsort(place, kind="stable")]
-            cuts = np.concatenate(([0], np.cumsum(np.bincount(place, minlength=buckets))))
-            blobs = [(k, kept[cuts[k] : cuts[k + 1]]) for k in range(buckets) if cuts[k + 1] > cuts[k]]
+            order = np.argsort(place, kind="stable")
+            met, first = np.unique(place[order], return_index=True)  # the buckets of this task only: their number may be far greater
+            blobs = list(zip(met.tolist(), np.split(kept[order], first[1:]), strict=True)) if len(kept) else []
             # Fields one after another, rows by document: runs of near values, which shuffle compression likes.
             packed = [(k, b"".join(np.ascontiguousarray(x[f]).tobytes() for f in SEED.names)) for k, x in ((k, x[np.lexsort((x["start"], x["doc"]))]) for k, x in blobs)]
             doc, start, end = spans_of(again, length)
@@ -161,8 +163,8 @@ def bucket_spans(length: int):
         doc, start, end = (np.concatenate((x, group[c][~packed].to_numpy(dtype=np.int64))) for x, c in zip(spans_of(again, length), ("doc", "start", "end"), strict=True))
         fresh = np.concatenate(([True], kept["anchor"][1:] != kept["anchor"][:-1])) if len(kept) else np.zeros(0, dtype=bool)
         group_of = np.cumsum(fresh) - 1
-        several = np.bincount(group_of)[group_of] > 1 if len(kept) else fresh
-        k = kept[several]
+        held = np.bincount(group_of)[group_of] if len(kept) else group_of
+        k, hot = kept[held > 1], held[held > 1] > HOT_PIECES
         return pd.DataFrame(
             {
                 "doc": np.concatenate((doc, k["doc"])),
@@ -170,6 +172,7 @@ def bucket_spans(length: int):
                 "end": np.concatenate((end, k["start"].astype(np.int64) + k["n"] - 1 + length)),
                 "anchor": pd.array(np.concatenate((np.zeros(len(doc), dtype=np.int64), k["anchor"].view(np.int64))), dtype="Int64").copy(),
                 "whole": np.concatenate((np.ones(len(doc), dtype=bool), np.zeros(len(k), dtype=bool))),
+                "hot": np.concatenate((np.zeros(len(doc), dtype=bool), hot)),
             }
         )
 
@@ -223,14 +226,19 @@ def repeated_spans(df: DataFrame, length: int = 100, id_col: str = "doc_id", tex
     parallel = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(parallel, -(-size // BUCKET_BYTES))
     mapped = piece_spans(df, length, buckets, id_col, text_col)
-    met = cut(mapped.groupBy("bucket").applyInPandas(bucket_spans(length), "doc long, start long, end long, anchor long, whole boolean"))
+    met = cut(mapped.groupBy("bucket").applyInPandas(bucket_spans(length), "doc long, start long, end long, anchor long, whole boolean, hot boolean"))
     wanted = met.where("not whole")
-    shards = max(parallel, -(-(wanted.agg(F.coalesce(F.sum(F.col("end") - F.col("start")), F.lit(0))).first()[0]) // SHARD_BYTES))
-    lists = wanted.groupBy("doc").agg(F.collect_list(F.struct("start", "end", "anchor")).alias("parts"))  # of one document: bounded by its text
+    load = F.when(F.col("hot"), (F.col("end") - F.col("start") - length + 1) * length).otherwise(F.col("end") - F.col("start"))
+    shards = max(parallel, -(-(wanted.agg(F.coalesce(F.sum(load), F.lit(0))).first()[0]) // SHARD_BYTES))
+    lists = wanted.groupBy("doc").agg(F.collect_list(F.struct("start", "end", "anchor", "hot")).alias("parts"))  # of one document: bounded by its text
     texts = by_id(df, id_col, text_col).join(lists, "doc")
-    part = F.explode("parts")
-    taken = texts.select("doc", F.col("text_").cast("binary").alias("raw"), part.alias("p")).select("doc", F.col("p.start").alias("start"), F.col("p.anchor").alias("anchor"), F.substring(F.col("raw"), (F.col("p.start") + 1).cast("int"), (F.col("p.end") - F.col("p.start")).cast("int")).alias("bytes"))
-    sorted_ = taken.groupBy(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard")).applyInPandas(shard_spans(length), "doc long, start long, end long")
+    parts = texts.select("doc", F.col("text_").cast("binary").alias("raw"), F.explode("parts").alias("p"))
+    first = F.explode(F.when(F.col("p.hot"), F.sequence(F.col("p.start"), F.col("p.end") - length)).otherwise(F.array("p.start")))
+    parts = parts.select("doc", "raw", "p", first.alias("start"))
+    taken = parts.select("doc", "start", F.col("p.anchor").alias("anchor"), F.col("p.hot").alias("hot"), F.substring(F.col("raw"), (F.col("start") + 1).cast("int"), F.when(F.col("p.hot"), length).otherwise(F.col("p.end") - F.col("p.start")).cast("int")).alias("bytes"))
+    ends = lambda at: F.when(F.col("hot"), F.substring(F.col("bytes"), F.lit(at), F.lit(4)))
+    taken = taken.withColumn("shard", F.pmod(F.xxhash64("anchor", ends(1), ends(length - 3)), F.lit(shards))).drop("hot")
+    sorted_ = taken.groupBy("shard").applyInPandas(shard_spans(length), "doc long, start long, end long")
     return met.where("whole").select("doc", "start", "end").unionByName(sorted_)
 
 
