@@ -309,9 +309,9 @@ def canonical_recipes(spark, sf):
     return recipes(spark, sf).select(X.stable_id("RECIPE", F.col("product_id"), 256).alias("recipe_id"), "product_id", "ingredient_id", "recipe_version", F.round("ingredient_quantity", 6).alias("ingredient_quantity"), "effective_from", "effective_to")
 
 
-@query("canonical_usage", "pairs", "SELECT date, store_key, ingredient_id, round(actual, 11) AS actual_usage_quantity FROM pairs")
+@query("canonical_usage", "pairs", "SELECT date, store_key, ingredient_id, round(actual, 5) AS actual_usage_quantity FROM pairs")
 def canonical_usage(spark, sf):
-    return usage_pair(spark, sf)[0].select("date", "store_key", "ingredient_id", F.round("actual", 11).alias("actual_usage_quantity"))
+    return usage_pair(spark, sf)[0].select("date", "store_key", "ingredient_id", F.round("actual", 5).alias("actual_usage_quantity"))
 
 
 @query("canonical_inventory", "lots", "SELECT store_key, lot_id, ingredient_id, quantity, expiry_date, CASE WHEN expiry_date IS NULL THEN 'EXPIRY_UNKNOWN' ELSE '' END AS issues FROM lots")
@@ -319,9 +319,9 @@ def canonical_inventory(spark, sf):
     return lots(spark, sf).select("store_key", "lot_id", "ingredient_id", "quantity", "expiry_date", F.array_join(failed({"EXPIRY_UNKNOWN": F.col("expiry_date").isNull()}), ",").alias("issues"))
 
 
-@query("canonical_purchases", "", "SELECT l_orderkey, l_linenumber, o_orderdate::DATE AS document_date, l_shipdate::DATE AS received_date, l_quantity AS quantity, round(l_extendedprice / l_quantity, 10) AS unit_price, l_shipdate < o_orderdate AS received_before_order FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
+@query("canonical_purchases", "", "SELECT l_orderkey, l_linenumber, o_orderdate::DATE AS document_date, l_shipdate::DATE AS received_date, l_quantity AS quantity, round(l_extendedprice / l_quantity, 8) AS unit_price, l_shipdate < o_orderdate AS received_before_order FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
 def canonical_purchases(spark, sf):
-    return purchases(spark, sf).select("l_orderkey", "l_linenumber", F.to_date("o_orderdate").alias("document_date"), F.to_date("l_shipdate").alias("received_date"), F.col("l_quantity").alias("quantity"), F.round(F.col("l_extendedprice") / F.col("l_quantity"), 10).alias("unit_price"), (F.col("l_shipdate") < F.col("o_orderdate")).alias("received_before_order"))
+    return purchases(spark, sf).select("l_orderkey", "l_linenumber", F.to_date("o_orderdate").alias("document_date"), F.to_date("l_shipdate").alias("received_date"), F.col("l_quantity").alias("quantity"), F.round(F.col("l_extendedprice") / F.col("l_quantity"), 8).alias("unit_price"), (F.col("l_shipdate") < F.col("o_orderdate")).alias("received_before_order"))
 
 
 @query("canonical_supplier_rules", "offers", "SELECT s_suppkey AS supplier_id, ingredient_id, pack_size, lead_time_days, unit_price FROM offers WHERE pack_size > 0 AND lead_time_days >= 0")

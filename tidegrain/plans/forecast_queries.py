@@ -8,6 +8,7 @@ from tidegrain.operators import evaluate as E
 from tidegrain.operators import forecast as FC
 from tidegrain.operators import panel as P
 from tidegrain.operators.ranking import average_rank
+from tidegrain.sources.keep import keep
 
 from .inputs import calendar, sales, table
 from .registry import part, query
@@ -241,7 +242,7 @@ part("split_", "SELECT p.*, CASE WHEN target_date <= te THEN 'train' WHEN target
 
 
 def splits(spark, sf):
-    return E.final_split(predictions(spark, sf))
+    return E.final_split(keep(predictions(spark, sf)))
 
 
 @query("final_split_audit", "split_", "SELECT split, count(*) AS n, min(cutoff_date) AS first_origin, max(cutoff_date) AS last_origin, min(target_date) AS first_target, max(target_date) AS last_target FROM split_ GROUP BY 1")
@@ -276,7 +277,7 @@ def calibration(spark, sf):
 
 @query("point_corrector", "point_", 'SELECT horizon, round("offset", 6) AS "offset", n, n_dates FROM point_')
 def point_corrector(spark, sf):
-    return FC.fit_point(calibration(spark, sf)).withColumn("offset", F.round("offset", 6))
+    return FC.fit_point(keep(calibration(spark, sf))).withColumn("offset", F.round("offset", 6))
 
 
 part(
@@ -299,7 +300,8 @@ part(
 
 
 def widened(spark, sf):
-    rows = FC.by_horizon(repaired(spark, sf).where("split = 'test'"), FC.fit_cqr(calibration(spark, sf)), "correction")
+    both = keep(repaired(spark, sf))
+    rows = FC.by_horizon(both.where("split = 'test'"), FC.fit_cqr(both.where("split = 'calibration'")), "correction")
     return rows.select("*", *FC.widen())
 
 
@@ -340,12 +342,12 @@ part("folds_", "SELECT fold_id, d[i] AS train_end, d[i + 1] AS validation_start,
 
 @query("walk_forward_folds", "folds_", "SELECT * FROM folds_")
 def walk_forward_folds(spark, sf):
-    return E.walk_forward_folds(predictions(spark, sf))
+    return E.walk_forward_folds(predictions(spark, sf).select("target_date").distinct())
 
 
 @query("walk_forward_metrics", "folds_ pred", "SELECT fold_id, horizon, count(*) AS n, round(sum(abs(target - p50)) / nullif(sum(abs(target)), 0), 6) AS wape FROM pred JOIN folds_ ON target_date BETWEEN validation_start AND validation_end AND cutoff_date >= train_end GROUP BY GROUPING SETS ((), (fold_id), (horizon))")
 def walk_forward_metrics(spark, sf):
-    p = predictions(spark, sf)
+    p = keep(predictions(spark, sf))
     rows = E.walk_forward_rows(p, E.walk_forward_folds(p))
     g = rows.groupingSets([[], [F.col("fold_id")], [F.col("horizon")]], F.col("fold_id"), F.col("horizon"))
     return g.agg(F.count("*").alias("n"), F.round(E.wape(F.col("target"), F.col("p50")), 6).alias("wape"))
@@ -353,14 +355,14 @@ def walk_forward_metrics(spark, sf):
 
 @query("fold_union", "folds_ pred", "SELECT fold_id, min(target_date) AS first_date, count(*) AS n FROM pred JOIN folds_ ON target_date BETWEEN validation_start AND validation_end AND cutoff_date >= train_end GROUP BY 1")
 def fold_union(spark, sf):
-    p = predictions(spark, sf)
+    p = keep(predictions(spark, sf))
     return E.walk_forward_rows(p, E.walk_forward_folds(p)).groupBy("fold_id").agg(F.min("target_date").alias("first_date"), F.count("*").alias("n"))
 
 
 @query("common_key_matrix", "pred", "SELECT store_key, product_key, target_date, horizon, target, round(p50, 5) AS naive, round(ma7, 5) AS ma7 FROM pred")
 def common_key_matrix(spark, sf):
     keys = ["store_key", "product_key", "target_date", "horizon"]
-    p = predictions(spark, sf).withColumnRenamed("p50", "naive")
+    p = keep(predictions(spark, sf)).withColumnRenamed("p50", "naive")
     long = p.unpivot([*keys, "target"], ["naive", "ma7"], "method", "prediction")
     wide = long.groupBy(*keys).pivot("method", ["naive", "ma7"]).agg(F.first("prediction"))
     actual = long.groupBy(*keys).agg(F.min("target").alias("target"), F.max("target").alias("most")).where("target = most")
@@ -369,18 +371,18 @@ def common_key_matrix(spark, sf):
 
 @query("block_plan")
 def block_plan(spark, sf):
-    return E.block_plan(predictions(spark, sf), 7, 200, 11)
+    return E.block_plan(keep(predictions(spark, sf).select("target_date").distinct()), 7, 200, 11)
 
 
 @query("paired_wape_bootstrap")
 def paired_wape_bootstrap(spark, sf):
-    p = predictions(spark, sf)
+    p = keep(predictions(spark, sf))
     return E.paired_wape(p, E.block_plan(p, 7, 200, 11), "p50", ["ma7", "ma28"])
 
 
 @query("interval_bootstrap")
 def interval_bootstrap(spark, sf):
-    w = widened(spark, sf)
+    w = keep(widened(spark, sf))
     return E.interval_bootstrap(w, E.block_plan(w, 7, 200, 11))
 
 
@@ -426,7 +428,7 @@ part(
 
 
 def residual_forecast(spark, sf):
-    s = splits(spark, sf).withColumn("anchor", F.col("p50")).drop("p25", "p50", "p75")
+    s = keep(splits(spark, sf)).withColumn("anchor", F.col("p50")).drop("p25", "p50", "p75")
     return FC.residual_quantiles(s.where("split = 'train'"), s.where("split = 'test'"))
 
 
@@ -443,8 +445,9 @@ def residual_quantile_forecast(spark, sf):
   FROM (SELECT f.*, coalesce(ph."offset", pg."offset") AS o, ch.correction AS k_h, coalesce(ch.correction, cg.correction) AS k FROM fixed_ f LEFT JOIN point_ ph ON ph.horizon = f.horizon CROSS JOIN (SELECT "offset" FROM point_ WHERE horizon IS NULL) pg LEFT JOIN cqr_ ch ON ch.horizon = f.horizon CROSS JOIN (SELECT correction FROM cqr_ WHERE horizon IS NULL) cg WHERE f.split = 'test') f LEFT JOIN calendar c ON c.date = f.target_date""",
 )
 def forecast_job(spark, sf):
-    cal = calibration(spark, sf)
-    rows = FC.by_horizon(FC.by_horizon(repaired(spark, sf).where("split = 'test'"), FC.fit_point(cal), "offset"), FC.fit_cqr(cal), "correction")
+    both = keep(repaired(spark, sf))
+    cal = both.where("split = 'calibration'")
+    rows = FC.by_horizon(FC.by_horizon(both.where("split = 'test'"), FC.fit_point(cal), "offset"), FC.fit_cqr(cal), "correction")
     for q in ("p25", "p50", "p75"):
         rows = rows.withColumn(q, F.greatest(F.lit(0.0), F.col(q) + F.col("offset")))
     rows = rows.select("*", *FC.widen()).join(calendar(spark, sf).select(F.col("date").alias("target_date"), "is_store_closed"), "target_date", "left")

@@ -26,15 +26,15 @@ def recipes(spark, sf):
     """Two versions a product, before and after 1998; ingredient is a brand, quantities from part sizes."""
     size = table(spark, sf, "part").groupBy(F.col("p_type").alias("product_id"), F.col("p_brand").alias("ingredient_id")).agg(F.avg("p_size").alias("ingredient_quantity"), F.min("p_partkey").alias("k"))
     unit = F.element_at(F.array(F.lit("g"), F.lit("ml"), F.lit("unit")), (F.col("k") % 3 + 1).cast("int"))
-    versions = F.array(F.struct(F.lit("v1").alias("recipe_version"), DAY("1995-01-01").alias("effective_from"), DAY("1997-12-31").alias("effective_to"), F.lit(1.0).alias("f")), F.struct(F.lit("v2").alias("recipe_version"), DAY("1998-02-01").alias("effective_from"), F.lit(None).cast("date").alias("effective_to"), F.lit(1.1).alias("f")))
+    versions = F.array(F.struct(F.lit("v1").alias("recipe_version"), DAY("1995-01-01").alias("effective_from"), DAY("1997-12-31").alias("effective_to"), F.lit(1.0137).alias("f")), F.struct(F.lit("v2").alias("recipe_version"), DAY("1998-02-01").alias("effective_from"), F.lit(None).cast("date").alias("effective_to"), F.lit(1.0973).alias("f")))
     r = size.withColumn("ingredient_unit", unit).select("*", F.inline(versions))
-    return r.select("product_id", "ingredient_id", (F.col("ingredient_quantity") * F.col("f")).alias("ingredient_quantity"), "ingredient_unit", F.lit(10.0).alias("yield_quantity"), F.lit(0.05).alias("process_loss_rate"), F.lit(0.02).alias("waste_allowance_rate"), "recipe_version", "effective_from", "effective_to")
+    return r.select("product_id", "ingredient_id", (F.col("ingredient_quantity") * F.col("f")).alias("ingredient_quantity"), "ingredient_unit", F.lit(10.0).alias("yield_quantity"), F.lit(0.0531).alias("process_loss_rate"), F.lit(0.0237).alias("waste_allowance_rate"), "recipe_version", "effective_from", "effective_to")
 
 
 part(
     "recipes",
     """SELECT product_id, ingredient_id, q * f AS ingredient_quantity, ['g', 'ml', 'unit'][k % 3 + 1] AS ingredient_unit, 10.0::DOUBLE AS yield_quantity, recipe_version, effective_from, effective_to FROM (SELECT p_type AS product_id, p_brand AS ingredient_id, avg(p_size) AS q, min(p_partkey) AS k FROM part GROUP BY 1, 2)
-  CROSS JOIN (SELECT 'v1' AS recipe_version, DATE '1995-01-01' AS effective_from, DATE '1997-12-31' AS effective_to, 1.0::DOUBLE AS f UNION ALL SELECT 'v2', DATE '1998-02-01', NULL, 1.1::DOUBLE)""",
+  CROSS JOIN (SELECT 'v1' AS recipe_version, DATE '1995-01-01' AS effective_from, DATE '1997-12-31' AS effective_to, 1.0137::DOUBLE AS f UNION ALL SELECT 'v2', DATE '1998-02-01', NULL, 1.0973::DOUBLE)""",
 )
 ACTIVE = "product_key = product_id AND effective_from <= date AND date <= coalesce(effective_to, DATE '9999-12-31')"
 
@@ -50,21 +50,21 @@ def missing_recipe(spark, sf):
     return B.missing_recipes(sales(spark, sf), recipes(spark, sf), "date").groupBy("product_key").agg(F.count("*").alias("n"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
 
 
-part("needs", f"SELECT store_key, ingredient_id, date, CASE WHEN ingredient_unit = 'g' THEN 'kg' WHEN ingredient_unit = 'ml' THEN 'liter' ELSE ingredient_unit END AS base_unit, sum(quantity_sold / yield_quantity * ingredient_quantity * 1.05 * 1.02 * CASE WHEN ingredient_unit = 'unit' THEN 1 ELSE 0.001 END) AS quantity, count(*) AS n_lines FROM @sales JOIN @recipes ON {ACTIVE} GROUP BY 1, 2, 3, 4")
+part("needs", f"SELECT store_key, ingredient_id, date, CASE WHEN ingredient_unit = 'g' THEN 'kg' WHEN ingredient_unit = 'ml' THEN 'liter' ELSE ingredient_unit END AS base_unit, sum(quantity_sold / yield_quantity * ingredient_quantity * 1.0531 * 1.0237 * CASE WHEN ingredient_unit = 'unit' THEN 1 ELSE 0.001 END) AS quantity, count(*) AS n_lines FROM @sales JOIN @recipes ON {ACTIVE} GROUP BY 1, 2, 3, 4")
 
 
 def needs(spark, sf):
     return B.explode_demand(sales(spark, sf), recipes(spark, sf), "date", "quantity_sold", ["store_key"])
 
 
-@query("bom_explosion", "needs", "SELECT store_key, ingredient_id, date, base_unit, round(quantity, 9) AS quantity, n_lines FROM needs")
+@query("bom_explosion", "needs", "SELECT store_key, ingredient_id, date, base_unit, round(quantity, 5) AS quantity, n_lines FROM needs")
 def bom_explosion(spark, sf):
-    return needs(spark, sf).withColumn("quantity", F.round("quantity", 9))
+    return needs(spark, sf).withColumn("quantity", F.round("quantity", 5))
 
 
-@query("ingredient_job", "needs", "SELECT ingredient_id, base_unit, year(date) AS year, round(sum(quantity), 7) AS quantity FROM needs GROUP BY 1, 2, 3")
+@query("ingredient_job", "needs", "SELECT ingredient_id, base_unit, year(date) AS year, round(sum(quantity), 5) AS quantity FROM needs GROUP BY 1, 2, 3")
 def ingredient_job(spark, sf):
-    return needs(spark, sf).groupBy("ingredient_id", "base_unit", F.year("date").alias("year")).agg(F.round(F.sum("quantity"), 7).alias("quantity"))
+    return needs(spark, sf).groupBy("ingredient_id", "base_unit", F.year("date").alias("year")).agg(F.round(F.sum("quantity"), 5).alias("quantity"))
 
 
 part("pairs", "SELECT date, store_key, ingredient_id, sum(quantity) AS theoretical, sum(quantity) * (0.9 + 0.05 * (day(date) % 5)) AS actual FROM @needs GROUP BY date, store_key, ingredient_id")
@@ -161,14 +161,14 @@ def world_needs(spark, sf, start="2001-10-01"):
     return n.withColumn("quantity", F.col("quantity") * (0.7 + 0.06 * F.col("scenario_id")))
 
 
-@query("ingredient_scenarios", "wneeds", "SELECT scenario_id, store_key, ingredient_id, base_unit, round(sum(quantity), 7) AS quantity FROM wneeds GROUP BY 1, 2, 3, 4")
+@query("ingredient_scenarios", "wneeds", "SELECT scenario_id, store_key, ingredient_id, base_unit, round(sum(quantity), 5) AS quantity FROM wneeds GROUP BY 1, 2, 3, 4")
 def ingredient_scenarios(spark, sf):
-    return world_needs(spark, sf).groupBy("scenario_id", "store_key", "ingredient_id", "base_unit").agg(F.round(F.sum("quantity"), 7).alias("quantity"))
+    return world_needs(spark, sf).groupBy("scenario_id", "store_key", "ingredient_id", "base_unit").agg(F.round(F.sum("quantity"), 5).alias("quantity"))
 
 
-@query("mean_world", "wneeds", "SELECT store_key, ingredient_id, date, base_unit, round(sum(weight * quantity), 8) AS quantity FROM wneeds GROUP BY 1, 2, 3, 4")
+@query("mean_world", "wneeds", "SELECT store_key, ingredient_id, date, base_unit, round(sum(weight * quantity), 5) AS quantity FROM wneeds GROUP BY 1, 2, 3, 4")
 def mean_world(spark, sf):
-    return world_needs(spark, sf).groupBy("store_key", "ingredient_id", "date", "base_unit").agg(F.round(F.sum(F.col("weight") * F.col("quantity")), 8).alias("quantity"))
+    return world_needs(spark, sf).groupBy("store_key", "ingredient_id", "date", "base_unit").agg(F.round(F.sum(F.col("weight") * F.col("quantity")), 5).alias("quantity"))
 
 
 @query("scenario_diagnostics", "wneeds", "SELECT store_key, round(avg(quantity), 5) AS mean, round(quantile_cont(quantity, 0.25), 5) AS q25, round(quantile_cont(quantity, 0.75), 5) AS q75, round(corr(quantity, scenario_id), 4) AS spread FROM wneeds GROUP BY 1")
@@ -177,10 +177,10 @@ def scenario_diagnostics(spark, sf):
     return world_needs(spark, sf).groupBy("store_key").agg(F.round(F.avg("quantity"), 5).alias("mean"), q.alias("q"), F.round(F.corr("quantity", "scenario_id"), 4).alias("spread")).select("store_key", "mean", F.round(F.col("q")[0], 5).alias("q25"), F.round(F.col("q")[1], 5).alias("q75"), "spread")
 
 
-@query("stress_inputs", "needs", "SELECT stress, store_key, ingredient_id, round(sum(quantity * m), 7) AS quantity, max(date + d::INT) AS last_date FROM needs CROSS JOIN (SELECT 'surge' AS stress, 1.5::DOUBLE AS m, 0 AS d UNION ALL SELECT 'late', 1.0, 4) GROUP BY 1, 2, 3")
+@query("stress_inputs", "needs", "SELECT stress, store_key, ingredient_id, round(sum(quantity * m), 4) AS quantity, max(date + d::INT) AS last_date FROM needs CROSS JOIN (SELECT 'surge' AS stress, 1.5::DOUBLE AS m, 0 AS d UNION ALL SELECT 'late', 1.0, 4) GROUP BY 1, 2, 3")
 def stress_inputs(spark, sf):
     kinds = F.inline(F.array(*[F.struct(F.lit(n).alias("stress"), F.lit(m).alias("m"), F.lit(d).alias("d")) for n, m, d in (("surge", 1.5, 0), ("late", 1.0, 4))]))
-    return needs(spark, sf).select("*", kinds).groupBy("stress", "store_key", "ingredient_id").agg(F.round(F.sum(F.col("quantity") * F.col("m")), 7).alias("quantity"), F.max(F.date_add("date", F.col("d"))).alias("last_date"))
+    return needs(spark, sf).select("*", kinds).groupBy("stress", "store_key", "ingredient_id").agg(F.round(F.sum(F.col("quantity") * F.col("m")), 4).alias("quantity"), F.max(F.date_add("date", F.col("d"))).alias("last_date"))
 
 
 @query("lead_time_pools", "", """SELECT l_suppkey, p_brand, count(*) AS n, round(avg(lead), 6) AS mean_lead, max(lead) AS max_lead FROM (SELECT l_suppkey, p_brand, ((l_shipdate::DATE - o_orderdate::DATE) % 21 + 21) % 21 AS lead FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey) GROUP BY GROUPING SETS ((l_suppkey, p_brand), (l_suppkey), (p_brand), ()) HAVING count(*) >= 10""")
