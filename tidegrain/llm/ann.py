@@ -9,7 +9,7 @@ Equal vectors are one entry with its least ids, so a vector with a third of all
 about ``SHARD`` entries, a block of queries at most about ``BLOCK``; every block meets every shard and leaves its best few there.
 
 Defined results: rows whose id or vector is null, and vectors that are empty, zero, or hold a null or non-finite component, take no part;
-neither do vectors whose length is not the most common one. Ties go to the smaller id; a repeated id counts as one candidate. Queries
+neither do vectors whose length is not the most common one. Ties go to the smaller id; a repeated row counts once. Queries
 without candidates, and an empty table, give no rows; other columns are not read.
 """
 
