@@ -367,3 +367,29 @@ def test_counts_of_a_sliced_column():
     column = pa.array(["first text", None, "second text text text text text text text text text text"])
     whole, part = stats.count(column), stats.count(column.slice(1, 2))
     assert all((whole[n][1:] == part[n]).all() for n in stats.NAMES)
+
+
+def test_a_hot_anchor_is_spread_over_buckets_and_never_sorted_in_a_shard(spark, monkeypatch):
+    seeds = np.zeros(1000, dtype=repeats.SEED)
+    seeds["anchor"], seeds["piece"], seeds["doc"], seeds["n"] = 7, np.arange(1000) * 2654435761, np.arange(1000), 3
+    dealt, place = repeats.deal(repeats.collapse(seeds)[0], 10, 50)
+    assert np.bincount(place, minlength=10).max() < 200 and list(place[dealt["n"] == 0]) == [7] and (dealt["n"] != 0).sum() == 1000
+    monkeypatch.setattr(repeats, "HOT_PIECES", 20)
+
+    def shards(length, of=repeats.shard_spans):
+        sort = of(length)
+
+        def work(group):
+            assert len(group) <= 20, "copies of a hot string in one shard"
+            return sort(group)
+
+        return work
+
+    monkeypatch.setattr(repeats, "shard_spans", shards)
+    r = np.random.default_rng(8)
+    words = lambda n: "".join(r.choice(list("abcdefgh "), n))
+    line = words(130)
+    texts = {i: words(80) + line + words(80) for i in range(120)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    rows = repeats.remove_repeats(docs).collect()
+    assert {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in rows} == repeats_by_hand(texts, 100)

@@ -5,14 +5,18 @@ repeats cover go. Finding them:
 
 1. In every string of ``length`` bytes the 32-byte gram of least hash is its anchor, so equal strings have equal anchors at the same
    place. A text becomes a few pieces: maximal runs of strings with one anchor. Pieces that are equal as a whole collapse to the
-   earliest, first within a task and then per anchor bucket; the others are repeats already. So copies never meet in a task.
-2. An anchor with two or more different pieces goes to the shard of its hash with the bytes of those pieces. An anchor with very many
-   (a line that stands in a third of all texts) is dealt out by single strings instead, by their first and last bytes as well.
-3. A shard's pieces, joined by separators, are suffix-sorted with shared prefixes; strings whose shared prefix reaches ``length`` are
-   equal, and all but the earliest are repeats. Shards spill to files of the task, so their size is not bound by memory.
-4. The spans of a document meet at its text, which is cut.
-
-Results are exact but for collisions of 64-bit hashes of pieces. Defined results: a null or empty text has no bytes; texts shorter than
+   earliest, first within a task and then per anchor bucket; the others are repeats already.
+2. An anchor that has many different pieces within one task already (a line that stands in a third of all texts) is hot: its pieces are
+   dealt by their own hash, and its home bucket gets a mark instead, so that pieces of other tasks are known as hot there.
+3. A hot anchor's pieces become single strings. The earliest of equal ones is a minimum by string hash, combined within tasks first;
+   the others are spans, found by a join that adaptive execution can split. No two of the earliest are equal, and equal strings have
+   equal anchors, so the suffix sort has nothing to add for them.
+4. Any other anchor with two or more different pieces goes to the shard of its hash with the bytes of those pieces, HOT_PIECES at most.
+   A shard's pieces, joined by separators, are suffix-sorted with shared prefixes; strings whose shared prefix reaches ``length`` are
+   equal, and all but the earliest are repeats.
+5. The spans of a document meet at its text, which is cut.
+
+Results are exact but for collisions of 64-bit hashes of pieces and 128-bit hashes of strings. Defined results: a null or empty text has no bytes; texts shorter than
 ``length`` stay whole, and so do rows of a null id; rows that repeat an id are taken to hold the same text and get the same result; an
 empty table gives an empty table; other columns are not read.
 """
@@ -36,7 +40,8 @@ SLICE = 1 << 20
 HELD_SEEDS = 1 << 19
 BUCKET_BYTES = 6 << 20
 SHARD_BYTES = 2 << 20
-HOT_PIECES = 50_000  # an anchor with more different pieces is dealt out string by string
+HOT_PIECES = 50_000  # an anchor with more different pieces is settled string by string; about as many reach its home bucket
+HELD_BYTES = 4 << 20  # text that fills HELD_SEEDS, at least
 SEED = np.dtype([("anchor", np.uint64), ("piece", np.uint64), ("doc", np.int64), ("start", np.int32), ("n", np.int32)])
 
 
@@ -102,7 +107,19 @@ def spans_of(seeds: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np
     return doc[at], start[at], end[np.append(at[1:], len(doc)) - 1]
 
 
-def piece_spans(df: DataFrame, length: int, buckets: int, id_col: str, text_col: str) -> DataFrame:
+def deal(kept: np.ndarray, buckets: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Collapsed seeds with their buckets. An anchor with more than ``most`` pieces is hot: its pieces go by their own hash with ``n``
+    negated, and a seed of ``n`` 0 marks it in its home bucket."""
+    anchor, group_of, held = np.unique(kept["anchor"], return_inverse=True, return_counts=True)
+    hot = held[group_of] > most
+    seeds, marks = kept.copy(), np.zeros(int((held > most).sum()), dtype=SEED)
+    seeds["n"][hot] *= -1
+    marks["anchor"] = anchor[held > most]
+    place = np.concatenate((np.where(hot, kept["piece"], kept["anchor"]), marks["anchor"])) % np.uint64(buckets)
+    return np.concatenate((seeds, marks)), place.astype(np.int64)
+
+
+def piece_spans(df: DataFrame, length: int, buckets: int, most: int, id_col: str, text_col: str) -> DataFrame:
     """Rows for the next step by bucket: packed seeds (blob), or a span of pieces that repeat within the task (doc, start, end)."""
 
     def run(batches):
@@ -111,7 +128,7 @@ def piece_spans(df: DataFrame, length: int, buckets: int, id_col: str, text_col:
         def out():
             kept, again = collapse(np.concatenate(held))
             held.clear()
-            place = (kept["anchor"] % np.uint64(buckets)).astype(np.int64)
+            kept, place = deal(kept, buckets, most)
             order = np.argsort(place, kind="stable")
             met, first = np.unique(place[order], return_index=True)  # the buckets of this task only: their number may be far greater
             blobs = list(zip(met.tolist(), np.split(kept[order], first[1:]), strict=True)) if len(kept) else []
@@ -155,16 +172,22 @@ def unpack(blobs) -> np.ndarray:
 
 
 def bucket_spans(length: int):
-    """Per bucket: spans of repeated pieces (anchor null), and the pieces of anchors that have several (anchor set)."""
+    """Per bucket: spans of repeated pieces (whole), and the pieces of anchors that have several or are hot."""
 
     def work(group: pd.DataFrame) -> pd.DataFrame:
         packed = group["blob"].notna()
-        kept, again = collapse(unpack(group["blob"][packed]))
+        seeds = unpack(group["blob"][packed])
+        marked = np.unique(seeds["anchor"][seeds["n"] <= 0])
+        seeds = seeds[seeds["n"] != 0]
+        seeds["n"] = np.abs(seeds["n"])
+        kept, again = collapse(seeds)
         doc, start, end = (np.concatenate((x, group[c][~packed].to_numpy(dtype=np.int64))) for x, c in zip(spans_of(again, length), ("doc", "start", "end"), strict=True))
         fresh = np.concatenate(([True], kept["anchor"][1:] != kept["anchor"][:-1])) if len(kept) else np.zeros(0, dtype=bool)
         group_of = np.cumsum(fresh) - 1
         held = np.bincount(group_of)[group_of] if len(kept) else group_of
-        k, hot = kept[held > 1], held[held > 1] > HOT_PIECES
+        hot = np.isin(kept["anchor"], marked) | (held > HOT_PIECES)
+        wanted = hot | (held > 1)
+        k, hot = kept[wanted], hot[wanted]
         return pd.DataFrame(
             {
                 "doc": np.concatenate((doc, k["doc"])),
@@ -219,27 +242,51 @@ def by_id(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(df[id_col].cast("long").alias("doc"), df[text_col].cast("string").alias("text_")).where("doc IS NOT NULL")
 
 
+def piece_texts(df: DataFrame, pieces_: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc, raw (the bytes of the text), p (start, end, anchor) for each piece."""
+    lists = pieces_.groupBy("doc").agg(F.collect_list(F.struct("start", "end", "anchor")).alias("parts"))  # of one document: bounded by its text
+    texts = by_id(df, id_col, text_col).join(lists, "doc")
+    return texts.select("doc", F.col("text_").cast("binary").alias("raw"), F.explode("parts").alias("p"))
+
+
+def hot_strings(df: DataFrame, hot: DataFrame, length: int, id_col: str, text_col: str) -> DataFrame:
+    """doc, start, h1, h2 (two hashes of its bytes) for each string of the hot pieces."""
+    one = piece_texts(df, hot, id_col, text_col).select("doc", "raw", F.explode(F.sequence(F.col("p.start"), F.col("p.end") - length)).alias("start"))
+    string = F.substring(F.col("raw"), (F.col("start") + 1).cast("int"), F.lit(length))
+    return one.select("doc", "start", F.xxhash64(string).alias("h1"), F.xxhash64(string, F.lit(1)).alias("h2"))
+
+
+def earliest_strings(strings: DataFrame) -> DataFrame:
+    """h1, h2, head (doc, start) of the strings that stand in several places; partial minima leave one row a task for each string."""
+    heads = strings.groupBy("h1", "h2").agg(F.min(F.struct("doc", "start")).alias("head"), F.max(F.struct("doc", "start")).alias("last"))
+    return heads.where("head <> last").drop("last")
+
+
+def hot_spans(df: DataFrame, hot: DataFrame, length: int, id_col: str, text_col: str) -> DataFrame:
+    """doc, start, end of the strings of hot pieces that start earlier too. Both sides of the join are cut, so that it can be split."""
+    strings = cut(hot_strings(df, hot, length, id_col, text_col))
+    later = strings.join(cut(earliest_strings(strings)), ["h1", "h2"]).where(F.struct("doc", "start") != F.col("head"))
+    return later.select("doc", "start", (F.col("start") + length).alias("end"))
+
+
 def repeated_spans(df: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc, start, end: byte spans covered by repeats; spans of a document may overlap."""
     spark = df.sparkSession
     size = df.agg(F.coalesce(F.sum(F.octet_length(df[text_col].cast("string"))), F.lit(0))).first()[0]
     parallel = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(parallel, -(-size // BUCKET_BYTES))
-    mapped = piece_spans(df, length, buckets, id_col, text_col)
+    most = max(1, HOT_PIECES // (1 + size // HELD_BYTES))  # a task's pieces of one anchor for its home bucket
+    mapped = piece_spans(df, length, buckets, most, id_col, text_col)
     met = cut(mapped.groupBy("bucket").applyInPandas(bucket_spans(length), "doc long, start long, end long, anchor long, whole boolean, hot boolean"))
-    wanted = met.where("not whole")
-    load = F.when(F.col("hot"), (F.col("end") - F.col("start") - length + 1) * length).otherwise(F.col("end") - F.col("start"))
-    shards = max(parallel, -(-(wanted.agg(F.coalesce(F.sum(load), F.lit(0))).first()[0]) // SHARD_BYTES))
-    lists = wanted.groupBy("doc").agg(F.collect_list(F.struct("start", "end", "anchor", "hot")).alias("parts"))  # of one document: bounded by its text
-    texts = by_id(df, id_col, text_col).join(lists, "doc")
-    parts = texts.select("doc", F.col("text_").cast("binary").alias("raw"), F.explode("parts").alias("p"))
-    first = F.explode(F.when(F.col("p.hot"), F.sequence(F.col("p.start"), F.col("p.end") - length)).otherwise(F.array("p.start")))
-    parts = parts.select("doc", "raw", "p", first.alias("start"))
-    taken = parts.select("doc", "start", F.col("p.anchor").alias("anchor"), F.col("p.hot").alias("hot"), F.substring(F.col("raw"), (F.col("start") + 1).cast("int"), F.when(F.col("p.hot"), length).otherwise(F.col("p.end") - F.col("p.start")).cast("int")).alias("bytes"))
-    ends = lambda at: F.when(F.col("hot"), F.substring(F.col("bytes"), F.lit(at), F.lit(4)))
-    taken = taken.withColumn("shard", F.pmod(F.xxhash64("anchor", ends(1), ends(length - 3)), F.lit(shards))).drop("hot")
+    wanted = met.where("not whole and not hot")
+    n_hot, load = met.where("not whole").agg(F.count_if("hot"), F.coalesce(F.sum(F.when(~F.col("hot"), F.col("end") - F.col("start"))), F.lit(0))).first()
+    shards = max(parallel, -(-load // SHARD_BYTES))
+    parts = piece_texts(df, wanted, id_col, text_col)
+    taken = parts.select("doc", F.col("p.start").alias("start"), F.col("p.anchor").alias("anchor"), F.substring(F.col("raw"), (F.col("p.start") + 1).cast("int"), (F.col("p.end") - F.col("p.start")).cast("int")).alias("bytes"))
+    taken = taken.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
     sorted_ = taken.groupBy("shard").applyInPandas(shard_spans(length), "doc long, start long, end long")
-    return met.where("whole").select("doc", "start", "end").unionByName(sorted_)
+    found = met.where("whole").select("doc", "start", "end").unionByName(sorted_)
+    return found.unionByName(hot_spans(df, met.where("hot"), length, id_col, text_col)) if n_hot else found
 
 
 def remove_repeats(df: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
