@@ -1,4 +1,4 @@
-"""External induced sorting of suffixes: disk-backed monotone queues carry suffix tuples and common-prefix values.
+"""Induced sorting of suffixes in memory, with queues that can spill: they carry suffix tuples and common-prefix values.
 
 The text is a byte array whose pieces end with a separator smaller than every byte. Suffixes at the left end of an ascending stretch
 (S*) are ordered first, by names of their substrings and, while names repeat, by the same question one level up: the string of names
@@ -6,6 +6,8 @@ is sorted recursively (by induction while its alphabet is small, else by doublin
 a queue holds, per first character, the suffixes whose successor has been placed; each tuple carries its position and the length of
 the prefix it shares with the tuple before it, got from the minimum over the inducing suffixes in between.
 
+The text, its packed words and the induced suffixes stay in memory, about 50 bytes a character at the peak; callers bound the text.
+
 Orders are exact to ``depth`` characters, the length of the strings to be compared; ties beyond are in text order. Queues keep at most
 ``memory`` bytes and spill whole buckets to files in a folder of the task, removed with it.
 """

@@ -1,4 +1,4 @@
-"""Removal of repeated byte strings with suffix arrays of shards, built by external induced sorting (induced.py).
+"""Removal of repeated byte strings with suffix arrays of shards, built by induced sorting (induced.py).
 
 A string of ``length`` bytes that also starts earlier (smaller id, or same document and earlier start) is a repeat; the bytes that
 repeats cover go. Finding them:
