@@ -109,6 +109,29 @@ def test_day_allocation_and_ledger(spark):
     assert s.first_stockout == D(2026, 1, 4) and abs(s.fill_rate - 12 / 13) < 1e-12
 
 
+def test_ledger_folds_pairs_of_dates_and_not_lots(spark):
+    rows = [("S", "I", f"l{i}", 0.5 + i % 3, D(2026, 1, 1), D(2026, 1, 3) if i % 2 else None) for i in range(400)]
+    coming = spark.createDataFrame([(*r[:2], f"c{r[2]}", r[3], D(2026, 1, 2), r[5], D(2026, 1, 2)) for r in rows], LOTS + ", arrival_date date")
+    days = spark.createDataFrame([("S", "I", D(2026, 1, 1) + dt.timedelta(i), d) for i, d in enumerate((150.0, 90.0, 500.0, 70.0))], "store_key string, ingredient_id string, date date, demand double")
+    lines = inventory.ledger(spark.createDataFrame(rows, LOTS), days, coming, inventory.KEY)
+    left, want, got = {None: 0.0, D(2026, 1, 3): 0.0}, [], [(r.beginning, r.inbound, r.expired, r.fulfilled, r.ending) for r in lines.orderBy("date").collect()]
+    for r in rows:
+        left[r[5]] += r[3]
+    new = dict(left)
+    for i, d in enumerate((150.0, 90.0, 500.0, 70.0)):
+        beginning, inbound = sum(left.values()), sum(new.values()) if i == 1 else 0.0
+        left = {k: v + (new[k] if i == 1 else 0.0) for k, v in left.items()}
+        expired = left[D(2026, 1, 3)] if i > 2 else 0.0
+        left[D(2026, 1, 3)] -= expired
+        first = min(d, left[D(2026, 1, 3)])
+        second = min(d - first, left[None])
+        left = {None: left[None] - second, D(2026, 1, 3): left[D(2026, 1, 3)] - first}
+        want.append((beginning, inbound, expired, first + second, sum(left.values())))
+    assert got == want
+    merged = inventory.by_dates(spark.createDataFrame(rows, LOTS), inventory.KEY)
+    assert merged.count() == 2 and merged.agg(F.sum("quantity")).first()[0] == sum(r[3] for r in rows)
+
+
 def test_weighted_quantile_and_cvar(spark):
     w = spark.createDataFrame([("k", float(v), 0.25) for v in (1, 2, 3, 10)], "k string, v double, w double")
     assert evaluate.weighted_quantile(w, ["k"], "v", "w", 0.5, "q").first().q == 2.0

@@ -25,12 +25,19 @@ def allocate_day(lots: DataFrame, demand: DataFrame, keys: list[str]) -> DataFra
     return rows.withColumn("used", used).withColumn("left", F.col("quantity") - F.col("used")).drop("after_")
 
 
+def by_dates(lots: DataFrame, keys: list[str]) -> DataFrame:
+    """Lots of equal keys and dates as one: first expired first out serves them next to each other, so no balance changes."""
+    return lots.groupBy(*keys, "expiry_date", "received_date").agg(F.min("lot_id").alias("lot_id"), F.sum("quantity").alias("quantity"))
+
+
 def ledger(lots: DataFrame, demand: DataFrame, inbound: DataFrame, keys: list[str]) -> DataFrame:
     """Daily ledger per key: inbound, expiry, first-expired-first-out service, balances. Keys are independent.
 
     lots: keys, lot_id, quantity, expiry_date, received_date. inbound: the same with arrival_date. demand: keys, date, demand, the days
-    to simulate. The fold over days carries the lots that are left, in order of expiry.
+    to simulate. The fold over days carries the lots that are left, in order of expiry; lots of equal dates are one, so that it grows
+    with pairs of dates and not with lots.
     """
+    lots, inbound = by_dates(lots, keys), by_dates(inbound, [*keys, "arrival_date"])
     lot = F.struct(F.coalesce("expiry_date", F.lit("9999-12-31").cast("date")).alias("e"), F.coalesce("received_date", F.lit("9999-12-31").cast("date")).alias("r"), F.col("lot_id").alias("id"), F.col("quantity").alias("q"))
     start = lots.groupBy(*keys).agg(F.array_sort(F.collect_list(lot)).alias("lots"))
     coming = inbound.withColumn("lot_", lot).groupBy(*keys, F.col("arrival_date").alias("date")).agg(F.array_sort(F.collect_list("lot_")).alias("inbound"))
