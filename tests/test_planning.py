@@ -262,3 +262,17 @@ def test_registered_queries_have_matching_sql():
 
     found, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(found) and len(found) > 150
+
+
+def test_short_series_get_the_seasonal_naive(spark):
+    rows = [("S", k, D(2026, 1, 1) + dt.timedelta(i), float(i)) for k, n in (("nine", 9), ("three", 3), ("long", 20)) for i in range(n)]
+    got = forecast.holt_winters(spark.createDataFrame(rows, "store_key string, product_key string, date date, y double")).collect()
+    path = lambda k: [r.prediction for r in sorted(got, key=lambda r: r.horizon) if r.product_key == k]
+    assert path("nine") == [2.0, 3.0, 4.0, 5.0, 6.0, 7.0, 8.0] and path("three") == [1.0, 1.0, 1.0, 1.0, 0.0, 1.0, 2.0] and len(path("long")) == 7
+
+
+def test_no_forecast_row_is_lost_to_sparse_residuals(spark):
+    f = spark.createDataFrame([(s, p, D(2026, 1, 8), 1, 5.0, 10.0, 15.0) for s, p in (("S", "rich"), ("S", "few"), ("S", "none"), ("T", "new"))], "store_key string, product_key string, target_date date, horizon int, p25 double, p50 double, p75 double")
+    h = spark.createDataFrame([("S", p, D(2025, 1, 1) + dt.timedelta(t), 1, (t % 11 - 5) / 5) for p, n in (("rich", 40), ("few", 5)) for t in range(n)], "store_key string, product_key string, forecast_origin date, horizon int, scaled_residual double")
+    got = scenarios.copula_or_bootstrap(f, h, 10, 7)
+    assert {r.product_key: r["count"] for r in got.groupBy("product_key").count().collect()} == {"rich": 10, "few": 10, "none": 10, "new": 10}

@@ -94,10 +94,12 @@ GRID = ((0.20, 0.05, 0.10), (0.40, 0.10, 0.20), (0.60, 0.10, 0.20), (0.80, 0.20,
 
 def holt_winters(history: DataFrame, horizon: int = 7, season: int = 7) -> DataFrame:
     """Additive Holt-Winters per series over the grid; the path of least squared error. ``history``: series, date, y, without gaps.
+    Series of less than two seasons get the seasonal naive: the value a season before, the median of all where there is none.
 
     Start values: level and season from the first two weeks, trend from the difference of their means.
     """
-    lists = history.groupBy(*SERIES).agg(F.transform(F.array_sort(F.collect_list(F.struct("date", "y"))), lambda s: s["y"]).alias("y")).where(F.size("y") >= 2 * season)
+    lists = history.groupBy(*SERIES).agg(F.transform(F.array_sort(F.collect_list(F.struct("date", "y"))), lambda s: s["y"]).alias("y"))
+    short, lists = lists.where(F.size("y") < 2 * season), lists.where(F.size("y") >= 2 * season)
     mean = lambda a, b: F.aggregate(F.slice("y", a, b), F.lit(0.0), lambda x, v: x + v) / b
     lists = lists.withColumn("m1", mean(1, season)).withColumn("m2", mean(season + 1, season))
     lists = lists.withColumn("s0", F.transform(F.slice("y", 1, season), lambda v: v - F.col("m1")))
@@ -115,4 +117,9 @@ def holt_winters(history: DataFrame, horizon: int = 7, season: int = 7) -> DataF
 
     run = lists.withColumn("state", F.aggregate("y", start, step))
     path = F.transform(F.sequence(F.lit(1), F.lit(horizon)), lambda h: F.greatest(F.lit(0.0), F.col("state.level") + h * F.col("state.trend") + F.element_at(F.col("state.season"), ((h - 1) % season) + 1)))
-    return run.withColumn("path", path).groupBy(*SERIES).agg(F.min_by("path", F.struct("state.sse", "w")).alias("path")).select(*SERIES, F.posexplode("path").alias("h", "prediction")).select(*SERIES, (F.col("h") + 1).alias("horizon"), "prediction")
+    ordered, n = F.array_sort("y"), F.size("y")
+    median = (F.element_at(ordered, F.floor((n + 1) / 2).cast("int")) + F.element_at(ordered, F.floor(n / 2).cast("int") + 1)) / 2
+    before = lambda h: n - season + (h - 1) % season + 1
+    naive = F.transform(F.sequence(F.lit(1), F.lit(horizon)), lambda h: F.greatest(F.lit(0.0), F.when(before(h) >= 1, F.element_at("y", F.greatest(F.lit(1), before(h)))).otherwise(median)))
+    paths = run.withColumn("path", path).groupBy(*SERIES).agg(F.min_by("path", F.struct("state.sse", "w")).alias("path")).unionByName(short.select(*SERIES, naive.alias("path")))
+    return paths.select(*SERIES, F.posexplode("path").alias("h", "prediction")).select(*SERIES, (F.col("h") + 1).alias("horizon"), "prediction")

@@ -69,6 +69,17 @@ def copula(forecast: DataFrame, history: DataFrame, n: int, seed: int, shrink: f
     return rows.select("scenario_id", *SERIES, "target_date", "horizon", F.greatest(F.lit(0.0), F.col("p50") + F.col("zz") * F.greatest(F.col("p75") - F.col("p25"), F.lit(1e-6))).alias("quantity"))
 
 
+def copula_or_bootstrap(forecast: DataFrame, history: DataFrame, n: int, seed: int, least: int = 20) -> DataFrame:
+    """The copula where a series and horizon has ``least`` residuals, else the bootstrap; p50 in stores without any residual."""
+    key = [*SERIES, "horizon"]
+    enough = history.groupBy(*key).agg(F.count("scaled_residual").alias("n_")).where(F.col("n_") >= least).drop("n_")
+    made = copula(forecast, history.join(enough, key), n, seed)
+    sparse = forecast.join(enough, key, "left_anti")
+    drawn = bootstrap(sparse, history, n, seed).select(*made.columns)
+    bare = sparse.join(history.select("store_key").distinct(), "store_key", "left_anti").withColumn("scenario_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    return made.unionByName(drawn).unionByName(bare.withColumn("quantity", F.greatest(F.lit(0.0), F.col("p50"))).select(*made.columns))
+
+
 def declared_levels(rows: DataFrame, levels: list[tuple[float, float]], n: int, seed: int) -> DataFrame:
     """One weighted level per scenario for all rows: quantity = level * p50."""
     edges, total = [], 0.0

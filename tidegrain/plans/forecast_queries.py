@@ -234,7 +234,7 @@ def contiguous_suffix(spark, sf):
 
 @query("holt_winters")
 def holt_winters(spark, sf):
-    filled = history(spark, sf).where("last_observed_demand IS NOT NULL AND date >= DATE '2001-01-01'").select("store_key", "product_key", "date", F.col("last_observed_demand").alias("y"))
+    filled = history(spark, sf).where("last_observed_demand IS NOT NULL").select("store_key", "product_key", "date", F.col("last_observed_demand").alias("y"))
     return FC.holt_winters(filled)
 
 

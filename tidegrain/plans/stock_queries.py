@@ -134,8 +134,7 @@ def bootstrap_scenarios(spark, sf):
 
 @query("copula_scenarios")
 def copula_scenarios(spark, sf):
-    recent = residuals(spark, sf).where("forecast_origin >= DATE '2001-03-01'")
-    return S.copula(forecast(spark, sf), recent, 20, 5)
+    return S.copula_or_bootstrap(forecast(spark, sf), residuals(spark, sf), 20, 5)
 
 
 @query("declared_levels")
