@@ -276,3 +276,10 @@ def test_no_forecast_row_is_lost_to_sparse_residuals(spark):
     h = spark.createDataFrame([("S", p, D(2025, 1, 1) + dt.timedelta(t), 1, (t % 11 - 5) / 5) for p, n in (("rich", 40), ("few", 5)) for t in range(n)], "store_key string, product_key string, forecast_origin date, horizon int, scaled_residual double")
     got = scenarios.copula_or_bootstrap(f, h, 10, 7)
     assert {r.product_key: r["count"] for r in got.groupBy("product_key").count().collect()} == {"rich": 10, "few": 10, "none": 10, "new": 10}
+
+
+def test_every_order_line_gets_a_lead_time(spark):
+    from tidegrain.plans import QUERIES
+
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    assert QUERIES["supply_realisation"](spark, "/root/testdata/sf0.001").count() == 5 * lines

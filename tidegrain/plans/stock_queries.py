@@ -200,7 +200,7 @@ def supply_realisation(spark, sf):
     """Empirical lead times drawn per order line and scenario from its supplier's pool."""
     p = purchases(spark, sf)
     pools = p.groupBy("l_suppkey").agg(F.percentile("lead", F.array(*[F.lit(k / 10) for k in range(11)])).alias("pool"))
-    lines = p.where("o_orderdate >= DATE '2001-06-01'").withColumn("scenario_id", F.explode(F.sequence(F.lit(0), F.lit(4)))).join(pools, "l_suppkey")
+    lines = p.withColumn("scenario_id", F.explode(F.sequence(F.lit(0), F.lit(4)))).join(pools, "l_suppkey")
     u = S.uniform(F.lit(3), "scenario_id", "l_orderkey", "l_linenumber")
     return lines.select("scenario_id", "l_orderkey", "l_linenumber", F.date_add(F.to_date("o_orderdate"), F.round(F.element_at("pool", (u * 11).cast("int") + 1)).cast("int")).alias("arrival_date"))
 
