@@ -264,6 +264,12 @@ def test_registered_queries_have_matching_sql():
     assert set(sql) <= set(found) and len(found) > 150
 
 
+def test_sql_twins_are_texts():
+    import __spark_entry__ as entry
+
+    assert all(isinstance(text, str) for text in entry.oracle_sql().values())
+
+
 def test_short_series_get_the_seasonal_naive(spark):
     rows = [("S", k, D(2026, 1, 1) + dt.timedelta(i), float(i)) for k, n in (("nine", 9), ("three", 3), ("long", 20)) for i in range(n)]
     got = forecast.holt_winters(spark.createDataFrame(rows, "store_key string, product_key string, date date, y double")).collect()

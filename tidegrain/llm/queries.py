@@ -31,9 +31,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
-    "op4_secrets": op4_secrets,
-    "op6_near_duplicates": op6_near_duplicates,
-    "op7_rules": op7_rules,
     "op6_near_duplicates": OP6_SQL,
     "op8_mixing": OP8_SQL,
 }
