@@ -393,3 +393,13 @@ def test_a_hot_anchor_is_spread_over_buckets_and_never_sorted_in_a_shard(spark,
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
     rows = repeats.remove_repeats(docs).collect()
     assert {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in rows} == repeats_by_hand(texts, 100)
+
+
+def test_entropy_spans_keep_what_lies_beside_base_spans_and_harmless_words():
+    key, word = "aZ3kQ9xW7mB2vT5nR8cY1pL4", "0123456789abcdef" * 2
+    text = f"see {key}/{word} end"
+    base, every = secret_scan.scan(text)
+    assert [k for k, _, _ in base] == ["hex"] and key not in secret_scan.blank(text, every, "*")
+    kept = secret_scan.scan(f"path/sample/{key}")[1]
+    assert any(k == "entropy_base64" for k, _, _ in kept) and key not in secret_scan.blank(f"path/sample/{key}", kept, "*")
+    assert secret_scan.scan(f"sample-{key}")[1] == []

@@ -36,9 +36,10 @@ CLASSES = {"entropy_hex": (re.compile(rf"[0-9a-fA-F]{{{WINDOW},}}"), 3.0), "entr
 ALLOWED = (
     re.compile(r"[A-Za-z+/_=-]*"),  # no digit: words, paths and rulers
     re.compile(r"[0-9+/_=-]*"),  # no letter: numbers and dates
-    re.compile(r"(?i).*(example|sample|placeholder|changeme|your[_-]?key|dummy|x{6,}|0{8,}).*"),
     re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"),  # identifiers
 )
+HARMLESS = re.compile(r"(?i)example|sample|placeholder|changeme|your[_-]?key|dummy|x{6,}|0{8,}")
+FIELD = re.compile(r"[^/=]+")
 TERMS = [0.0, *[c * math.log2(c) for c in range(1, WINDOW + 1)]]
 
 Span = tuple[str, int, int]
@@ -76,7 +77,7 @@ def hot_windows(candidate: str, bits: float) -> list[tuple[int, int]]:
 
 
 def entropy_spans(text: str, taken: list[Span]) -> list[Span]:
-    """Spans of hot windows that are not allowed and touch no span found before."""
+    """Spans of hot windows that are not allowed, without what spans found before cover; what is left of one has WINDOW characters at least."""
     taken = sorted((s, e) for _, s, e in taken)
     found: list[Span] = []
     for kind, (pattern, bits) in CLASSES.items():
@@ -84,13 +85,28 @@ def entropy_spans(text: str, taken: list[Span]) -> list[Span]:
             if any(a.fullmatch(m[0]) for a in ALLOWED):
                 continue
             for start, end in hot_windows(m[0], bits):
-                start, end = m.start() + start, m.start() + end
-                if not any(a.fullmatch(text[start:end]) for a in ALLOWED) and all(e <= start or end <= s for s, e in taken):
-                    found.append((kind, start, end))
+                for s, e in outside(m.start() + start, m.start() + end, sorted([*taken, *harmless(m)])):
+                    if e - s >= WINDOW and not any(a.fullmatch(text[s:e]) for a in ALLOWED):
+                        found.append((kind, s, e))
         taken = sorted([*taken, *[(s, e) for _, s, e in found]])
     return found
 
 
+def outside(start: int, end: int, taken: list[Span]) -> list[tuple[int, int]]:
+    """What of start..end lies in none of the sorted spans."""
+    out = []
+    for s, e in taken:
+        if e > start and s < end:
+            out.append((start, s))
+            start = max(start, e)
+    return [(s, e) for s, e in [*out, (start, end)] if s < e]
+
+
+def harmless(candidate: re.Match) -> list[tuple[int, int]]:
+    """The fields of a candidate, cut at / and =, that hold a harmless word."""
+    return [(candidate.start() + m.start(), candidate.start() + m.end()) for m in FIELD.finditer(candidate[0]) if HARMLESS.search(m[0])]
+
+
 def in_order(spans: list[Span]) -> list[Span]:
     return sorted(spans, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
