@@ -395,6 +395,25 @@ def test_a_hot_anchor_is_spread_over_buckets_and_never_sorted_in_a_shard(spark,
     assert {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in rows} == repeats_by_hand(texts, 100)
 
 
+WRAPPED = {
+    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights",
+    "BSD": "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions\n# are met:",
+    "GPL-3.0": " * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation, either version 3 of the License, or",
+    "GPL-2.0": "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version 2 of the License, or",
+}
+
+
+def test_wrapped_and_broken_off_licenses_are_found(spark):
+    r = np.random.default_rng(6)
+    filler = [" ".join("".join(r.choice(list("aeinrst"), 6)) for _ in range(30)) for _ in range(60)]
+    texts = [f"{filler[i]}\n{filler[i + 1]}\n\n{t}\n\n{filler[i + 2]}" for i, t in enumerate(WRAPPED.values())]
+    texts += [WRAPPED["MIT"].split("\n")[0], WRAPPED["BSD"].split("\n")[0], "Released under the MIT License.\nLicensed under the Apache License, Version 2.0."]
+    docs = make(spark, texts + filler)
+    rows = licenses.scan(docs, licenses.train(docs)).collect()
+    assert sorted((x.doc_id, x.family) for x in rows) == [*enumerate(WRAPPED), (4, "MIT"), (5, "BSD"), (6, "Apache-2.0"), (6, "MIT")]
+    assert {x.paragraph for x in rows if x.doc_id < 4} == {3} and {x.paragraph for x in rows if x.doc_id == 6} == {0, 1}
+
+
 def test_entropy_spans_keep_what_lies_beside_base_spans_and_harmless_words():
     key, word = "aZ3kQ9xW7mB2vT5nR8cY1pL4", "0123456789abcdef" * 2
     text = f"see {key}/{word} end"
