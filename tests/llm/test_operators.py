@@ -303,12 +303,69 @@ def test_mixing_targets_and_draws(spark, odd):
     assert len(shards) > 4 and max(shards.values()) - min(shards.values()) <= 1
     again = mixing.mix(docs.repartition(7), block_words=16, blocks_per_shard=128).draws.collect()
     assert sorted(map(tuple, rows), key=str) == sorted(map(tuple, again), key=str)
+    # Every shard draws the runs of its leaf, and nothing is drawn besides.
+    quotas = Counter((r.source, r.block, r.doc_id, r.copy) for r in rows)
+    assert set(quotas.values()) == {1}
+    places = defaultdict(list)
+    for r in rows:
+        places[r.shard].append(r.place)
+    assert all(sorted(p) == list(range(1, len(p) + 1)) for p in places.values())
     whole = mixing.mixed_documents(docs)
     assert whole.columns == docs.columns and whole.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 2
     assert mixing.mix(odd).documents.agg(F.sum("n_rows")).first()[0] == len(ODD) + 2
     assert mixing.mix(odd.limit(0)).draws.count() == 0
 
 
+def test_mixing_tree_runs_are_disjoint_and_add_up(spark):
+    quotas = {0: 700, 1: 0, 2: 41, 3: 3000}
+    rows = mixing.split_tree(spark.createDataFrame(list(quotas.items()), "source_no int, quota long"), 5).collect()
+    by_source = defaultdict(list)
+    for r in rows:
+        by_source[r.source_no].append((r.start, r.n, r.shard))
+    for no, n in quotas.items():
+        at = 0
+        for start, own, _ in sorted(by_source[no]):
+            assert start == at and own > 0
+            at += own
+        assert at == n
+    sizes = Counter()
+    for r in rows:
+        sizes[r.shard] += r.n
+    assert len(sizes) == 32 and max(sizes.values()) - min(sizes.values()) <= 1
+
+
+def test_mixing_query_matches_sql_with_a_deep_tree_and_the_draws_decide_it(spark, tmp_path, monkeypatch):
+    import duckdb
+
+    texts = [" ".join(["w"] * (1 + (i * i) % 2000)) for i in range(120)]
+    make(spark, texts, [None if i % 50 == 0 else f"s{min(4, i % 7)}" for i in range(120)]).write.parquet(f"{tmp_path}/documents.parquet")
+    mix = mixing.mix
+    monkeypatch.setattr(mixing, "mix", lambda df: mix(df, blocks_per_shard=64))
+    got = mixing.op8_mixing(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(mixing.op8_sql(64))
+    names = [c[0] for c in want.description]
+    near = lambda rows: sorted(tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in rows)
+    rows = near(want.fetchall())
+    assert near(tuple(r[n] for n in names) for r in got.collect()) == rows
+    assert len({part.split(":")[0] for r in rows for part in r[names.index("shards")].split(",") if part}) > 8
+    for r in (dict(zip(names, r)) for r in rows):  # what the shards draw of a document is what the mix takes of it
+        assert r["taken"] == sum(int(part.split(":")[1]) for part in r["shards"].split(",") if part) and r["taken"] <= 2 * r["size"]
+
+
+def test_mixed_documents_keep_clashing_columns_and_come_shard_by_shard(spark):
+    docs = make(spark, [" ".join(["w"] * (1 + i % 9)) for i in range(60)], [f"s{i % 3}" for i in range(60)])
+    for name in ("row", "id", "of", "words", "size", "size_", "times_", "copy_", "d", "s", "w", "d_", "s_", "w_", "shard", "place"):
+        docs = docs.withColumn(name, F.lit("own"))
+    out = mixing.mixed_documents(docs, blocks_per_shard=16)
+    rows = out.collect()
+    assert out.columns == docs.columns and all(r[n] == "own" for r in rows for n in docs.columns[5:])
+    order = {(r.doc_id, k): (r.shard, r.place) for r in mixing.mix(docs, block_words=None, blocks_per_shard=16).draws.collect() for k in [r.copy]}
+    drawn = Counter(i for i, _ in order)
+    assert Counter(r.doc_id for r in rows) == drawn
+
+
 def test_hypergeometric_draws_follow_the_law(spark):
     n = 20_000
     u = (F.col("id") + 0.5) / n
