@@ -35,6 +35,11 @@ MARKED = {
 }
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often the body reads it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def clean(c: Column) -> Column:
     """Trimmed text; empty is null."""
     return F.nullif(F.trim(c), F.lit(""))
@@ -67,45 +72,71 @@ def parse_boolean(c: Column) -> Column:
     return F.when(word.isin(*TRUE_WORDS), True).when(word.isin(*FALSE_WORDS), False)
 
 
-def number_issue(c: Column) -> Column:
-    """AMBIGUOUS where one separator could group thousands, INVALID where no number is left, else null."""
-    t = F.replace(F.coalesce(clean(c), F.lit("")), F.lit(" "), F.lit(""))
-    commas, dots = F.regexp_count(t, F.lit(",")), F.regexp_count(t, F.lit(r"\."))
-    tail = F.length(F.substring_index(F.translate(t, ",", "."), ".", -1))
-    unclear = ((commas > 0) != (dots > 0)) & ((commas + dots > 1) | (tail == 3))
-    return F.when(t == "", None).when(unclear, "NUMBER_SEPARATOR_AMBIGUOUS").when(_number_text(t).try_cast("double").isNull(), "NUMBER_INVALID")
+def _number(c: Column) -> Column:
+    """number and issue of a text, read once."""
+
+    def marked(t: Column) -> Column:
+        commas, dots = F.length(t) - F.length(F.replace(t, F.lit(","))), F.length(t) - F.length(F.replace(t, F.lit(".")))
+        comma_last = F.length(F.substring_index(t, ",", -1)) < F.length(F.substring_index(t, ".", -1))
+        return let(F.struct(t.alias("t"), commas.alias("commas"), dots.alias("dots"), comma_last.alias("comma_last")), read)
 
+    def read(x: Column) -> Column:
+        t, commas, dots = x["t"], x["commas"], x["dots"]
+        plain = F.when((commas > 0) & (dots > 0), F.when(x["comma_last"], F.translate(t, ",.", ".")).otherwise(F.translate(t, ",", ""))).otherwise(F.translate(t, ",", "."))
+        tail = F.length(F.substring_index(F.translate(t, ",", "."), ".", -1))
+        unclear = ((commas > 0) != (dots > 0)) & ((commas + dots > 1) | (tail == 3))
+        return let(F.struct(plain.try_cast("double").alias("number"), unclear.alias("unclear"), (t == "").alias("empty")), judged)
 
-def _number_text(t: Column) -> Column:
-    both = t.contains(",") & t.contains(".")
-    comma_last = F.length(F.substring_index(t, ",", -1)) < F.length(F.substring_index(t, ".", -1))
-    return F.when(both & comma_last, F.translate(t, ",.", ".")).when(both, F.translate(t, ",", "")).otherwise(F.translate(t, ",", "."))
+    def judged(x: Column) -> Column:
+        issue = F.when(x["empty"], None).when(x["unclear"], "NUMBER_SEPARATOR_AMBIGUOUS").when(x["number"].isNull(), "NUMBER_INVALID")
+        return F.struct(F.when(~x["unclear"], x["number"]).alias("number"), issue.alias("issue"))
+
+    return let(F.replace(F.coalesce(clean(c), F.lit("")), F.lit(" "), F.lit("")), marked)
+
+
+def number_issue(c: Column) -> Column:
+    """AMBIGUOUS where one separator could group thousands, INVALID where no number is left, else null."""
+    return _number(c)["issue"]
 
 
 def parse_number(c: Column) -> Column:
     """Number with either decimal separator; null where number_issue has a code."""
-    t = F.replace(clean(c), F.lit(" "), F.lit(""))
-    return F.when(number_issue(c).isNull(), _number_text(t).try_cast("double"))
+    return _number(c)["number"]
+
+
+ISO_DATE, LOCAL_DATE = r"^\d{4}-\d{1,2}-\d{1,2}$", r"^\d{1,2}-\d{1,2}-\d{4}$"
+
+
+def _date(c: Column, locale: str | None) -> Column:
+    """date and issue of a text, read once."""
+
+    def local(t: Column) -> Column:
+        cells = F.transform(F.split(t, "-"), lambda x: x.try_cast("int"))
+
+        def made(n: Column) -> Column:
+            clear = (n[0] > 12) | (n[1] > 12) if locale is None else F.lit(True)
+            day_first = n[0] > 12 if locale is None else F.lit(locale == "DMY")
+            month, day = F.when(day_first, n[1]).otherwise(n[0]), F.when(day_first, n[0]).otherwise(n[1])
+            date = F.concat_ws("-", F.lpad(n[2].cast("string"), 4, "0"), F.lpad(month.cast("string"), 2, "0"), F.lpad(day.cast("string"), 2, "0")).try_cast("date")
+            return F.struct(F.when(clear, date).alias("date"), (~clear).alias("unclear"))
+
+        return let(cells, made)
+
+    def read(t: Column) -> Column:
+        none = F.lit(None).cast("date")
+        return F.when(t.rlike(ISO_DATE), F.struct(t.try_cast("date").alias("date"), F.lit(False).alias("unclear"))).when(t.rlike(LOCAL_DATE), local(t)).otherwise(F.struct(none.alias("date"), F.lit(False).alias("unclear")))
+
+    return let(F.translate(clean(c), "/", "-"), read)
 
 
 def parse_date(c: Column, locale: str | None = None) -> Column:
     """ISO dates, or day/month/year by ``locale`` (DMY, MDY); without a locale only where one part exceeds 12."""
-    t = F.translate(clean(c), "/", "-")
-    pattern = r"^(\d{1,2})-(\d{1,2})-(\d{4})$"
-    first, second, year = (F.regexp_extract(t, pattern, i).try_cast("int") for i in (1, 2, 3))
-    clear = (first > 12) | (second > 12) if locale is None else F.lit(True)
-    day_first = first > 12 if locale is None else F.lit(locale == "DMY")
-    made = F.when(day_first, F.format_string("%04d-%02d-%02d", year, second, first)).otherwise(F.format_string("%04d-%02d-%02d", year, first, second))
-    iso = t.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$")
-    return F.when(iso, t.try_cast("date")).when(t.rlike(pattern) & clear, made.try_cast("date"))
+    return _date(c, locale)["date"]
 
 
 def date_issue(c: Column, locale: str | None = None) -> Column:
-    t = F.translate(clean(c), "/", "-")
-    pattern = r"^(\d{1,2})-(\d{1,2})-(\d{4})$"
-    both_small = (F.regexp_extract(t, pattern, 1).try_cast("int") <= 12) & (F.regexp_extract(t, pattern, 2).try_cast("int") <= 12)
-    unclear = t.rlike(pattern) & both_small if locale is None else F.lit(False)
-    return F.when(t.isNull(), None).when(unclear, "DATE_LOCALE_AMBIGUOUS").when(parse_date(c, locale).isNull(), "DATE_INVALID")
+    """AMBIGUOUS where day and month could be exchanged, INVALID where no date is left, else null."""
+    return let(_date(c, locale), lambda x: F.when(clean(c).isNull(), None).when(x["unclear"], "DATE_LOCALE_AMBIGUOUS").when(x["date"].isNull(), "DATE_INVALID"))
 
 
 def normalize_unit(c: Column, aliases: dict[str, tuple[str, ...]] = PLANNING_UNITS) -> Column:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import bisect
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY = ["store_key", "ingredient_id"]
+START, NEVER = -(1 << 30), 1 << 30  # as days: what is on hand before the first one, and the expiry of what does not expire
 
 
 def fefo_order() -> list[Column]:
@@ -34,44 +38,58 @@ def ledger(lots: DataFrame, demand: DataFrame, inbound: DataFrame, keys: list[st
     """Daily ledger per key: inbound, expiry, first-expired-first-out service, balances. Keys are independent.
 
     lots: keys, lot_id, quantity, expiry_date, received_date. inbound: the same with arrival_date. demand: keys, date, demand, the days
-    to simulate. The fold over days carries the lots that are left, in order of expiry; lots of equal dates are one, so that it grows
-    with pairs of dates and not with lots.
+    to simulate; lots that arrive on another day are not counted. Lots of equal dates are one before a key's days are folded, so a fold
+    has as many entries as days and pairs of dates, however many lots there are, and carries one quantity for each expiry date.
     """
     lots, inbound = by_dates(lots, keys), by_dates(inbound, [*keys, "arrival_date"])
-    lot = F.struct(F.coalesce("expiry_date", F.lit("9999-12-31").cast("date")).alias("e"), F.coalesce("received_date", F.lit("9999-12-31").cast("date")).alias("r"), F.col("lot_id").alias("id"), F.col("quantity").alias("q"))
-    start = lots.groupBy(*keys).agg(F.array_sort(F.collect_list(lot)).alias("lots"))
-    coming = inbound.withColumn("lot_", lot).groupBy(*keys, F.col("arrival_date").alias("date")).agg(F.array_sort(F.collect_list("lot_")).alias("inbound"))
-    none = F.array().cast("array<struct<e:date,r:date,id:string,q:double>>")
-    days = demand.join(coming, [*keys, "date"], "left").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("date", "demand", F.coalesce("inbound", none).alias("inbound")))).alias("days"))
-    rows = days.join(start, keys, "left")
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x["q"])
-    let = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
-    out_type = "array<struct<date:date,beginning:double,inbound:double,maximum:double,expired:double,demand:double,fulfilled:double,ending:double>>"
-
-    def day(state: Column, d: Column) -> Column:
-        def after(x: Column) -> Column:
-            # served: lots in order, each giving what the demand still wants
-            served = F.aggregate(
-                x["usable"], F.struct(d["demand"].alias("want"), none.alias("kept")),
-                lambda s, l: F.struct(F.greatest(F.lit(0.0), s["want"] - l["q"]).alias("want"), F.when(l["q"] > s["want"], F.concat(s["kept"], F.array(F.struct(l["e"].alias("e"), l["r"].alias("r"), l["id"].alias("id"), (l["q"] - s["want"]).alias("q"))))).otherwise(s["kept"]).alias("kept")),
-            )
-
-            def close(s: Column) -> Column:
-                beginning, arrived = total(state["lots"]), total(d["inbound"])
-                line = F.struct(
-                    d["date"].alias("date"), beginning.alias("beginning"), arrived.alias("inbound"), (beginning + arrived).alias("maximum"), (beginning + arrived - total(x["usable"])).alias("expired"),
-                    d["demand"].alias("demand"), (d["demand"] - s["want"]).alias("fulfilled"), total(s["kept"]).alias("ending"),
-                )
-                return F.struct(s["kept"].alias("lots"), F.concat(state["out"], F.array(line)).alias("out"))
-
-            return let(served, close)
-
-        usable = F.array_sort(F.filter(F.concat(state["lots"], d["inbound"]), lambda l: l["e"] >= d["date"]))
-        return let(F.struct(usable.alias("usable")), after)
-
-    start_state = F.struct(F.coalesce("lots", none).alias("lots"), F.array().cast(out_type).alias("out"))
-    lines = rows.select(*keys, F.inline(F.aggregate("days", start_state, day, lambda s: s["out"])))
-    return lines.withColumn("shortage", F.col("demand") - F.col("fulfilled"))
+    none = F.lit(None).cast("double")
+    expiry = F.coalesce(F.unix_date("expiry_date"), F.lit(NEVER)).alias("expiry")
+    events = (
+        lots.select(*keys, F.lit(START).alias("day"), expiry, "quantity", none.alias("demand"))
+        .unionByName(inbound.select(*keys, F.unix_date("arrival_date").alias("day"), expiry, "quantity", none.alias("demand")))
+        .unionByName(demand.select(*keys, F.unix_date("date").alias("day"), F.lit(NEVER).alias("expiry"), none.alias("quantity"), F.coalesce(F.col("demand").cast("double"), F.lit(0.0)).alias("demand")))
+    )
+    kinds = {f.name: f.dataType.simpleString() for f in demand.schema.fields}
+    columns = ["beginning", "inbound", "maximum", "expired", "demand", "fulfilled", "ending"]
+    fold = lambda key, rows: pd.DataFrame({**dict(zip(keys, key, strict=True)), **fold_days(rows, columns)})
+    lines = events.groupBy(*keys).applyInPandas(fold, ", ".join([*[f"{k} {kinds[k]}" for k in keys], "day int", *[f"{c} double" for c in columns]]))
+    return lines.select(*keys, F.date_from_unix_date("day").alias("date"), *columns, (F.col("demand") - F.col("fulfilled")).alias("shortage"))
+
+
+def fold_days(rows: pd.DataFrame, columns: list[str]) -> dict[str, list]:
+    """The days of one key in order. ``rows``: arrivals (day, expiry, quantity) and days to simulate (day, demand)."""
+    asked = rows["demand"].notna()
+    arriving: dict[int, list[tuple[int, float]]] = {}
+    for day, expiry, quantity in rows.loc[~asked, ["day", "expiry", "quantity"]].sort_values(["day", "expiry"]).itertuples(index=False):
+        arriving.setdefault(day, []).append((expiry, quantity))
+    stock: dict[int, float] = {}  # quantity by expiry date
+    order: list[int] = []  # its keys, ascending
+
+    def add(found: list[tuple[int, float]]) -> float:
+        for expiry, quantity in found:
+            if expiry not in stock:
+                bisect.insort(order, expiry)
+            stock[expiry] = stock.get(expiry, 0.0) + quantity
+        return sum(q for _, q in found)
+
+    add(arriving.get(START, []))
+    out: dict[str, list] = {"day": [], **{c: [] for c in columns}}
+    for day, want in rows.loc[asked, ["day", "demand"]].sort_values("day").itertuples(index=False):
+        beginning, arrived = sum(stock.values()), add(arriving.get(day, []))
+        expired = 0.0
+        while order and order[0] < day:
+            expired += stock.pop(order.pop(0))
+        left = want
+        while order and left > 0:
+            held = stock[order[0]]
+            if held > left:
+                stock[order[0]], left = held - left, 0.0
+            else:
+                left -= held
+                del stock[order.pop(0)]
+        for name, value in zip(out, (day, beginning, arrived, beginning + arrived, expired, want, want - left, sum(stock.values())), strict=True):
+            out[name].append(value)
+    return out
 
 
 def unbalanced(lines: DataFrame, tolerance: float = 1e-6) -> DataFrame:

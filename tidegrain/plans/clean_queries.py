@@ -91,10 +91,9 @@ def parse_date_locale(spark, sf):
 KEY_SQL = f"regexp_replace(regexp_replace(translate(lower(trim(coalesce({{c}}, ''))), '{MARKS}', '{PLAIN}'), '[^a-z0-9]+', '_', 'g'), '^_|_$', '', 'g')"
 
 
-@query("text_key", "", f"SELECT doc_id, {KEY_SQL.format(c='substr(text, 1, 80)')} AS key, 'DOC_' || substr(sha1({KEY_SQL.format(c='substr(text, 1, 80)')}), 1, 12) AS id FROM documents")
+@query("text_key", "", f"SELECT doc_id, {KEY_SQL.format(c='text')} AS key, 'DOC_' || substr(sha1({KEY_SQL.format(c='text')}), 1, 12) AS id FROM documents")
 def text_key(spark, sf):
-    head = F.substring("text", 1, 80)
-    return table(spark, sf, "documents").select("doc_id", T.text_key(head).alias("key"), T.stable_id("DOC", head).alias("id"))
+    return table(spark, sf, "documents").select("doc_id", T.text_key(F.col("text")).alias("key"), T.stable_id("DOC", F.col("text")).alias("id"))
 
 
 @query("unit_alias", "raw_sales", f"SELECT unit_text, {IMPORT_CASE.format(c='lower(trim(unit_text))')} AS import_unit, {PLAN_CASE.format(c='lower(trim(unit_text))')} AS planning_unit, count(*) AS n FROM raw_sales GROUP BY 1")
@@ -214,12 +213,13 @@ def row_contracts(spark, sf):
     return table(spark, sf, "customer").groupBy(F.array_join(checks.failed(rules), ",").alias("failed")).agg(F.count("*").alias("n"))
 
 
-@query("column_operations", "raw_sales", "SELECT row_id, trim(store_text) AS store, n_name AS nation, l.quantity * 0.001::DOUBLE AS quantity, 'kg' AS unit FROM (SELECT *, try_cast(replace(CASE WHEN quantity_text = '1,234' THEN NULL ELSE quantity_text END, ',', '.') AS DOUBLE) AS quantity, row_id % 25 AS nk FROM raw_sales) l JOIN nation ON nk = n_nationkey WHERE lower(unit_text) = 'grams'")
+@query("column_operations", "raw_sales", f"SELECT row_id, trim(store_text) AS store, n_name AS nation, l.quantity * CASE WHEN u = 'g' THEN 0.001::DOUBLE ELSE 1 END AS quantity, CASE WHEN u = 'g' THEN 'kg' ELSE u END AS unit FROM (SELECT *, try_cast(replace(CASE WHEN quantity_text = '1,234' THEN NULL ELSE quantity_text END, ',', '.') AS DOUBLE) AS quantity, row_id % 25 AS nk, CASE lower(trim(unit_text)) WHEN 'grams' THEN 'g' ELSE lower(trim(unit_text)) END AS u FROM raw_sales) l JOIN nation ON nk = n_nationkey")
 def column_operations(spark, sf):
     from tidegrain.operators.columns import apply_operations
 
     codes = table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("code"), F.col("n_name").alias("meaning"))
-    rows = raw_sales(spark, sf).where(F.lower("unit_text") == "grams").select("row_id", F.col("store_text").alias("store"), (F.col("row_id") % 25).alias("nation"), F.col("quantity_text").alias("quantity"), F.lit("g").alias("unit"))
+    unit = F.lower(F.trim("unit_text"))
+    rows = raw_sales(spark, sf).select("row_id", F.col("store_text").alias("store"), (F.col("row_id") % 25).alias("nation"), F.col("quantity_text").alias("quantity"), F.when(unit == "grams", "g").otherwise(unit).alias("unit"))
     steps = [("trim", "store"), ("parse_number", "quantity"), ("lookup", "nation", codes), ("convert", "quantity", "unit", "g", "kg", 0.001)]
     return apply_operations(rows, steps)
 

@@ -150,14 +150,13 @@ def method_dispatch(spark, sf):
 
 
 part("worlds", "SELECT unnest(range(10)) AS scenario_id, 0.1::DOUBLE AS weight")
-part("wneeds", "SELECT scenario_id, weight, store_key, ingredient_id, date, base_unit, quantity * (0.7 + 0.06 * scenario_id) AS quantity FROM @needs CROSS JOIN @worlds WHERE date >= DATE '2001-10-01'")
+part("wneeds", "SELECT scenario_id, weight, store_key, ingredient_id, date, base_unit, quantity * (0.7 + 0.06 * scenario_id) AS quantity FROM @needs CROSS JOIN @worlds")
 
 
-def world_needs(spark, sf, start="2001-10-01"):
-    """Ingredient demand from a planning date on in ten weighted worlds."""
+def world_needs(spark, sf):
+    """Ingredient demand of all days in ten weighted worlds."""
     worlds = F.inline(F.array(*[F.struct(F.lit(k).cast("long").alias("scenario_id"), F.lit(0.1).alias("weight")) for k in range(10)]))
-    n = needs(spark, sf).where(F.col("date") >= DAY(start)).select("*", worlds)
-    return n.withColumn("quantity", F.col("quantity") * (0.7 + 0.06 * F.col("scenario_id")))
+    return needs(spark, sf).select("*", worlds).withColumn("quantity", F.col("quantity") * (0.7 + 0.06 * F.col("scenario_id")))
 
 
 @query("ingredient_scenarios", "wneeds", "SELECT scenario_id, store_key, ingredient_id, base_unit, round(sum(quantity), 5) AS quantity FROM wneeds GROUP BY 1, 2, 3, 4")
@@ -248,50 +247,86 @@ def initial_lots(spark, sf):
     return x.groupBy(*KEY).agg(F.count("*").alias("n"), F.sum("quantity").alias("quantity"), F.min("expiry_date").alias("first_expiry"))
 
 
-def ledger_inputs(spark, sf, start="2001-10-01"):
-    """Lots on hand at the start, arrivals after it, and daily demand of every key from it to the last sale."""
-    day = DAY(start)
+PORTION = 0.04  # of a day's need that the lots of one ingredient serve: there are 25 brands
+
+
+def ledger_inputs(spark, sf):
+    """No lots on hand before the first day; every lot arrives when it is received; daily demand of every key, first to last day of the lots, from its recipes' needs."""
     every = lots(spark, sf)
-    stock = every.where((F.col("received_date") < day) & (F.coalesce("expiry_date", DAY("9999-12-31")) >= day))
-    coming = every.where(F.col("received_date") >= day).withColumn("arrival_date", F.col("received_date"))
-    ends = every.agg(F.max("received_date").alias("b"))
-    days = every.select(*KEY).distinct().crossJoin(F.broadcast(ends)).select(*KEY, F.explode(F.sequence(day, F.col("b"))).alias("date"))
-    return stock, coming, days.withColumn("demand", (F.pmod(F.xxhash64(*KEY, "date"), F.lit(9))).cast("double"))
+    ends = every.agg(F.min("received_date").alias("a"), F.max("received_date").alias("b"))
+    days = every.select(*KEY).distinct().crossJoin(F.broadcast(ends)).select(*KEY, F.explode(F.sequence("a", "b")).alias("date"))
+    needed = needs(spark, sf).groupBy(*KEY, "date").agg((F.sum("quantity") * PORTION).alias("demand"))
+    return every.limit(0), every.withColumn("arrival_date", F.col("received_date")), days.join(needed, [*KEY, "date"], "left").withColumn("demand", F.coalesce("demand", F.lit(0.0)))
 
 
-@query("lot_ledger")
-def lot_ledger(spark, sf):
+def simulated(spark, sf, runs):
+    """Ledgers of several runs at once: (name, factor of demand, factor of arriving quantities, days of delay)."""
     stock, coming, demand = ledger_inputs(spark, sf)
-    return I.ledger(stock, demand, coming, KEY)
+    kinds = F.inline(F.array(*[F.struct(F.lit(n).alias("run"), F.lit(float(d)).alias("f_demand"), F.lit(float(q)).alias("f_inbound"), F.lit(t).alias("delay")) for n, d, q, t in runs]))
+    made = lambda df: df.select("*", kinds)
+    coming = made(coming).withColumn("quantity", F.col("quantity") * F.col("f_inbound")).withColumn("arrival_date", F.date_add("arrival_date", F.col("delay")))
+    return I.ledger(made(stock), made(demand).withColumn("demand", F.col("demand") * F.col("f_demand")), coming, ["run", *KEY])
+
+
+def simulated_sql(runs, body):
+    """SQL twin: a step of the recursion is a day of all runs and keys; dated lots are a list in order of expiry, the others one number."""
+    listed = ", ".join(f"('{n}', {float(d)}::DOUBLE, {float(q)}::DOUBLE, {t})" for n, d, q, t in runs)
+    return f""", runs(run, fd, fi, delay) AS (VALUES {listed}),
+arrivals AS (SELECT run, store_key, ingredient_id, date, list({{'e': e, 'q': q}} ORDER BY e) FILTER (e IS NOT NULL) AS dated, coalesce(sum(q) FILTER (e IS NULL), 0) AS undated
+  FROM (SELECT run, store_key, ingredient_id, received_date + delay AS date, expiry_date AS e, sum(quantity * fi) AS q FROM lots CROSS JOIN runs GROUP BY ALL) GROUP BY ALL),
+days AS MATERIALIZED (SELECT k.run, k.store_key, k.ingredient_id, row_number() OVER (PARTITION BY k.run, k.store_key, k.ingredient_id ORDER BY k.date) AS n, k.date, coalesce(p.theoretical, 0) * {PORTION}::DOUBLE * fd AS demand, coalesce(a.dated, []) AS dated, coalesce(a.undated, 0)::DOUBLE AS undated
+  FROM (SELECT * FROM (SELECT DISTINCT store_key, ingredient_id FROM lots) CROSS JOIN runs CROSS JOIN (SELECT unnest(generate_series(min(received_date), max(received_date), INTERVAL 1 DAY))::DATE AS date FROM lots)) k
+  LEFT JOIN pairs p ON p.store_key = k.store_key AND p.ingredient_id = k.ingredient_id AND p.date = k.date LEFT JOIN arrivals a ON a.run = k.run AND a.store_key = k.store_key AND a.ingredient_id = k.ingredient_id AND a.date = k.date),
+led AS (SELECT run, store_key, ingredient_id, 0::BIGINT AS n, NULL::DATE AS date, []::STRUCT(e DATE, q DOUBLE)[] AS kept, 0::DOUBLE AS forever, 0::DOUBLE AS beginning, 0::DOUBLE AS inbound, 0::DOUBLE AS expired, 0::DOUBLE AS demand, 0::DOUBLE AS fulfilled, 0::DOUBLE AS ending FROM (SELECT DISTINCT store_key, ingredient_id FROM lots) CROSS JOIN runs
+  UNION ALL SELECT run, store_key, ingredient_id, n, date, kept, forever, beginning, inbound, expired, demand, fulfilled, coalesce(list_sum(list_transform(kept, lambda x: x.q)), 0) + forever AS ending
+  FROM (SELECT *, list_filter(list_transform(usable, lambda x, i: {{'e': x.e, 'q': x.q - greatest(0, least(x.q, demand - (sums[i] - x.q)))}}), lambda x: x.q > 0) AS kept, whole - greatest(0, least(whole, demand - served)) AS forever, least(demand, served + whole) AS fulfilled
+    FROM (SELECT *, list_transform(usable, lambda x, i: list_sum(list_transform(usable[1:i], lambda y: y.q))) AS sums, coalesce(list_sum(list_transform(usable, lambda x: x.q)), 0) AS served, coalesce(list_sum(list_transform(list_filter(together, lambda x: x.e < date), lambda x: x.q)), 0) AS expired
+      FROM (SELECT *, list_filter(together, lambda x: x.e >= date) AS usable FROM (SELECT d.run, d.store_key, d.ingredient_id, d.n, d.date, d.demand, list_sort(list_concat(l.kept, d.dated)) AS together, l.forever + d.undated AS whole, l.ending AS beginning, coalesce(list_sum(list_transform(d.dated, lambda x: x.q)), 0) + d.undated AS inbound
+        FROM led l JOIN days d ON d.run = l.run AND d.store_key = l.store_key AND d.ingredient_id = l.ingredient_id AND d.n = l.n + 1))))),
+lines AS (SELECT *, demand - fulfilled AS shortage FROM led WHERE n > 0),
+sums AS (SELECT run, store_key, ingredient_id, sum(demand) AS demand, sum(fulfilled) AS fulfilled, sum(shortage) AS shortage, sum(expired) AS expired, max(beginning + inbound) AS maximum, coalesce(sum(fulfilled) / nullif(sum(demand), 0), 1) AS fill_rate, min(CASE WHEN shortage > 1e-9 THEN date END) AS first_stockout FROM lines GROUP BY 1, 2, 3)
+{body}"""
+
+
+ONE = [("plan", 1, 1, 0)]
+WORLDS = [(str(k), 0.6 + 0.2 * k, 1, 0) for k in range(5)]
+LEVELS = [("LOW", 0.7, 1, 0), ("MEDIAN", 1, 1, 0), ("HIGH", 1.4, 1, 0)]
+STRESSES = [("surge", 1.5, 1, 0), ("late", 1, 1, 3)]
+PLANS = [("half", 1, 0.5, 0), ("whole", 1, 1, 0), ("double", 1, 2, 0)]
+THREE = [("old_on_old", 1, 1, 0), ("old_on_new", 1.2, 1, 0), ("new_on_new", 1.2, 1.3, 0)]
+SUMS_SQL = "SELECT run, store_key, ingredient_id, round(demand, 3) AS demand, round(fulfilled, 3) AS fulfilled, round(shortage, 3) AS shortage, round(expired, 3) AS expired, round(maximum, 3) AS maximum, round(fill_rate, 6) AS fill_rate, first_stockout FROM sums"
+
+
+def summaries(spark, sf, runs):
+    return I.summarize(simulated(spark, sf, runs), ["run", *KEY])
+
+
+def _sums(df):
+    return df.select("run", *KEY, *[F.round(c, 3).alias(c) for c in ("demand", "fulfilled", "shortage", "expired", "maximum")], F.round("fill_rate", 6).alias("fill_rate"), "first_stockout")
 
 
-def _worlds(df, n=5):
-    return df.withColumn("scenario_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+LINES = ("beginning", "inbound", "expired", "demand", "fulfilled", "ending", "shortage")
 
 
-@query("world_ledgers")
+@query("lot_ledger", "lots pairs", simulated_sql(ONE, "SELECT store_key, ingredient_id, date, " + ", ".join(f"round({c}, 4) AS {c}" for c in LINES) + " FROM lines"))
+def lot_ledger(spark, sf):
+    return simulated(spark, sf, ONE).select(*KEY, "date", *[F.round(c, 4).alias(c) for c in LINES])
+
+
+@query("world_ledgers", "lots pairs", simulated_sql(WORLDS, "SELECT store_key, ingredient_id, round(avg((shortage > 1e-9)::INT), 6) AS p_stockout, round(avg(shortage), 3) AS shortage, round(avg(fill_rate), 6) AS fill_rate, round(avg(expired), 3) AS expired FROM sums GROUP BY 1, 2"))
 def world_ledgers(spark, sf):
-    stock, coming, demand = ledger_inputs(spark, sf)
-    demand = _worlds(demand).withColumn("demand", F.col("demand") * (0.6 + 0.2 * F.col("scenario_id")))
-    lines = I.ledger(_worlds(stock), demand, _worlds(coming), ["scenario_id", *KEY])
-    return I.risk(I.summarize(lines, ["scenario_id", *KEY]).withColumn("weight", F.lit(0.2)), KEY)
+    r = I.risk(summaries(spark, sf, WORLDS).withColumn("weight", F.lit(0.2)), KEY)
+    return r.select(*KEY, F.round("p_stockout", 6).alias("p_stockout"), F.round("shortage", 3).alias("shortage"), F.round("fill_rate", 6).alias("fill_rate"), F.round("expired", 3).alias("expired"))
 
 
-@query("quantile_ledgers")
+@query("quantile_ledgers", "lots pairs", simulated_sql(LEVELS, SUMS_SQL))
 def quantile_ledgers(spark, sf):
-    stock, coming, demand = ledger_inputs(spark, sf)
-    levels = F.inline(F.array(*[F.struct(F.lit(n).alias("scenario_id"), F.lit(f).alias("f")) for n, f in (("LOW", 0.7), ("MEDIAN", 1.0), ("HIGH", 1.4))]))
-    made = lambda d: d.select("*", levels)
-    demand = made(demand).withColumn("demand", F.col("demand") * F.col("f"))
-    return I.summarize(I.ledger(made(stock), demand, made(coming), ["scenario_id", *KEY]), ["scenario_id", *KEY])
+    return _sums(summaries(spark, sf, LEVELS))
 
 
-@query("stress_ledgers")
+@query("stress_ledgers", "lots pairs", simulated_sql(STRESSES, SUMS_SQL))
 def stress_ledgers(spark, sf):
-    stock, coming, demand = ledger_inputs(spark, sf)
-    late = coming.withColumn("arrival_date", F.date_add("arrival_date", 3))
-    runs = [I.summarize(I.ledger(stock, d, c, KEY), KEY).withColumn("stress", F.lit(n)) for n, d, c in (("surge", demand.withColumn("demand", F.col("demand") * 1.5), coming), ("late", demand, late))]
-    return union_all(runs)
+    return _sums(summaries(spark, sf, STRESSES))
 
 
 part("flow", "SELECT store_key, product_key AS ingredient_id, date, quantity_sold AS demand, round(quantity_sold * (0.5 + 0.1 * (day(date) % 6)), 4) AS fulfilled FROM @sales")
@@ -450,13 +485,12 @@ def dominance(spark, sf):
     return U.undominated(opportunities(spark, sf), ["offer_id", "arrival_date", "unit_price", "pack_size"]).select("offer_id", "arrival_date", "order_date", F.size("order_dates").cast("long").alias("n_dates"))
 
 
-@query("fee_allocation", "", "SELECT l_orderkey, round(sum(l_tax * 100), 2) AS base, max(n) AS n FROM (SELECT *, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem) GROUP BY 1")
+@query("fee_allocation", "", "SELECT l_orderkey, l_linenumber, round(CASE WHEN k < n THEN each ELSE fee - each * (n - 1) END, 2) AS fee_share FROM (SELECT *, round_even(fee / n, 2) AS each FROM (SELECT l_orderkey, l_linenumber, count(*) OVER w AS n, row_number() OVER (w ORDER BY l_linenumber) AS k, round(sum(l_tax * 100) OVER w, 2) AS fee FROM lineitem WINDOW w AS (PARTITION BY l_orderkey)))")
 def fee_allocation(spark, sf):
     from pyspark.sql import Window
 
     li = table(spark, sf, "lineitem").withColumn("fee", F.round(F.sum(F.col("l_tax") * 100).over(Window.partitionBy("l_orderkey")), 2))
-    shares_ = U.split_fee(li, ["l_orderkey"], "fee", "l_linenumber")
-    return shares_.groupBy("l_orderkey").agg(F.round(F.sum("fee_share"), 2).alias("base"), F.count("*").alias("n"))
+    return U.split_fee(li, ["l_orderkey"], "fee", "l_linenumber").select("l_orderkey", "l_linenumber", "fee_share")
 
 
 @query("supply_bounds", "opps wneeds", "SELECT n.store_key, n.p AS demand_day, count(DISTINCT o.offer_id) AS n_offers, min(o.arrival_date) AS first_arrival FROM (SELECT DISTINCT store_key, date AS p FROM wneeds) n LEFT JOIN opps o ON o.arrival_date <= n.p AND o.arrival_date + 30 >= n.p GROUP BY 1, 2")
@@ -533,40 +567,37 @@ def critic(spark, sf):
     return floors.join(cash, "store_key")
 
 
-@query("planning_inputs", "needs lots opps", "SELECT kind, round(sum(q), 3) AS quantity, count(*) AS n FROM (SELECT 'demand' AS kind, quantity AS q FROM needs WHERE date >= DATE '2001-10-01' UNION ALL SELECT 'initial', quantity FROM lots WHERE received_date < DATE '2001-10-01' AND coalesce(expiry_date, DATE '9999-12-31') >= DATE '2001-10-01' UNION ALL SELECT 'offer', pack_size FROM opps) GROUP BY 1")
-def planning_inputs(spark, sf):
-    day = DAY("2001-10-01")
-    stock = lots(spark, sf).where((F.col("received_date") < day) & (F.coalesce("expiry_date", DAY("9999-12-31")) >= day))
-    parts = [needs(spark, sf).where(F.col("date") >= day).select(F.lit("demand").alias("kind"), F.col("quantity").alias("q")), stock.select(F.lit("initial").alias("kind"), F.col("quantity").alias("q")), opportunities(spark, sf).select(F.lit("offer").alias("kind"), F.col("pack_size").alias("q"))]
-    return union_all(parts).groupBy("kind").agg(F.round(F.sum("q"), 3).alias("quantity"), F.count("*").alias("n"))
+part("planning_day", "SELECT max(date) - 34 AS d FROM @needs")
 
 
-def _planned(spark, sf, factor):
-    """Ledger summaries of the planning window with the plan's lots arriving, its quantities scaled."""
-    stock, coming, demand = ledger_inputs(spark, sf)
-    extra = coming.withColumn("quantity", F.col("quantity") * factor)
-    return I.summarize(I.ledger(stock, demand, extra, KEY), KEY)
+@query("planning_inputs", "needs lots opps planning_day", "SELECT kind, round(sum(q), 3) AS quantity, count(*) AS n FROM (SELECT CASE WHEN date >= d THEN 'demand' ELSE 'history' END AS kind, quantity AS q FROM needs CROSS JOIN planning_day UNION ALL SELECT CASE WHEN received_date >= d THEN 'inbound' WHEN coalesce(expiry_date, DATE '9999-12-31') >= d THEN 'initial' ELSE 'past' END, quantity FROM lots CROSS JOIN planning_day UNION ALL SELECT 'offer', pack_size FROM opps) GROUP BY 1")
+def planning_inputs(spark, sf):
+    """What a plan of the last 35 days would read, of all rows: demand and its history, lots on hand, arriving or past, offers."""
+    n = needs(spark, sf)
+    day = F.broadcast(n.agg(F.date_sub(F.max("date"), 34).alias("d")))  # one row
+    demand = n.crossJoin(day).select(F.when(F.col("date") >= F.col("d"), "demand").otherwise("history").alias("kind"), F.col("quantity").alias("q"))
+    kind = F.when(F.col("received_date") >= F.col("d"), "inbound").when(F.coalesce("expiry_date", DAY("9999-12-31")) >= F.col("d"), "initial").otherwise("past")
+    stock = lots(spark, sf).crossJoin(day).select(kind.alias("kind"), F.col("quantity").alias("q"))
+    offered = opportunities(spark, sf).select(F.lit("offer").alias("kind"), F.col("pack_size").alias("q"))
+    return union_all([demand, stock, offered]).groupBy("kind").agg(F.round(F.sum("q"), 3).alias("quantity"), F.count("*").alias("n"))
 
 
-@query("plan_scores")
+@query("plan_scores", "lots pairs", simulated_sql(PLANS[:2], "SELECT run AS plan, round(avg(fill_rate), 6) AS fill_rate, round(sum(shortage), 2) AS shortage FROM sums GROUP BY 1"))
 def plan_scores(spark, sf):
-    return union_all([_planned(spark, sf, f).agg(F.avg("fill_rate").alias("fill_rate"), F.sum("shortage").alias("shortage")).withColumn("plan", F.lit(n)) for n, f in (("half", 0.5), ("whole", 1.0))])
+    return summaries(spark, sf, PLANS[:2]).groupBy(F.col("run").alias("plan")).agg(F.round(F.avg("fill_rate"), 6).alias("fill_rate"), F.round(F.sum("shortage"), 2).alias("shortage"))
 
 
-@query("plan_regret")
+@query("plan_regret", "lots pairs", simulated_sql(PLANS, "SELECT run AS plan, round(sum(shortage), 2) AS loss, round(sum(shortage) - min(sum(shortage)) OVER (), 2) AS regret FROM sums GROUP BY 1"))
 def plan_regret(spark, sf):
     from pyspark.sql import Window
 
-    s = union_all([_planned(spark, sf, f).agg(F.sum("shortage").alias("loss")).withColumn("plan", F.lit(n)) for n, f in (("half", 0.5), ("whole", 1.0), ("double", 2.0))])
-    return s.withColumn("regret", F.col("loss") - F.min("loss").over(Window.partitionBy()))
+    s = summaries(spark, sf, PLANS).groupBy(F.col("run").alias("plan")).agg(F.sum("shortage").alias("loss"))
+    return s.select("plan", F.round("loss", 2).alias("loss"), F.round(F.col("loss") - F.min("loss").over(Window.partitionBy()), 2).alias("regret"))
 
 
-@query("three_way")
+@query("three_way", "lots pairs", simulated_sql(THREE, "SELECT run, round(avg(fill_rate), 6) AS fill_rate FROM sums GROUP BY 1"))
 def three_way(spark, sf):
-    stock, coming, demand = ledger_inputs(spark, sf)
-    more = demand.withColumn("demand", F.col("demand") * 1.2)
-    runs = (("old_on_old", demand, 1.0), ("old_on_new", more, 1.0), ("new_on_new", more, 1.3))
-    return union_all([I.summarize(I.ledger(stock, d, coming.withColumn("quantity", F.col("quantity") * f), KEY), KEY).agg(F.avg("fill_rate").alias("fill_rate")).withColumn("run", F.lit(n)) for n, d, f in runs])
+    return summaries(spark, sf, THREE).groupBy("run").agg(F.round(F.avg("fill_rate"), 6).alias("fill_rate"))
 
 
 # --- revisions and decisions -------------------------------------------------------------------------------------------------

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
 from tidegrain.functions.text import guard_formula
+from tidegrain.operators.checks import DataRefused, guard, repeated_keys
 
 SUFFIXES = "*.{csv,tsv,txt,json,jsonl,parquet}"
 
@@ -31,6 +32,17 @@ def read_delimited(spark: SparkSession, path: str, encoding: str = "UTF-8") -> D
     return spark.read.csv(path, sep=delimiter_of(spark, path), header=True, inferSchema=False, encoding=encoding)
 
 
+def read_parquet(spark: SparkSession, path: str, most_rows: int, most_columns: int) -> DataFrame:
+    """A Parquet table, refused where it has more rows or columns than its budget. Both come from the files' footers, no data is read."""
+    df = spark.read.parquet(path)
+    if len(df.columns) > most_columns:
+        raise DataRefused(f"TOO_MANY_COLUMNS: {len(df.columns)} > {most_columns}")
+    n = df.count()
+    if n > most_rows:
+        raise DataRefused(f"TOO_MANY_ROWS: {n} > {most_rows}")
+    return df
+
+
 def flatten(df: DataFrame) -> DataFrame:
     """Struct fields as columns named a.b; arrays and maps as JSON text."""
 
@@ -50,8 +62,6 @@ def flatten(df: DataFrame) -> DataFrame:
 
 def read_canonical(spark: SparkSession, path: str, schema: S.StructType, grain: list[str]) -> DataFrame:
     """Typed table from a text CSV; refuses values that do not cast, nulls in required columns and repeated grains."""
-    from tidegrain.operators.checks import guard, repeated_keys
-
     raw = spark.read.schema(S.StructType([S.StructField(f.name, S.StringType()) for f in schema.fields])).csv(path, header=True)
     typed = raw.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields], *[F.col(f.name).alias(f"raw_{f.name}") for f in schema.fields])
     lost = [F.col(f"raw_{f.name}").isNotNull() & F.col(f.name).isNull() for f in schema.fields]
