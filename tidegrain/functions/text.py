@@ -53,7 +53,9 @@ def plain_letters(c: Column) -> Column:
 
 def text_key(c: Column) -> Column:
     """Lower case, no marks, every other character run one underscore; d with stroke is such a character."""
-    return F.regexp_replace(F.regexp_replace(plain_letters(F.trim(F.coalesce(c, F.lit("")))), "[^a-z0-9]+", "_"), "^_|_$", "")
+    t = F.trim(F.coalesce(c, F.lit("")))
+    key = F.regexp_replace(F.regexp_replace(plain_letters(t), "[^a-z0-9]+", "_"), "^_|_$", "")
+    return F.when(t.rlike("^[A-Za-z0-9]+$"), F.lower(t)).otherwise(key)  # most names are one plain word
 
 
 def entity_key(c: Column) -> Column:

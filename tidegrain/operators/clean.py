@@ -14,17 +14,20 @@ from .checks import failed, repeated_keys
 
 
 def adapt_sales(raw: DataFrame, default_store: str = "ALL") -> DataFrame:
-    """Typed sales from text columns, with the store defaulted and the product id hashed where it is missing."""
-    return raw.select(
-        "row_id",
+    """Typed sales from text columns, with the store defaulted and the product id hashed where it is missing.
+
+    The typed columns come out of a generator, so that a filter on them does not read the texts again.
+    """
+    typed = F.struct(
         T.parse_date(F.col("date_text")).alias("date"),
         F.coalesce(T.clean(F.col("store_text")), F.lit(default_store)).alias("store_key"),
         F.when(T.clean(F.col("product_text")).isNotNull(), T.stable_id("PRODUCT", F.col("product_text"))).alias("product_key"),
         T.parse_number(F.col("quantity_text")).alias("quantity_sold"),
-        "revenue",
+        F.col("revenue").alias("revenue"),
         T.parse_boolean(F.col("stockout_text")).alias("is_stockout"),
         T.normalize_unit(F.col("unit_text"), T.IMPORT_UNITS).alias("unit"),
     )
+    return raw.select("row_id", F.inline(F.array(typed)))
 
 
 def fatal_rules() -> dict[str, Column]:
