@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .batches import crc_bucket, slices, table
+from .batches import crc_bucket, least_by_hash, slices, table
 from .stats import NAMES, SLICE, count, document_stats, features, map_counts
 
 MAX_ROWS = 20_000
@@ -108,7 +108,7 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: flo
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Statistics and label (``y``) of at most ``max_rows`` labelled documents outside the held-out fifth."""
     votes = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & (crc_bucket(id_col) != 0)).groupBy(F.col(id_col).alias("id_")).agg((F.avg(label) >= 0.5).cast("int").alias("y"))
-    chosen = votes.orderBy(F.xxhash64("id_"), "id_").limit(max_rows)
+    chosen = votes.join(F.broadcast(least_by_hash(votes.select("id_"), "id_", max_rows)), "id_")
     texts = docs.select(docs[id_col].alias("id_"), docs[text_col].alias("text_")).join(F.broadcast(chosen), "id_")  # max_rows rows of an id and an int
     return document_stats(texts, "id_", "text_", ("y",)).dropDuplicates(["id_"])
 
