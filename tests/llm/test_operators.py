@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidegrain.llm import ann, bpe, induced, licenses, minhash, mixing, quality, repeats, rules, secret_scan, stats, token_counts
+from tidegrain.llm import ann, bpe, components, induced, licenses, minhash, mixing, quality, repeats, rules, secret_scan, stats, token_counts
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -479,3 +479,33 @@ def test_entropy_spans_keep_what_lies_beside_base_spans_and_harmless_words():
     kept = secret_scan.scan(f"path/sample/{key}")[1]
     assert any(k == "entropy_base64" for k, _, _ in kept) and key not in secret_scan.blank(f"path/sample/{key}", kept, "*")
     assert secret_scan.scan(f"sample-{key}")[1] == []
+
+
+def test_components_of_paths_stars_and_odd_edges(spark):
+    r = np.random.default_rng(9)
+    edges = [(i, i + 1) for i in range(0, 40)] + [(100, 100 + i) for i in range(1, 300)] + [(500 + int(a), 500 + int(b)) for a, b in r.integers(0, 60, (50, 2))]
+    edges += [(7, 7), (7, None), (None, 8), (1, 0), (100, 101)]
+    parent = {}
+
+    def find(i):
+        parent.setdefault(i, i)
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in edges:
+        if a is not None and b is not None and a != b:
+            x, y = sorted((find(a), find(b)))
+            parent[y] = x
+    df = spark.createDataFrame(edges, "u long, v long").withColumn("m", F.lit("own"))
+    got = {x.node: x.component for x in components.components(df).collect()}
+    assert got == {i: find(i) for i in parent}
+    assert components.components(df.limit(0)).count() == 0
+
+
+def test_band_ends_tie_members_when_the_least_is_unlike(spark):
+    base = family(11, 2, 200)
+    near = [base[0], base[0].rsplit(" ", 3)[0] + " x y z"]
+    docs = spark.createDataFrame([(5, near[0]), (9, near[1]), (1, " ".join(base[0].split()[:30]) + " " + family(12, 1, 170)[0])], "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in minhash.near_duplicates(docs, 4, 80).collect()}
+    assert got == {1: 1, 5: 5, 9: 5}

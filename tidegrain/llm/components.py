@@ -9,15 +9,19 @@ from .batches import cut
 
 
 def _large(edges: DataFrame) -> DataFrame:
-    """Each node hands its greater neighbours to the least node of its neighbourhood."""
+    """Each node hands its greater neighbours to the least node of its neighbourhood.
+
+    The minima are written before the join: it then reads shuffled or broadcast tables alone, which adaptive execution can split, so
+    that a node with very many neighbours is not one task.
+    """
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
     return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
 def _small(edges: DataFrame) -> DataFrame:
     """Each node hands its lesser neighbours and itself to the least of them. Edges run from u to a lesser v."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = edges.groupBy("u").agg(F.min("v").alias("m"))  # u is the greater end here: no hub, which is the lesser one
     moved = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
