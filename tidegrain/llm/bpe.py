@@ -1,4 +1,4 @@
-"""Byte-level BPE over Arrow batches: encode whole texts with the tokenizers library, keep offsets, decode by the byte table.
+"""Byte-level BPE over Arrow batches: encode whole texts with the tokenizers library, keep offsets, decode by the reversed byte table.
 
 Each match of the split pattern is encoded on its own. A text is split once; the distinct matches of a slice go through the
 library in one call and are kept in a bounded cache of the worker, so a common word costs a gather instead of a merge.
@@ -51,6 +51,14 @@ def last_merge(token: bytes, ranks: dict[bytes, int]) -> tuple[bytes, bytes]:
     return parts[0], parts[1]
 
 
+def byte_of() -> np.ndarray:
+    """The byte table reversed: the byte that each character of a token's spelling stands for."""
+    out = np.zeros(0x200, dtype=np.uint8)
+    for byte, char in enumerate(byte_table()):
+        out[ord(char)] = byte
+    return out
+
+
 class Codec:
     """Encoder and decoder of one vocabulary file; lives in a Python worker."""
 
@@ -68,6 +76,7 @@ class Codec:
             if len(token) > 1:
                 left, right = last_merge(token, ranks)
                 merges.append((spelled[ranks[left]], spelled[ranks[right]]))
+        self.spelled, self.byte_of = spelled, byte_of()
         self.library = Tokenizer(models.BPE(vocab={s: i for i, s in enumerate(spelled)}, merges=merges))
         self.library.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.split = regex.compile(pattern).findall
@@ -92,9 +101,13 @@ class Codec:
         pool = np.concatenate((self.pool, np.fromiter(chain.from_iterable(added), dtype=np.uint32, count=int(widths.sum()))))
         place = dict(zip(fresh, range(len(self.known), len(self.known) + len(fresh)), strict=True))
         each = np.fromiter((place[p] if p in place else self.known[p] for p in distinct), dtype=np.int64, count=len(distinct))
-        if len(self.known) < CACHE_PIECES and max(map(len, fresh), default=0) <= LONGEST_CACHED:
-            self.known.update(place)
-            self.pool, self.bounds = pool, bounds
+        if len(self.known) < CACHE_PIECES:
+            # Matches that are very long stay out of the cache.
+            if max(map(len, fresh), default=0) <= LONGEST_CACHED:
+                self.known.update(place)
+                self.pool, self.bounds = pool, bounds
+            else:
+                self._keep([p for p in fresh if len(p) <= LONGEST_CACHED], place, pool, bounds)
         which = each[coded.indices.to_numpy(zero_copy_only=False)]
         starts, width = bounds[which], bounds[which + 1] - bounds[which]
         ends = np.cumsum(width)
@@ -102,9 +115,17 @@ class Codec:
         ends_by_text = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(counts)))]
         return ids, np.diff(ends_by_text)
 
+    def _keep(self, pieces: list[str], place: dict[str, int], pool: np.ndarray, bounds: np.ndarray) -> None:
+        """Add the ids of ``pieces`` alone to the cache."""
+        n = len(self.known)
+        at = [place[p] for p in pieces]
+        self.known.update(zip(pieces, range(n, n + len(pieces)), strict=True))
+        self.pool = np.concatenate((self.pool, *[pool[bounds[k] : bounds[k + 1]] for k in at]))
+        self.bounds = np.concatenate((self.bounds, self.bounds[-1] + np.cumsum(bounds[np.array(at, dtype=np.int64) + 1] - bounds[at])))
+
     def decode(self, ids) -> bytes:
-        """The bytes of the tokens; a character split over tokens comes together again."""
-        return b"".join(map(self.tokens.__getitem__, ids))
+        """The bytes that the characters of the tokens' spellings stand for; a character split over tokens comes together again."""
+        return self.byte_of[np.frombuffer("".join(map(self.spelled.__getitem__, ids)).encode("utf-16-le"), dtype=np.uint16)].tobytes()
 
     def spans(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Character span of each token: from the character that holds its first byte to past the one that holds its last."""
