@@ -4,6 +4,7 @@ import base64
 import hashlib
 import math
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -509,3 +510,210 @@ def test_band_ends_tie_members_when_the_least_is_unlike(spark):
     docs = spark.createDataFrame([(5, near[0]), (9, near[1]), (1, " ".join(base[0].split()[:30]) + " " + family(12, 1, 170)[0])], "doc_id long, text string")
     got = {x.doc_id: x.component_id for x in minhash.near_duplicates(docs, 4, 80).collect()}
     assert got == {1: 1, 5: 5, 9: 5}
+
+
+# --- whole results against plain versions ---------------------------------------------------------------------------------------
+SF = "/root/testdata/sf0.001"
+
+
+def texts_of_table(spark, name="documents"):
+    return {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/{name}.parquet").select("doc_id", "text").collect()}
+
+
+def test_secrets_query_matches_an_independent_scan(spark):
+    """Base spans by walking the text character by character, entropies by counting every window anew."""
+    letters, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    value = set(letters + letters.upper() + digits + "+/_.=-")
+
+    def run_of(t, i, allowed):
+        j = i
+        while j < len(t) and t[j] in allowed:
+            j += 1
+        return j
+
+    def low(c):
+        return chr(ord(c) + 32) if "A" <= c <= "Z" else c
+
+    def assign_at(t, i):
+        for word in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if "".join(map(low, t[i : i + len(word)])) != word:
+                continue
+            j = i + len(word)
+            for skip_quote in (True, False):
+                k = j + (1 if skip_quote and t[j : j + 1] in ("'", '"') and j < len(t) else 0)
+                if skip_quote and k == j:
+                    continue
+                k = run_of(t, k, {" "})
+                if t[k : k + 1] not in (":", "=") or k >= len(t):
+                    continue
+                k = run_of(t, k + 1, {" "})
+                if k < len(t) and t[k] in "'\"":
+                    k += 1
+                e = run_of(t, k, value)
+                if e > k:
+                    return k, e
+        return None
+
+    def base(t):
+        out, i = [], 0
+        while i < len(t):
+            met = assign_at(t, i)
+            if met:
+                if met[1] - met[0] >= 8:
+                    out.append((i, 0, met[1]))
+                i = met[1]
+            else:
+                i += 1
+        i = 0
+        while i < len(t):
+            e = run_of(t, i + 4, set(letters.upper() + digits)) if t.startswith("AKIA", i) else i
+            if e > i + 4:
+                if e - i >= 16:
+                    out.append((i, 1, e))
+                i = e
+            else:
+                i += 1
+        i = 0
+        while i < len(t):
+            e = run_of(t, i, set("abcdef" + digits))
+            if e - i >= 32:
+                out.append((i, 2, e))
+            i = max(e, i + 1)
+        return sorted(out)
+
+    def bits(s):
+        return -sum(n / len(s) * math.log2(n / len(s)) for n in Counter(s).values())
+
+    names = ("assign", "access", "hex")
+    got = {r.doc_id: r for r in secret_scan.op4_secrets(spark, SF).collect()}
+    texts = texts_of_table(spark)
+    assert set(got) == set(texts)
+    for i, t in texts.items():
+        t = t or ""
+        spans = base(t)
+        r = got[i]
+        listed = ",".join(f"{names[k]}:{s}:{e}" for s, k, e in spans)
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == n for _, k, _ in spans) for n in range(3))
+        assert r.base_sha256 == hashlib.sha256(listed.encode()).hexdigest()
+        every = [x.rsplit(":", 2) for x in r.spans.split(",") if x]
+        assert [x for x in every if not x[0].startswith("entropy")] == [x.rsplit(":", 2) for x in listed.split(",") if x]
+        covered = {p for s, _, e in spans for p in range(s, e)}
+        for kind, s, e in every:
+            s, e = int(s), int(e)
+            if kind.startswith("entropy"):
+                floor = secret_scan.CLASSES[kind][1]
+                # every position of a span lies in a hot window of its candidate, and no base span reaches into it
+                assert e - s >= secret_scan.WINDOW and not covered & set(range(s, e))
+                near = [k for k in range(max(0, s - 19), e) if len(t[k : k + 20]) == 20 and bits(t[k : k + 20]) >= floor - 1e-9]
+                assert set(range(s, e)) <= {p for k in near for p in range(k, k + 20)}
+
+
+def test_quality_query_is_the_forest_on_counts_made_by_hand(spark):
+    """The whole query against statistics counted by plain loops and trees walked row by row; and it tells held-out documents apart."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    forest = quality.learn(docs, labels)
+    got = {r.doc_id: r for r in quality.op1_quality(spark, SF).collect()}
+    texts = texts_of_table(spark)
+    assert set(got) == set(texts)
+    for i, t in texts.items():
+        x = features_by_hand(t or "")
+        total = forest.base
+        for n in forest.roots:
+            while forest.left[n] != n:
+                n = forest.left[n] if x[stats.FEATURES[forest.feature[n]]] <= forest.threshold[n] else forest.right[n]
+            total += forest.value[n]
+        assert math.isclose(got[i].score, 1 / (1 + math.exp(-total)), rel_tol=1e-9) and got[i].predicted == (got[i].score >= 0.3)
+        assert got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0)
+
+
+def features_by_hand(t):
+    words = WORDS.findall(t)
+    n_words, word_chars, n_symbols, n_dup, n_repeat = count_by_hand(t)
+    lines = [x for x in t.split("\n") if WORDS.search(x)]
+    inside = "".join(words)
+    rate = lambda a, b: a / max(b, 1)
+    marks = sum(33 <= ord(c) < 127 and not c.isalnum() for c in t)
+    return {
+        "n_words": n_words, "n_lines": len(lines), "longest_word": max(map(len, words), default=0), "symbol_rate": rate(n_symbols, n_words), "dup_line_rate": rate(n_dup, len(lines)), "repeat_rate": rate(n_repeat, n_words),
+        "distinct_rate": rate(len(set(words)), n_words), "word_length": rate(word_chars, n_words), "line_words": rate(n_words, len(lines)), "upper_rate": rate(sum("A" <= c <= "Z" for c in t), word_chars),
+        "digit_rate": rate(sum("0" <= c <= "9" for c in t), word_chars), "mark_rate": rate(marks, n_words), "bang_rate": rate(t.count("!"), n_words), "pipe_rate": rate(t.count("|"), n_words),
+        "wide_rate": rate(sum(ord(c) >= 128 for c in inside) + sum(ord(c) >= 128 for c in t if c not in inside), word_chars), "stop_rate": rate(t.count(".") + t.count("?"), n_words),
+    }
+
+
+def test_rules_query_is_the_learned_list_on_counts_made_by_hand(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    learned = rules.learn(docs, labels)
+    got = {r.doc_id: r for r in rules.op7_rules(spark, SF).collect()}
+    texts = texts_of_table(spark)
+    assert set(got) == set(texts)
+    for i, t in texts.items():
+        n_words, word_chars, n_symbols, n_dup, n_repeat = count_by_hand(t)
+        failed = n_words < 10 or 100 * n_repeat > 20 * n_words
+        x = features_by_hand(t or "")
+        rejected = any(all(x[f] <= at if sign == "<=" else x[f] > at for f, sign, at in rule) for rule in learned)
+        r = got[i]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (n_words, word_chars, n_symbols, n_dup, n_repeat)
+        assert (r.base_failed, r.kept) == (failed, not failed and not rejected)
+
+
+def test_token_counts_query_matches_a_plain_loop(spark):
+    coder = tiktoken_coder()
+    got = defaultdict(list)
+    for r in token_counts.op2_token_counts(spark, SF).orderBy("doc_id", "section").collect():
+        got[r.doc_id].append((r.start, r.end, r.n_tokens, r.n_crossing))
+    texts = texts_of_table(spark)
+    assert set(got) == set(texts)
+    for i, t in texts.items():
+        t = t or ""
+        starts = [0] + [k + 1 for k, c in enumerate(t) if c == "\n" and k + 1 < len(t)]
+        ends = [*starts[1:], len(t)]
+        counts, crossing = [0] * len(starts), [0] * len(starts)
+        char_of = [k for k, c in enumerate(t) for _ in c.encode()]
+        section_of = [0] * len(t)
+        for s, (a, b) in enumerate(zip(starts, ends)):
+            section_of[a:b] = [s] * (b - a)
+        at = 0
+        for token in coder.encode_ordinary(t):
+            size = len(coder.decode_single_token_bytes(token))
+            held = Counter(section_of[k] for k in range(char_of[at], char_of[at + size - 1] + 1))
+            home = min(held, key=lambda s: (-held[s], s))
+            counts[home] += 1
+            crossing[home] += len(held) > 1
+            at += size
+        assert got[i] == list(zip(starts, ends, counts, crossing))
+
+
+def test_very_long_texts_stay_whole(spark):
+    """One text longer than any slice beside short ones: the same results as by plain loops."""
+    r = np.random.default_rng(21)
+    vocabulary = ["".join(r.choice(list("abcdefgh"), int(r.integers(2, 9)))) for _ in range(3000)]
+    long = "\n".join(" ".join(r.choice(vocabulary, 12)) for _ in range(80_000)) + ' token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"'
+    assert len(long) > 4 << 20
+    docs = make(spark, ["short text of a few words only", long, long + " tail", "another short one"])
+    judged = {x.doc_id: x for x in rules.judge(docs, []).collect()}
+    assert (judged[1].n_words, judged[1].n_dup_lines) == count_by_hand(long)[0:1] + count_by_hand(long)[3:4] and judged[2].n_words == judged[1].n_words + 1
+    found = {x.doc_id: x for x in secret_scan.find(docs).collect()}
+    assert found[1].n_assign == 1 and found[0].n_assign == 0
+    near = {x.doc_id: x.component_id for x in minhash.near_duplicates(docs, 4, 80).collect()}
+    assert near == {0: 0, 1: 1, 2: 1, 3: 3}
+    coded = {x.doc_id: x for x in bpe.round_trip(docs).collect()}
+    assert coded[1].decoded_sha256 == hashlib.sha256(long.encode()).hexdigest()
+    forest = quality.fit(np.zeros((0, len(stats.FEATURES))), np.zeros(0))
+    assert {x.score for x in quality.score(docs, forest).collect()} == {0.5}
+    kept = {x.doc_id: x for x in repeats.remove_repeats(docs).collect()}
+    assert kept[2].n_removed == len(long) and kept[1].n_removed < len(long) // 100
+    assert token_counts.section_tokens(docs).where("doc_id = 1").count() == 80_000
+
+
+def test_held_out_documents_are_told_apart(spark):
+    """Ranking by score on the held-out fifth of the labels, which the forest never saw."""
+    path = "/root/testdata/sf0.1"
+    scored = quality.op1_quality(spark, path).where("held_out").join(spark.read.parquet(f"{path}/labels.parquet").select("doc_id", "quality").where("quality IS NOT NULL"), "doc_id")
+    rows = scored.select("score", "predicted", "quality").toPandas()
+    ranks, good = rows["score"].rank(), rows["quality"] == 1
+    area = (ranks[good].sum() - good.sum() * (good.sum() + 1) / 2) / (good.sum() * (~good).sum())
+    hit = (good & (rows["predicted"] == 1)).sum()
+    f1 = 2 * hit / (good.sum() + (rows["predicted"] == 1).sum())
+    print(f"held out: {len(rows)} documents, area {area:.4f}, F1 {f1:.4f}")
+    assert len(rows) > 300 and area > 0.9 and f1 > 0.9
