@@ -32,6 +32,7 @@ WORDS = r"[^\x20\x09-\x0D]+"
 BIN_BLOCKS = 1 << 10
 BLOCK_WORDS = 256
 BLOCKS_PER_SHARD = 1 << 15
+DOCUMENTS_PER_SHARD = 1 << 12  # of whole documents
 LEVELS = 6  # of the tree in one step; then its nodes are dealt to tasks anew
 SEED = 17
 
@@ -209,9 +210,9 @@ def mix(df: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5,
     return Mix(docs.select("doc_id", "source", "size", "n_rows", "source_size", "target"), draws)
 
 
-def mixed_documents(df: DataFrame, **options) -> DataFrame:
+def mixed_documents(df: DataFrame, blocks_per_shard: int = DOCUMENTS_PER_SHARD, **options) -> DataFrame:
     """The documents of the mix, each as often as it is drawn (0 to ``most`` times), with the columns of ``df``, shard by shard in the order of their places."""
-    drawn = mix(df, block_words=None, **options).draws.select(F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("size").alias("w"), "shard", "place")
+    drawn = mix(df, block_words=None, blocks_per_shard=blocks_per_shard, **options).draws.select(F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("size").alias("w"), "shard", "place")
     keyed = df.select(F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("row"), df["doc_id"].alias("id"), df["source"].alias("of"), word_count(df["text"]).alias("words"))
     met = keyed["id"].eqNullSafe(drawn["d"]) & keyed["of"].eqNullSafe(drawn["s"]) & (keyed["words"] == drawn["w"])
     return keyed.join(drawn, met).select("row", "shard", "place").repartition("shard").sortWithinPartitions("shard", "place").select("row.*")
