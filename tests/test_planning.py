@@ -289,3 +289,28 @@ def test_every_order_line_gets_a_lead_time(spark):
 
     lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
     assert QUERIES["supply_realisation"](spark, "/root/testdata/sf0.001").count() == 5 * lines
+
+
+def test_intents_by_phrases_of_each_group(spark):
+    asked = ["What IF demand drops", "the forecast evidence is missing", "forecast evidence please", "did the critic pass", "Lô nào hết hạn", "lots of shortage", "cần mua bao nhiêu", None]
+    assert values(spark, asked, X.intent(F.col("t"))) == ["what_if", "forecast_availability", "generic", "recommendation", "lot_expiry", "stockout", "immediate_order", "generic"]
+
+
+def test_longest_name_is_mentioned(spark):
+    items = spark.createDataFrame([(1, "Blue cheese pizza, and blue cheese."), (2, "cheeses blue"), (3, None)], "doc_id int, text string")
+    names = spark.createDataFrame([("blue",), ("blue cheese",), ("cheese pizza",), ("pizza and",), ("blue",)], "name string")
+    assert [tuple(r) for r in evidence.mentions(items, names, "doc_id").orderBy("doc_id").collect()] == [(1, "cheese pizza", 4), (2, "blue", 1)]
+
+
+def test_checkpoint_and_parquet_budget_refuse(spark, tmp_path):
+    good = spark.createDataFrame([(1, 1.0, 2.0), (2, 0.0, 0.0)], "k int, low double, high double")
+    path = str(tmp_path / "stage")
+    files.write_checkpoint(good, path, ["k"], ["low", "high"], ["low", "high"])
+    assert files.read_parquet(spark, path, 2, 3).count() == 2
+    for rows in ([(1, 1.0, 2.0), (1, 1.0, 2.0)], [(1, -1.0, 2.0)], [(1, float("nan"), 2.0)], [(1, 3.0, 2.0)], [(1, None, 2.0)]):
+        with pytest.raises(checks.DataRefused):
+            files.write_checkpoint(spark.createDataFrame(rows, good.schema), path, ["k"], ["low", "high"], ["low", "high"])
+    assert spark.read.parquet(path).count() == 2
+    for rows, columns in ((1, 3), (2, 2)):
+        with pytest.raises(checks.DataRefused):
+            files.read_parquet(spark, path, rows, columns)

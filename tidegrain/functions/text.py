@@ -154,34 +154,52 @@ def parse_weekdays(c: Column) -> Column:
     return F.when(~F.exists(days, lambda d: d.isNull()), F.array_sort(F.array_distinct(days)))
 
 
+def all_tokens(c: Column) -> Column:
+    """Words of letters, digits, underscore, dot and hyphen, in lower case and in order; letters of any script."""
+    return F.regexp_extract_all(F.lower(c), F.lit(r"(?U)[\w.-]+"), F.lit(0))
+
+
 def tokens(c: Column) -> Column:
-    """Distinct words of letters, digits, underscore, dot and hyphen, in lower case; letters of any script."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"(?U)[\w.-]+"), F.lit(0)))
+    """The distinct words of all_tokens."""
+    return F.array_distinct(all_tokens(c))
 
 
-#: Phrases of each intent, the first that matches decides.
+#: The pattern of a what-if question, and the phrases of each intent in the order in which they are tried. A text has an
+#: intent if it holds a phrase of each of its groups.
+WHAT_IF = r"\bwhat\s+if\b|\bif demand\b|\bincrease\s+\d+%|\bdecrease\s+\d+%|(?U)\bnếu\b|(?U)\bgiả sử\b|(?U)\btăng\s+\d+%|(?U)\bgiảm\s+\d+%"
+LOT = ("lot", "lots", "lô")
 INTENTS = (
-    ("what_if", r"\bwhat\s+if\b|\bif demand\b|\b(increase|decrease)\s+\d+%|(?U)\b(nếu|giả sử)\b|(?U)\b(tăng|giảm)\s+\d+%"),
-    ("stress", "stress"),
-    ("readiness", "reliable|confidence|complete|đáng tin|tin cậy|đến đâu"),
-    ("immediate_order", "order now|ordered now|buy now|mua gì|đặt gì|mua bao nhiêu"),
-    ("rejection", "reject|failed|bị loại|thất bại"),
-    ("ingredient", "ingredient|recipe|contribute|nguyên liệu|công thức"),
-    ("lot_consumption", "fefo|consumed lot|lot consumption|lô được dùng|lô đã dùng|tiêu thụ lô"),
-    ("lot_expiry", "(lot|lô).*(expired|expiry|hết hạn)|(expired|expiry|hết hạn).*(lot|lô)|inventory expiry|hạn sử dụng"),
-    ("lot_waste", "(lot|lô).*(waste|write-off|write off|bị hủy|lãng phí)|(waste|write-off|write off|bị hủy|lãng phí).*(lot|lô)|hao hụt"),
-    ("inventory_ledger", "inventory ledger|daily ledger|sổ kho|nhật ký tồn kho"),
-    ("inventory_risk", "risk|rủi ro hết hàng"),
-    ("stockout", "stockout|shortage|hết hàng|thiếu hàng"),
-    ("inventory_risk", "rủi ro|p95|cvar"),
-    ("recommendation", "recommend|khuyên|đề xuất|why should|được chọn|vì sao"),
+    ("stress", ("stress",)),
+    ("forecast_availability", ("forecast evidence", "forecast explanation evidence", "bằng chứng dự báo", "dữ liệu dự báo"), ("unavailable", "not supplied", "missing", "không có", "chưa cung cấp")),
+    ("readiness", ("reliable", "confidence", "complete", "đáng tin", "tin cậy", "đến đâu")),
+    ("immediate_order", ("order now", "ordered now", "buy now", "mua gì", "đặt gì", "cần mua bao nhiêu", "mua bao nhiêu", "đặt hàng gì ngay bây giờ")),
+    ("rejection", ("rejected", "reject", "failed", "bị loại", "thất bại")),
+    ("recommendation", ("critic",), ("validate", "validated", "validation", "pass", "passed")),
+    ("ingredient", ("ingredient", "recipe", "contribute", "nguyên liệu", "công thức", "đến từ sản phẩm nào")),
+    ("lot_consumption", ("fefo", "consumed lot", "consumed lots", "lot consumption", "lô được dùng", "lô đã dùng", "tiêu thụ lô")),
+    ("lot_expiry", LOT, ("expired", "expiry", "hết hạn")),
+    ("lot_expiry", ("expired lot", "expired lots", "lot expiry", "inventory expiry", "lô hết hạn", "lô đã hết hạn", "hạn sử dụng")),
+    ("lot_waste", LOT, ("waste", "wasted", "write-off", "write off", "bị hủy", "lãng phí")),
+    ("lot_waste", ("wasted lot", "wasted lots", "lot waste", "write-off", "write off", "lô bị lãng phí", "lô bị hủy", "hao hụt")),
+    ("inventory_ledger", ("inventory ledger", "daily ledger", "sổ kho", "nhật ký tồn kho")),
+    ("inventory_risk", ("risk", "rủi ro hết hàng")),
+    ("stockout", ("stockout", "shortage", "hết hàng", "thiếu hàng")),
+    ("inventory_risk", ("rủi ro", "p95", "cvar")),
+    ("recommendation", ("recommend", "recommended", "khuyên", "đề xuất", "why should", "được chọn", "vì sao")),
 )
 
 
 def intent(c: Column) -> Column:
-    """The first intent one of whose phrases the text holds, else generic."""
-    t = F.lower(c)
-    return reduce(lambda out, kv: out.when(t.rlike(kv[1]), kv[0]), INTENTS[1:], F.when(t.rlike(INTENTS[0][1]), INTENTS[0][0])).otherwise("generic")
+    """The first intent whose phrases the text holds, else generic."""
+
+    def of(t: Column) -> Column:
+        holds = lambda phrases: reduce(lambda a, b: a | b, [t.contains(p) for p in phrases])
+        out = F.when(t.rlike(WHAT_IF), "what_if")
+        for name, *groups in INTENTS:
+            out = out.when(reduce(lambda a, b: a & b, map(holds, groups)), name)
+        return out.otherwise("generic")
+
+    return let(F.lower(F.coalesce(c, F.lit(""))), of)
 
 
 def guard_formula(c: Column) -> Column:

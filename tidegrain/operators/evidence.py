@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegrain.functions.text import tokens
+from tidegrain.functions.text import all_tokens, let, tokens
 
 from .ranking import first_rows
 
@@ -40,6 +40,18 @@ def neighbourhood(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     return reached
 
 
+def mentions(items: DataFrame, names: DataFrame, id_col: str, most_tokens: int = 3) -> DataFrame:
+    """id, entity, n: the longest name (column name, words parted by blanks) that a text holds word for word, the last in order of
+    equally long ones, and how many names it holds. Names of more than ``most_tokens`` words are not looked for."""
+
+    def runs(w: Column) -> Column:
+        of = lambda n: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - (n - 1))), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
+        return F.array_distinct(F.flatten(F.array(*[of(n) for n in range(1, most_tokens + 1)])))
+
+    held = items.select(id_col, F.explode(let(all_tokens(F.col("text")), runs)).alias("name")).join(names.select("name").distinct(), "name").distinct()
+    return held.groupBy(id_col).agg(F.max(F.struct(F.length("name").alias("l"), "name"))["name"].alias("entity"), F.count("*").alias("n"))
+
+
 def shared_tokens(queries: DataFrame, items: DataFrame) -> DataFrame:
     """query_id, evidence_id, shared: number of tokens that a question and an item share, by an inverted join."""
     q = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("token"))

@@ -131,10 +131,10 @@ def token_sets(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.size(X.tokens(F.col("text"))).cast("long").alias("n_tokens"))
 
 
-ASKED = ("What if demand rises 10%?", "show the stress run", "How reliable is this?", "What should we order now?", "which plan failed", "nguyên liệu nào", "lô hết hạn", "daily ledger please", "risk of S1", "why should we", "hello", "lot waste report", "shortage in S2")
+ASKED = ("What if demand rises 10%?", "show the stress run", "How reliable is this?", "What should we order now?", "which plan failed", "nguyên liệu nào", "lô hết hạn", "daily ledger please", "risk of S1", "why should we", "hello", "lot waste report", "shortage in S2", "the forecast evidence is missing", "did the critic pass it")
 
 
-@query("intent", "", "SELECT event_id, ['what_if', 'stress', 'readiness', 'immediate_order', 'rejection', 'ingredient', 'lot_expiry', 'inventory_ledger', 'inventory_risk', 'recommendation', 'generic', 'lot_waste', 'stockout'][event_id % 13 + 1] AS intent FROM events")
+@query("intent", "", "SELECT event_id, ['what_if', 'stress', 'readiness', 'immediate_order', 'rejection', 'ingredient', 'lot_expiry', 'inventory_ledger', 'inventory_risk', 'recommendation', 'generic', 'lot_waste', 'stockout', 'forecast_availability', 'recommendation'][event_id % 15 + 1] AS intent FROM events")
 def intent(spark, sf):
     asked = F.element_at(F.array(*[F.lit(a) for a in ASKED]), (F.col("event_id") % len(ASKED) + 1).cast("int"))
     return table(spark, sf, "events").withColumn("asked", asked).select("event_id", X.intent(F.col("asked")).alias("intent"))
@@ -170,13 +170,23 @@ def answer_fidelity(spark, sf):
     return table(spark, sf, "conversations").groupBy("conv_id").agg(F.count_if(F.col("text").contains("the")).alias("n_found"), F.count("*").alias("n"), F.bool_or(F.lower("text").rlike("likely|probabl|because")).alias("hedged"))
 
 
-@query("entity_mentions", "evidence", f"SELECT doc_id, arg_max(p, length(p)) AS entity, count(*) AS n FROM (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest({TOKENS.format(c='text')}) AS token FROM documents) JOIN (SELECT DISTINCT p_name AS p, split_part(p_name, ' ', 1) AS t FROM part UNION ALL SELECT 'the long entity', 'the' UNION ALL SELECT 'la', 'la') ON token = t) GROUP BY 1")
+ALL_TOKENS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_.-]+')"
+
+
+@query(
+    "entity_mentions",
+    "",
+    f"""WITH names AS (SELECT DISTINCT p FROM (SELECT lower(p_name) AS p FROM part UNION ALL SELECT array_to_string({ALL_TOKENS}[1:2], ' ') FROM benchmark) WHERE p <> ''),
+t AS (SELECT doc_id, unnest(w) AS a, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, {ALL_TOKENS} AS w FROM documents)),
+s AS (SELECT doc_id, a, lead(a) OVER o AS b, lead(a, 2) OVER o AS c FROM t WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+g AS (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, a AS p FROM s UNION ALL SELECT doc_id, a || ' ' || b FROM s UNION ALL SELECT doc_id, a || ' ' || b || ' ' || c FROM s) WHERE p IS NOT NULL)
+SELECT doc_id, (max({{'l': length(p), 'p': p}})).p AS entity, count(*) AS n FROM g JOIN names USING (p) GROUP BY 1""",
+)
 def entity_mentions(spark, sf):
-    names = table(spark, sf, "part").select(F.col("p_name").alias("p"), F.split("p_name", " ")[0].alias("token")).distinct()
-    fixed = names.limit(0).unionByName(table(spark, sf, "region").where("r_regionkey = 0").select(F.explode(F.array(F.struct(F.lit("the long entity").alias("p"), F.lit("the").alias("token")), F.struct(F.lit("la").alias("p"), F.lit("la").alias("token")))).alias("x")).select("x.*"))
-    said = table(spark, sf, "documents").select("doc_id", F.explode(X.tokens(F.col("text"))).alias("token"))
-    met = said.join(names.unionByName(fixed), "token").select("doc_id", "p").distinct()
-    return met.groupBy("doc_id").agg(F.max_by("p", F.length("p")).alias("entity"), F.count("*").alias("n"))
+    """Part names, and the first two words of each benchmark passage, in the documents."""
+    heads = table(spark, sf, "benchmark").select(F.array_join(F.slice(X.all_tokens(F.col("text")), 1, 2), " ").alias("name"))
+    names = table(spark, sf, "part").select(F.lower("p_name").alias("name")).unionByName(heads).where("name <> ''")
+    return V.mentions(table(spark, sf, "documents").select("doc_id", "text"), names, "doc_id").select("doc_id", "entity", "n")
 
 
 @query("content_hash", "", "SELECT o_orderkey, sha256('{\"custkey\":' || o_custkey || ',\"status\":\"' || o_orderstatus || '\"}') AS hash FROM orders")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import pairwise
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
@@ -89,6 +92,18 @@ def write_predictions(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("horizon").parquet(path)
 
 
+def write_checkpoint(df: DataFrame, path: str, keys: list[str], quantities: list[str], ascending: list[str] = ()) -> None:
+    """A stage's table as Parquet, refused as a whole if a key repeats, a quantity is negative or not finite, or ``ascending`` columns cross."""
+    guard(repeated_keys(df, keys), "REPEATED_KEY")
+    bad = [F.col(q).isNull() | F.isnan(q) | (F.abs(F.col(q)) == float("inf")) | (F.col(q) < 0) for q in quantities]
+    if bad:
+        guard(df.where(reduce(lambda a, b: a | b, bad)).select(*keys, *quantities), "BAD_QUANTITY")
+    crossing = [F.col(a) > F.col(b) for a, b in pairwise(ascending)]
+    if crossing:
+        guard(df.where(reduce(lambda a, b: a | b, crossing)).select(*keys, *ascending), "CROSSING")
+    df.write.mode("overwrite").parquet(path)
+
+
 def manifest(files: DataFrame, role: str) -> DataFrame:
     return files.select(F.regexp_extract("path", "[^/]+$", 0).alias("name"), F.lit(role).alias("role"), "length", "sha256")
 

@@ -1,12 +1,13 @@
 """Imports as a stream of files: rows that break a rule go to quarantine, the others replace rows of the same keys.
 
 Each micro-batch writes one version of the table, named by its number, and reads the version before it. A batch that is run again after
-a failure writes the same version from the same inputs, so imports are idempotent.
+a failure writes the same version from the same inputs, so imports are idempotent. Of rows of equal keys in a batch the greatest counts.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidegrain.operators.clean import quarantine
@@ -21,7 +22,9 @@ def import_stream(source: DataFrame, path: str, keys: list[str], rules: dict[str
     """Start the import of a streaming DataFrame; it stops when what is there has been read."""
 
     def one(rows: DataFrame, batch: int) -> None:
-        good, away = quarantine(rows.dropDuplicates(keys), rules)
+        rest = [c for c in rows.columns if c not in keys]
+        last = rows.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("r_")).select(*keys, "r_.*").select(*rows.columns) if rest else rows.distinct()
+        good, away = quarantine(last, rules)
         away.write.mode("overwrite").parquet(f"{path}/quarantine/batch={batch}")
         if batch:
             good = upsert(rows.sparkSession.read.parquet(version(path, batch - 1)), good, keys)
