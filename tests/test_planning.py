@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidegrain.functions import text as X
-from tidegrain.operators import bom, checks, clean, evaluate, evidence, forecast, inventory, panel, revise, scenarios, supply
+from tidegrain.operators import bom, checks, clean, evaluate, evidence, forecast, inventory, panel, review, revise, scenarios, supply
 from tidegrain.sources import files
 
 D = dt.date
@@ -314,3 +314,74 @@ def test_checkpoint_and_parquet_budget_refuse(spark, tmp_path):
     for rows, columns in ((1, 3), (2, 2)):
         with pytest.raises(checks.DataRefused):
             files.read_parquet(spark, path, rows, columns)
+
+
+def test_rules_by_semantics(spark):
+    d = [D(2026, 1, 1), D(2026, 1, 2)]
+    ledger = spark.createDataFrame(
+        [(w, p, "S", k, day, 10.0, s, m, e) for w, p, s in (("a", 0.25, 0.0), ("b", 0.75, 4.0)) for k, m, e in (("milk", 8.0, 2.0), ("tea", 5.0, 7.0)) for day in d],
+        "scenario_id string, weight double, store_key string, ingredient_id string, date date, demand double, shortage double, maximum double, ending double",
+    )
+    orders = spark.createDataFrame([("S", "milk", "o1", d[0], 30.0, 5), ("S", "milk", "o2", d[0], 20.0, None), ("S", "tea", "o3", d[0], 6.0, 9)], "store_key string, ingredient_id string, offer_id string, arrival_date date, quantity double, shelf_life_days int")
+    rules = spark.createDataFrame(
+        [("peak", "S", None, "RECEIVING_PEAK", "HARD", 12.0, 1.0, d[1], None, None), ("liters", "S", None, "GLOBAL_RECEIVING_PEAK", "SOFT", 20.0, 1.0, None, None, None), ("least", "S", "milk", "END_OF_DAY_MIN", "SOFT", 3.0, 2.0, None, d[0], None),
+         ("most", "S", "tea", "END_OF_DAY_MAX", "HARD", 7.0, 1.0, None, None, None), ("fill", "S", None, "PER_KEY_EXPECTED_FILL", "HARD", 0.9, 1.0, None, None, None), ("cover", "S", "milk", "PURCHASE_COVER_DAYS", "SOFT", 4.0, 1.0, None, None, 10.0),
+         ("none", "S", "tea", "PURCHASE_COVER_DAYS", "HARD", 4.0, 1.0, None, None, 0.0), ("life", "S", "milk", "MIN_REMAINING_LIFE_AT_RECEIVING", "HARD", 3.0, 1.0, None, None, None), ("other", "T", None, "RECEIVING_PEAK", "HARD", 0.0, 1.0, None, None, None)],
+        "rule_id string, store_key string, ingredient_id string, semantics string, classification string, target double, penalty double, effective_from date, effective_to date, reference_daily double",
+    )
+    liters = spark.createDataFrame([("milk", 1.0), ("tea", 3.0)], "ingredient_id string, liters double")
+    got = {r.rule_id: r for r in review.evaluate_rules(rules, review.rule_observations(rules, ledger, orders, liters)).collect()}
+    say = {k: (r.status, round(r.maximum_violation, 6), round(r.weighted_violation, 6), r.n) for k, r in got.items()}
+    assert say == {
+        "peak": ("FAIL", 1.0, 1.0, 2), "liters": ("TARGET_MISS", 3.0, 6.0, 4), "least": ("TARGET_MISS", 1.0, 1.0, 2), "most": ("PASS", 0.0, 0.0, 4), "fill": ("FAIL", 0.2, 0.4, 2),
+        "cover": ("TARGET_MISS", 1.0, 1.0, 1), "none": ("FAIL", 6.0, 6.0, 1), "life": ("FAIL", 4.0, 4.0, 2), "other": ("PASS", 0.0, 0.0, 0),
+    }
+    assert got["life"].worst == ["o2", "o1"] and got["least"].penalty == 2.0 and got["other"].worst == [] and got["none"].maximum_observed is None
+    with pytest.raises(checks.DataRefused):
+        review.rule_observations(rules, ledger, orders, liters.where("ingredient_id = 'tea'"))
+
+
+def test_gates_and_selectors(spark):
+    metrics = spark.createDataFrame([("recall", 0.9, 5), ("errors", 0.0, 5), ("empty", None, 0)], "metric_name string, value double, n long")
+    targets = spark.createDataFrame([("recall", "gte", 0.9), ("errors", "eq", 0.0), ("recall", "lte", 0.5), ("empty", "gte", 0.0), ("absent", "lte", 1.0)], "metric_name string, operator string, target double")
+    got = {(r.metric_name, r.operator): (r.passed, r.note) for r in review.gates(metrics, targets).collect()}
+    assert got == {("recall", "gte"): (True, None), ("errors", "eq"): (True, None), ("recall", "lte"): (False, None), ("empty", "gte"): (False, "NOT_APPLICABLE"), ("absent", "lte"): (False, "NOT_APPLICABLE")}
+    evidence_rows = spark.createDataFrame([("e1", "SALES", {"store": "S1"}, "m1/a", '{"q":5,"u":"kg"}'), ("e2", "SALES", {"product": "P"}, "m1/b", '{"q":"many","u":"kg"}'), ("e3", "OFFER", {"store": "S1"}, None, None)], "evidence_id string, evidence_type string, entities map<string,string>, source_path string, payload string")
+    selectors = spark.createDataFrame(
+        [("strict", "SALES", {"store": "S1"}, False, "m1/", {"u": "kg"}, None, 1, 1), ("loose", "SALES", {"store": "S1"}, True, None, None, None, 1, 1), ("number", "SALES", None, True, None, None, {"q": 4.0}, 1, None), ("none", "OFFER", None, True, "m5/", None, None, 1, None), ("bare", "OFFER", {}, True, None, None, None, 0, 1)],
+        "selector_id string, evidence_type string, entities map<string,string>, allow_missing boolean, path_prefix string, payload_equals map<string,string>, payload_greater map<string,double>, minimum long, maximum long",
+    )
+    matches = review.selected(selectors, evidence_rows)
+    assert sorted(tuple(r) for r in matches.collect()) == [("bare", "e3"), ("loose", "e1"), ("loose", "e2"), ("number", "e1"), ("strict", "e1")]
+    assert {r.selector_id: (r.n, r.issue) for r in review.selector_report(selectors, matches).collect()} == {"strict": (1, None), "loose": (2, "AMBIGUOUS"), "number": (1, None), "none": (0, "TOO_FEW"), "bare": (1, None)}
+
+
+def test_edits_are_guarded(spark):
+    demand = spark.createDataFrame([("S1", "a", 1.0), ("S1", "b", 2.0), ("S2", "a", 4.0), (None, "a", 8.0)], "store_key string, ingredient_id string, quantity double")
+    scope = ["store_key", "ingredient_id"]
+    scaled = review.scale_demand(demand, [{"store_key": "S1", "multiplier": 3, "expected_matches": 2}, {"store_key": "S2", "ingredient_id": "a", "multiplier": 0.5}], scope)
+    assert sorted(r.quantity for r in scaled.collect()) == [2.0, 3.0, 6.0, 8.0]
+    assert review.scale_demand(demand, [], scope).count() == 4
+    for edits in ([{"store_key": "S1", "multiplier": 2}, {"ingredient_id": "a", "multiplier": 2}], [{"store_key": "S9", "multiplier": 2, "expected_matches": 1}], [{"store_key": "S1", "multiplier": 2, "expected_matches": 1}]):
+        with pytest.raises(checks.DataRefused):
+            review.scale_demand(demand, edits, scope)
+    costs = spark.createDataFrame([("x", 1.0, None), ("y", 2.0, 5.0), ("y", 3.0, 6.0)], "id string, holding double, waste double")
+    patch = lambda rows: review.patch_one_each(costs, spark.createDataFrame(rows, "id string, waste double"), ["id"])
+    assert sorted(tuple(r) for r in patch([("x", 9.0)]).collect()) == [("x", 1.0, 9.0), ("y", 2.0, 5.0), ("y", 3.0, 6.0)]
+    for rows in ([("y", 1.0)], [("z", 1.0)], [("x", 1.0), ("x", 2.0)]):
+        with pytest.raises(checks.DataRefused):
+            patch(rows)
+
+
+def test_critique_of_plans(spark):
+    worlds = spark.createDataFrame([("a", 0.5), ("b", 0.5)], "scenario_id string, weight double")
+    rows = [("good", "k", w, 0.5, 1.0, 0.0, None, True) for w in "ab"] + [("bad", "k", "a", 0.5, 1.0, 0.0, 2.0, True), ("bad", "k", "b", 0.4, 0.5, 5.0, None, False), ("part", "k", "a", 0.5, 1.0, 0.0, None, True)]
+    summary = spark.createDataFrame(rows, "plan string, key string, scenario_id string, weight double, fill_rate double, shortage double, capacity_violation double, accounting_valid boolean")
+    profile = {"minimum_acceptable_fill_rate": 0.8, "maximum_stockout_probability": 0.1, "minimum_expected_fill_rate": 0.9}
+    ask = lambda p: sorted(tuple(r) for r in review.critique(summary, worlds, p, ["plan"], "key").collect())
+    fixed = [("bad", "ACCOUNTING_INVALID"), ("bad", "CAPACITY_CONSEQUENCE"), ("bad", "EVALUATION_SCENARIO_COVERAGE_MISMATCH"), ("part", "EVALUATION_SCENARIO_COVERAGE_MISMATCH")]
+    assert ask({}) == fixed
+    assert ask(profile) == sorted(fixed + [("bad", "EXACT_SIMULATION_SAFETY_FLOOR"), ("bad", "RISK_CONSTRAINT_VIOLATION"), ("bad", "SERVICE_LEVEL_REQUIREMENT"), ("part", "SERVICE_LEVEL_REQUIREMENT")])
+    assert review.critique(summary.limit(0), worlds, profile, ["plan"], "key").count() == 0
+    assert [tuple(r) for r in review.world_key_gaps(summary, "scenario_id", ["plan"]).collect()] == [("part", 1)]
+    assert [tuple(r) for r in review.key_differences(worlds, summary.where("plan = 'part'"), ["scenario_id"]).collect()] == [("b", "right")]

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from tidegrain.functions import text as X
 from tidegrain.operators import evidence as V
+from tidegrain.operators import review as W
 from tidegrain.operators.checks import failed, union_all
 from tidegrain.sources import files
 
@@ -148,14 +149,22 @@ def latency_summary(spark, sf):
 
 @query("gates", "", "SELECT event_type, round(avg((value < 50)::INT), 6) AS rate, avg((value < 50)::INT) >= 0.6 AS passed, count(*) AS n FROM events GROUP BY 1")
 def gates(spark, sf):
-    rate = F.avg((F.col("value") < 50).cast("int"))
-    return table(spark, sf, "events").groupBy("event_type").agg(F.round(rate, 6).alias("rate"), (rate >= 0.6).alias("passed"), F.count("*").alias("n"))
+    metrics = table(spark, sf, "events").groupBy("event_type").agg(F.avg((F.col("value") < 50).cast("int")).alias("value"), F.count("*").alias("n")).withColumn("metric_name", F.lit("under_50"))
+    targets = spark.createDataFrame([("under_50", "gte", 0.6)], "metric_name string, operator string, target double")
+    return W.gates(metrics, targets).select("event_type", F.round("value", 6).alias("rate"), "passed", "n")
 
 
 @query("gold_selectors", "", "SELECT lang, count(*) AS n, count(*) BETWEEN 1 AND 400 AS within FROM documents WHERE source LIKE 'src1%' AND n_chars > 500 GROUP BY 1")
 def gold_selectors(spark, sf):
-    hit = F.col("source").startswith("src1") & (F.col("n_chars") > 500)
-    return table(spark, sf, "documents").where(hit).groupBy("lang").agg(F.count("*").alias("n")).withColumn("within", F.col("n").between(1, 400))
+    d = table(spark, sf, "documents")
+    found = d.select(F.col("doc_id").alias("evidence_id"), F.col("lang").alias("evidence_type"), F.create_map(F.lit("source"), "source").alias("entities"), F.col("source").alias("source_path"), F.to_json(F.struct("n_chars")).alias("payload"))
+    nothing, bound = F.lit(None).cast("map<string,string>"), lambda n: F.lit(n).cast("long")
+    wanted = d.select(F.col("lang").alias("selector_id")).distinct().select(
+        "selector_id", F.col("selector_id").alias("evidence_type"), nothing.alias("entities"), F.lit(True).alias("allow_missing"), F.lit("src1").alias("path_prefix"),
+        nothing.alias("payload_equals"), F.create_map(F.lit("n_chars"), F.lit(500.0)).alias("payload_greater"), bound(1).alias("minimum"), bound(400).alias("maximum"),
+    )
+    report = W.selector_report(wanted, W.selected(wanted, found))
+    return report.where("n > 0").select(F.col("selector_id").alias("lang"), "n", F.col("issue").isNull().alias("within"))
 
 
 @query("citation_check", "", "SELECT conv_id, count(*) AS n, count(d.doc_id) AS n_valid, count(d.doc_id) / count(*) AS share FROM (SELECT conv_id, conv_id * 7 + turn AS cited FROM conversations) LEFT JOIN documents d ON d.doc_id = cited GROUP BY 1")
@@ -356,8 +365,10 @@ def cross_checks(spark, sf):
 
 @query("patch_costs_stress", "offers", "SELECT offer_id, CASE WHEN s_suppkey % 5 = 0 THEN lead_time_days + 2 ELSE lead_time_days END AS lead_time_days, round(unit_price * CASE WHEN ingredient_id = 'PROMO' THEN 1.5 ELSE 1 END, 4) AS unit_price FROM offers")
 def patch_costs_stress(spark, sf):
-    late = F.when(F.col("s_suppkey") % 5 == 0, F.col("lead_time_days") + 2).otherwise(F.col("lead_time_days"))
-    return offers(spark, sf).select("offer_id", late.alias("lead_time_days"), F.round(F.col("unit_price") * F.when(F.col("ingredient_id") == "PROMO", 1.5).otherwise(1.0), 4).alias("unit_price"))
+    o = offers(spark, sf)
+    late, dear = F.when(F.col("s_suppkey") % 5 == 0, F.col("lead_time_days") + 2), F.when(F.col("ingredient_id") == "PROMO", F.col("unit_price") * 1.5)
+    patches = o.select("offer_id", late.alias("lead_time_days"), dear.alias("unit_price")).where("lead_time_days IS NOT NULL OR unit_price IS NOT NULL")
+    return W.patch_one_each(o, patches, ["offer_id"]).select("offer_id", "lead_time_days", F.round("unit_price", 4).alias("unit_price"))
 
 
 @query("import_units", "raw_sales", f"SELECT {IMPORT_CASE.format(c='lower(trim(unit_text))')} AS unit, count(*) AS n FROM raw_sales GROUP BY 1")
