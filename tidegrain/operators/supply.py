@@ -58,3 +58,127 @@ def plan_violations(plan: DataFrame, offers: DataFrame) -> DataFrame:
         "NOT_WHOLE_PACKS": F.abs(F.col("quantity") / F.col("pack_size") - F.round(F.col("quantity") / F.col("pack_size"))) > 1e-9, "BELOW_MINIMUM": F.col("quantity") < F.col("minimum_quantity"), "ABOVE_MAXIMUM": F.col("quantity") > F.col("maximum_quantity"),
     }
     return rows.withColumn("violations", failed(rules)).drop("o_ingredient", "o_price")
+
+
+# Reason codes of supply bounds: fixed values.
+BEFORE_FIRST_ARRIVAL, NO_USABLE_LOT, CUMULATIVE, EXPIRY_REQUIRED = "DEMAND_BEFORE_FIRST_ARRIVAL", "NO_USABLE_LOT", "CUMULATIVE_DEMAND_BEFORE_FIRST_ARRIVAL", "SUPPLIER_EXPIRY_REQUIRED"
+
+
+def open_offers(offers: DataFrame, decision: Column, unknown_expiry: str = "reject") -> DataFrame:
+    """Offers that may still be ordered, with expiry_date and blocked (no shelf life where that must be known: they arrive, but supply nothing).
+
+    offers: offer_id, available, order_date, order_cutoff_date, arrival_date, shelf_life_days, maximum_order_quantity (null: no limit).
+    """
+    ok = F.coalesce("available", F.lit(False)) & (F.col("order_date") >= decision) & F.coalesce(F.col("order_date") <= F.col("order_cutoff_date"), F.lit(True))
+    rows = offers.where(ok & F.col("arrival_date").isNotNull())
+    return rows.withColumn("expiry_date", F.date_add("arrival_date", F.col("shelf_life_days").cast("int"))).withColumn("blocked", F.col("shelf_life_days").isNull() & F.lit(unknown_expiry == "reject"))
+
+
+def blocked_offers(opened: DataFrame, needs: DataFrame, keys: list[str]) -> DataFrame:
+    """Offers without a shelf life that would arrive by the last day of a need of their key: their terms have to be confirmed."""
+    last = needs.groupBy(*keys).agg(F.max("date").alias("last_"))
+    return opened.where("blocked").join(last, keys).where("arrival_date <= last_").select(*keys, "offer_id", "arrival_date", F.lit(EXPIRY_REQUIRED).alias("reason"))
+
+
+def usable_supply(needs: DataFrame, initial: DataFrame, inbound: DataFrame, opened: DataFrame, keys: list[str], expiry_inclusive: bool = True) -> DataFrame:
+    """Per key and day of ``needs``: usable (upper bound of what could serve the day), unlimited (offers without a limit), received
+    (initial stock and inbound so far, whatever its expiry), earliest_arrival, next_arrival and last_expiry of the offers.
+
+    A sweep: supply comes on the day it arrives and goes after its last day. Changes are added up by key and day before the one window
+    of a key, which has as many rows as there are days, however many lots and offers there are. What is consumed is left out on
+    purpose, so that the bound is never too low.
+    """
+    zero, none = F.lit(0.0), F.lit(None).cast("date")
+    first = F.lit("0001-01-01").cast("date")
+    gone = F.date_add("expiry_date", 1 if expiry_inclusive else 0)
+    offered = opened.where(~F.col("blocked"))
+    limited, unlimited = offered.where("maximum_order_quantity is not null"), offered.where("maximum_order_quantity is null")
+    row = lambda day, q=zero, n=zero, r=zero, a=none, e=none, asked=False: [
+        *keys, day.alias("date"), q.cast("double").alias("q"), n.alias("n"), r.cast("double").alias("r"), a.alias("a"), e.alias("e"), F.lit(asked).alias("asked"),
+    ]
+    stays = lambda day: gone > day  # noqa: E731 # what expires before it comes never counts
+    ends = lambda df, day: df.where(F.col("expiry_date").isNotNull() & stays(day))
+    comes = lambda df, day: df.where(F.col("expiry_date").isNull() | stays(day))
+    quantity, limit, arrival = F.col("quantity"), F.col("maximum_order_quantity"), F.col("arrival_date")
+    changes = [
+        needs.select(*row(F.col("date"), asked=True)),
+        initial.select(*row(first, quantity, r=quantity)),
+        ends(initial, first).select(*row(gone, -quantity)),
+        inbound.select(*row(arrival, r=quantity)),
+        comes(inbound, arrival).select(*row(arrival, quantity)),
+        ends(inbound, arrival).select(*row(gone, -quantity)),
+        opened.select(*row(arrival, a=arrival, e=F.col("expiry_date"))),
+        comes(limited, arrival).select(*row(arrival, limit)),
+        ends(limited, arrival).select(*row(gone, -limit)),
+        comes(unlimited, arrival).select(*row(arrival, n=F.lit(1.0))),
+        ends(unlimited, arrival).select(*row(gone, n=F.lit(-1.0))),
+    ]
+    every = changes[0]
+    for rows in changes[1:]:
+        every = every.unionByName(rows)
+    daily = every.groupBy(*keys, "date").agg(*[F.sum(c).alias(c) for c in "qnr"], F.min("a").alias("a"), F.max("e").alias("e"), F.max("asked").alias("asked"))
+    key = Window.partitionBy(*keys)
+    so_far = key.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    later = key.orderBy("date").rowsBetween(1, Window.unboundedFollowing)
+    swept = daily.select(
+        *keys, "date", "asked", F.greatest(F.sum("q").over(so_far), zero).alias("usable"), F.sum("n").over(so_far).cast("long").alias("unlimited"), F.sum("r").over(so_far).alias("received"),
+        F.min("a").over(key).alias("earliest_arrival"), F.min("a").over(later).alias("next_arrival"), F.max("e").over(key).alias("last_expiry"),
+    )
+    return swept.where("asked").drop("asked")
+
+
+def supply_bounds(needs: DataFrame, swept: DataFrame, keys: list[str], world: str = "scenario_id", tolerance: float = 1e-6) -> DataFrame:
+    """Per world, key and day: required, usable, shortfall (a sound lower bound) and reason (null where nothing is short).
+
+    needs: ``world``, keys, date, quantity. The bound takes all that could be usable on the day, as if nothing were consumed before.
+    """
+    required = needs.groupBy(world, *keys, "date").agg(F.sum("quantity").alias("required"))
+    short = F.when(F.col("unlimited") > 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.col("required") - F.col("usable")))
+    reason = F.when(F.col("date") < F.col("earliest_arrival"), BEFORE_FIRST_ARRIVAL).otherwise(NO_USABLE_LOT)
+    return required.join(swept, [*keys, "date"]).withColumn("shortfall", short).withColumn("reason", F.when(F.col("shortfall") > tolerance, reason))
+
+
+def prefix_bounds(bounds: DataFrame, keys: list[str], world: str = "scenario_id", tolerance: float = 1e-6) -> DataFrame:
+    """Per world and key: the need of all days before the first offer arrives against all stock received by then, each counted once."""
+    before = bounds.where(F.col("earliest_arrival").isNull() | (F.col("date") < F.col("earliest_arrival")))
+    sums = before.groupBy(world, *keys).agg(F.max("date").alias("date"), F.sum("required").alias("required"), F.max_by("received", "date").alias("received"), F.min("earliest_arrival").alias("earliest_arrival"))
+    short = F.greatest(F.lit(0.0), F.col("required") - F.col("received"))
+    return sums.withColumn("shortfall", short).withColumn("reason", F.when(F.col("shortfall") > tolerance, CUMULATIVE))
+
+
+def key_bounds(bounds: DataFrame, prefixes: DataFrame, keys: list[str], world: str = "scenario_id") -> DataFrame:
+    """Per world and key: required in all, and shortfall (the days' bounds together or the prefix bound, whichever is greater)."""
+    days = bounds.groupBy(world, *keys).agg(F.sum("required").alias("required"), F.sum("shortfall").alias("daily"), F.count("reason").alias("n_days"))
+    prefix = prefixes.select(world, *keys, F.col("shortfall").alias("prefix"), (F.col("reason").isNotNull()).alias("cumulative"))
+    met = days.join(prefix, [world, *keys], "left")
+    return met.select(world, *keys, "required", F.greatest("daily", F.coalesce("prefix", F.lit(0.0))).alias("shortfall"), ((F.col("n_days") > 0) | F.coalesce("cumulative", F.lit(False))).alias("short"))
+
+
+def ruled_out(by_key: DataFrame, weights: DataFrame, profiles: list[tuple[str, float, float, float]], keys: list[str], world: str = "scenario_id", tolerance: float = 1e-9) -> DataFrame:
+    """Profiles (name, least fill rate of any key and world, greatest probability of a stockout, least expected fill rate of any key) that no
+    plan can meet: profile, worst_fill, stockout_probability, worst_expected_fill, infeasible. What is not ruled out need not be feasible.
+
+    weights: ``world``, weight (null in any row: the two conditions on probabilities are left out).
+    """
+    fill = F.when(F.col("required") > 0, 1 - F.col("shortfall") / F.col("required")).otherwise(1.0)
+    rows = by_key.join(weights, world).withColumn("fill", fill)
+    worlds = rows.groupBy(world).agg(F.min("fill").alias("fill"), F.max("short").alias("short"), F.first("weight").alias("weight"), F.count_if(F.col("weight").isNull()).alias("unknown"))
+    one = worlds.agg(F.min("fill").alias("worst_fill"), F.sum(F.when(F.col("short"), F.col("weight")).otherwise(0.0)).alias("p"), F.sum("unknown").alias("unknown"))
+    expected = rows.groupBy(*keys).agg(F.sum(F.col("weight") * F.col("fill")).alias("f")).agg(F.min("f").alias("f"))
+    known = F.col("unknown") == 0
+    kinds = F.inline(F.array(*[F.struct(F.lit(n).alias("profile"), F.lit(float(a)).alias("a_"), F.lit(float(b)).alias("b_"), F.lit(float(c)).alias("c_")) for n, a, b, c in profiles]))
+    made = one.join(F.broadcast(expected), F.lit(True)).select("*", kinds)  # one row of each
+    broken = (F.col("worst_fill") + tolerance < F.col("a_")) | (known & ((F.col("p") > F.col("b_") + tolerance) | (F.col("f") + tolerance < F.col("c_"))))
+    return made.select("profile", "worst_fill", F.when(known, F.col("p")).alias("stockout_probability"), F.when(known, F.col("f")).alias("worst_expected_fill"), F.coalesce(broken, F.lit(False)).alias("infeasible"))
+
+
+def least_cost(by_key: DataFrame, received: DataFrame, opened: DataFrame, least_fill: float, keys: list[str], last: Column) -> DataFrame:
+    """Per key: quantity that must be bought so that every world reaches ``least_fill``, at the least price of an offer that arrives by ``last``.
+
+    received: keys, received (initial stock and inbound in all). A need without any price is left to the bounds above (cost null).
+    """
+    most = by_key.groupBy(*keys).agg(F.max("required").alias("required"))
+    price = opened.where(F.col("arrival_date") <= last).groupBy(*keys).agg(F.min("price_per_unit").alias("price"))
+    quantity = F.greatest(F.lit(0.0), F.col("required") * F.lit(float(least_fill)) - F.coalesce("received", F.lit(0.0)))
+    rows = most.join(received, keys, "left").join(price, keys, "left").withColumn("quantity", quantity)
+    return rows.select(*keys, "quantity", "price", F.when(F.col("quantity") > 0, F.col("quantity") * F.col("price")).otherwise(0.0).alias("cost"))

@@ -12,6 +12,7 @@ from tidegrain.operators import scenarios as S
 from tidegrain.operators import supply as U
 from tidegrain.operators.checks import union_all
 from tidegrain.operators.ranking import first_rows
+from tidegrain.sources.keep import keep
 
 from .forecast_queries import residuals, splits
 from .inputs import sales, sales_lines, table
@@ -153,10 +154,15 @@ part("worlds", "SELECT unnest(range(10)) AS scenario_id, 0.1::DOUBLE AS weight")
 part("wneeds", "SELECT scenario_id, weight, store_key, ingredient_id, date, base_unit, quantity * (0.7 + 0.06 * scenario_id) AS quantity FROM @needs CROSS JOIN @worlds")
 
 
+def in_worlds(rows):
+    """Rows with a quantity in ten weighted worlds."""
+    worlds = F.inline(F.array(*[F.struct(F.lit(k).cast("long").alias("scenario_id"), F.lit(0.1).alias("weight")) for k in range(10)]))
+    return rows.select("*", worlds).withColumn("quantity", F.col("quantity") * (0.7 + 0.06 * F.col("scenario_id")))
+
+
 def world_needs(spark, sf):
     """Ingredient demand of all days in ten weighted worlds."""
-    worlds = F.inline(F.array(*[F.struct(F.lit(k).cast("long").alias("scenario_id"), F.lit(0.1).alias("weight")) for k in range(10)]))
-    return needs(spark, sf).select("*", worlds).withColumn("quantity", F.col("quantity") * (0.7 + 0.06 * F.col("scenario_id")))
+    return in_worlds(needs(spark, sf))
 
 
 @query("ingredient_scenarios", "wneeds", "SELECT scenario_id, store_key, ingredient_id, base_unit, round(sum(quantity), 5) AS quantity FROM wneeds GROUP BY 1, 2, 3, 4")
@@ -493,13 +499,147 @@ def fee_allocation(spark, sf):
     return U.split_fee(li, ["l_orderkey"], "fee", "l_linenumber").select("l_orderkey", "l_linenumber", "fee_share")
 
 
-@query("supply_bounds", "opps wneeds", "SELECT n.store_key, n.p AS demand_day, count(DISTINCT o.offer_id) AS n_offers, min(o.arrival_date) AS first_arrival FROM (SELECT DISTINCT store_key, date AS p FROM wneeds) n LEFT JOIN opps o ON o.arrival_date <= n.p AND o.arrival_date + 30 >= n.p GROUP BY 1, 2")
+BOUND_PORTION = 0.25  # of a day's need, so that about half of the days could fall short
+
+# Supply bounds: one plan over all days. What came within the first days is on hand; of the rest, first and second lines are confirmed deliveries and the others offers.
+part("bound_needs", f"SELECT scenario_id, store_key, ingredient_id, date, sum(quantity) * {BOUND_PORTION}::DOUBLE AS required FROM @wneeds GROUP BY ALL")
+part("bound_day", "SELECT min(date) AS d FROM @needs")
+part(
+    "bound_offers",
+    f"""SELECT l_orderkey || '-' || l_linenumber AS offer_id, store_key, p_brand AS ingredient_id, {ARRIVE.format(e="(order_date + lead)")} AS arrival_date, shelf_life_days, CASE WHEN l_orderkey % 101 <> 0 THEN l_quantity END AS limit_, l_extendedprice / l_quantity AS price
+  FROM (SELECT *, (l_orderkey % 6)::INT AS lead, date - (l_orderkey % 6)::INT AS order_date, CASE WHEN l_orderkey % 7 <> 0 THEN (3 + l_linenumber * 2)::INT END AS shelf_life_days FROM @sales_lines WHERE l_linenumber > 2) CROSS JOIN @bound_day
+  WHERE l_returnflag <> 'A' AND order_date >= d AND order_date <= date - (l_suppkey % 4)::INT""",
+)
+part(
+    "bound_supply",
+    """SELECT store_key, ingredient_id, DATE '0001-01-01' AS from_day, expiry_date AS last_day, quantity AS q, true AS firm FROM @lots CROSS JOIN @bound_day WHERE received_date < d + 10
+  UNION ALL SELECT store_key, ingredient_id, received_date, received_date + 3 + 2 * line, quantity, true FROM (SELECT *, split_part(lot_id, '-', 2)::INT AS line FROM @lots) CROSS JOIN @bound_day WHERE received_date >= d + 10 AND line <= 2
+  UNION ALL SELECT store_key, ingredient_id, arrival_date, arrival_date + shelf_life_days, limit_, false FROM @bound_offers WHERE shelf_life_days IS NOT NULL""",
+)
+part(
+    "bound_keys",
+    """SELECT k.*, coalesce(u.usable, 0) AS usable, coalesce(u.unlimited, 0) AS unlimited, coalesce(r.received, 0) AS received, o.earliest_arrival, o.last_expiry FROM (SELECT DISTINCT store_key, ingredient_id, date FROM @needs) k
+  LEFT JOIN (SELECT n.store_key, n.ingredient_id, n.date, sum(q) AS usable, count(*) FILTER (q IS NULL) AS unlimited FROM (SELECT DISTINCT store_key, ingredient_id, date FROM @needs) n JOIN @bound_supply s ON s.store_key = n.store_key AND s.ingredient_id = n.ingredient_id AND s.from_day <= n.date AND coalesce(s.last_day, DATE '9999-12-31') >= n.date GROUP BY ALL) u
+    ON u.store_key = k.store_key AND u.ingredient_id = k.ingredient_id AND u.date = k.date
+  ASOF LEFT JOIN (SELECT store_key, ingredient_id, from_day, sum(sum(q)) OVER (PARTITION BY store_key, ingredient_id ORDER BY from_day) AS received FROM @bound_supply WHERE firm GROUP BY 1, 2, 3) r ON r.store_key = k.store_key AND r.ingredient_id = k.ingredient_id AND r.from_day <= k.date
+  LEFT JOIN (SELECT store_key, ingredient_id, min(arrival_date) AS earliest_arrival, max(arrival_date + shelf_life_days) AS last_expiry FROM @bound_offers GROUP BY ALL) o ON o.store_key = k.store_key AND o.ingredient_id = k.ingredient_id""",
+)
+part(
+    "bounds",
+    """SELECT n.scenario_id, k.*, n.required, CASE WHEN unlimited > 0 THEN 0 ELSE greatest(0, required - usable) END AS shortfall,
+  CASE WHEN unlimited = 0 AND required - usable > 1e-6 THEN CASE WHEN k.date < earliest_arrival THEN 'DEMAND_BEFORE_FIRST_ARRIVAL' ELSE 'NO_USABLE_LOT' END END AS reason
+  FROM @bound_needs n JOIN @bound_keys k ON n.store_key = k.store_key AND n.ingredient_id = k.ingredient_id AND n.date = k.date""",
+)
+part(
+    "prefixes",
+    """SELECT scenario_id, store_key, ingredient_id, max(date) AS checkpoint, sum(required) AS required, max_by(received, date) AS received, greatest(0, sum(required) - max_by(received, date)) AS shortfall,
+  CASE WHEN sum(required) - max_by(received, date) > 1e-6 THEN 'CUMULATIVE_DEMAND_BEFORE_FIRST_ARRIVAL' END AS reason FROM @bounds WHERE earliest_arrival IS NULL OR date < earliest_arrival GROUP BY ALL""",
+)
+part(
+    "key_bounds",
+    """SELECT b.scenario_id, b.store_key, b.ingredient_id, b.required, greatest(b.daily, coalesce(p.shortfall, 0)) AS shortfall, b.n > 0 OR p.reason IS NOT NULL AS short FROM (SELECT scenario_id, store_key, ingredient_id, sum(required) AS required, sum(shortfall) AS daily, count(reason) AS n FROM @bounds GROUP BY ALL) b
+  LEFT JOIN @prefixes p ON p.scenario_id = b.scenario_id AND p.store_key = b.store_key AND p.ingredient_id = b.ingredient_id""",
+)
+#: name, least fill rate, greatest probability of a stockout, least expected fill rate
+PROFILES = [("strict", 0.9, 0.05, 0.95), ("normal", 0.5, 0.5, 0.6), ("loose", 0.0, 1.0, 0.0)]
+
+
+def bound_inputs(spark, sf):
+    """needs by key and day, stock on hand, confirmed deliveries, offers that are open on the first day of a need."""
+    days, holidays = F.array(F.lit(0), F.lit(2), F.lit(4)), F.array(DAY("2001-10-05"))
+    wanted = keep(needs(spark, sf).groupBy(*KEY, "date").agg((F.sum("quantity") * BOUND_PORTION).alias("quantity")))
+    day = F.broadcast(wanted.agg(F.min("date").alias("d")))  # one row
+    every = lots(spark, sf).withColumn("line", F.split("lot_id", "-")[1].cast("int")).join(day, F.lit(True))
+    initial = every.where(F.col("received_date") < F.date_add("d", 10))
+    inbound = every.where((F.col("received_date") >= F.date_add("d", 10)) & (F.col("line") <= 2)).select(*KEY, "quantity", F.col("received_date").alias("arrival_date"), F.date_add("received_date", F.col("line") * 2 + 3).alias("expiry_date"))
+    lead = (F.col("l_orderkey") % 6).cast("int")
+    x = sales_lines(spark, sf).where("l_linenumber > 2").join(day, F.lit(True)).withColumn("order_date", F.date_sub("date", lead))
+    offered = x.select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("offer_id"), "store_key", F.col("p_brand").alias("ingredient_id"), (F.col("l_returnflag") != "A").alias("available"), "order_date", F.date_sub("date", (F.col("l_suppkey") % 4).cast("int")).alias("order_cutoff_date"), "d",
+        U.resolve_arrival(F.col("order_date"), lead, days, holidays).alias("arrival_date"), F.when(F.col("l_orderkey") % 7 != 0, F.col("l_linenumber") * 2 + 3).alias("shelf_life_days"), F.when(F.col("l_orderkey") % 101 != 0, F.col("l_quantity")).alias("maximum_order_quantity"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price_per_unit"),
+    )
+    return wanted, initial, inbound, U.open_offers(offered, F.col("d"))
+
+
+def all_bounds(spark, sf):
+    wanted, initial, inbound, opened = bound_inputs(spark, sf)
+    return U.supply_bounds(in_worlds(wanted), U.usable_supply(wanted, initial, inbound, opened, KEY), KEY)
+
+
+def world_bounds(spark, sf):
+    rows = keep(all_bounds(spark, sf))
+    return U.key_bounds(rows, U.prefix_bounds(rows, KEY), KEY)
+
+
+@query(
+    "supply_bounds",
+    "bounds",
+    """SELECT scenario_id, store_key, ingredient_id, date_trunc('month', date)::DATE AS month, count(*) AS n_days, count(*) FILTER (unlimited > 0) AS n_unlimited, round(sum(required), 3) AS required, round(sum(usable), 3) AS usable, round(sum(shortfall), 3) AS shortfall, count(*) FILTER (reason = 'NO_USABLE_LOT') AS n_no_usable_lot,
+  count(*) FILTER (reason = 'DEMAND_BEFORE_FIRST_ARRIVAL') AS n_before_first_arrival, min(CASE WHEN reason IS NOT NULL THEN date END) AS first_short, max(last_expiry) AS last_expiry FROM bounds GROUP BY 1, 2, 3, 4""",
+)
 def supply_bounds(spark, sf):
-    n = world_needs(spark, sf).select("store_key", F.col("date").alias("demand_day")).distinct()
-    arrivals = opportunities(spark, sf).select("arrival_date", "offer_id").distinct()
-    usable = arrivals.select("offer_id", "arrival_date", F.explode(F.sequence("arrival_date", F.date_add("arrival_date", 30))).alias("demand_day"))
-    by_day = usable.groupBy("demand_day").agg(F.countDistinct("offer_id").alias("n_offers"), F.min("arrival_date").alias("first_arrival"))
-    return n.join(by_day, "demand_day", "left").select("store_key", "demand_day", F.coalesce("n_offers", F.lit(0)).alias("n_offers"), "first_arrival")
+    """Bounds of every world, key and day, added up by month."""
+    third = lambda c: F.round(F.sum(c), 3).alias(c)
+    return all_bounds(spark, sf).groupBy("scenario_id", *KEY, F.trunc("date", "month").alias("month")).agg(
+        F.count("*").alias("n_days"), F.count_if(F.col("unlimited") > 0).alias("n_unlimited"), third("required"), third("usable"), third("shortfall"), F.count_if(F.col("reason") == U.NO_USABLE_LOT).alias("n_no_usable_lot"),
+        F.count_if(F.col("reason") == U.BEFORE_FIRST_ARRIVAL).alias("n_before_first_arrival"), F.min(F.when(F.col("reason").isNotNull(), F.col("date"))).alias("first_short"), F.max("last_expiry").alias("last_expiry"),
+    )
+
+
+@query("supply_bound_days", "bounds", "SELECT store_key, ingredient_id, date, round(usable, 3) AS usable, count(reason) AS n_worlds, round(max(shortfall), 3) AS worst, max(reason) AS reason FROM bounds WHERE reason IS NOT NULL GROUP BY ALL")
+def supply_bound_days(spark, sf):
+    """Days on which some world must fall short, whatever is ordered."""
+    rows = all_bounds(spark, sf).where(F.col("reason").isNotNull())
+    return rows.groupBy(*KEY, "date", "usable").agg(F.count("reason").alias("n_worlds"), F.round(F.max("shortfall"), 3).alias("worst"), F.max("reason").alias("reason")).withColumn("usable", F.round("usable", 3))
+
+
+@query("next_arrivals", "bound_offers needs", "SELECT k.store_key, k.ingredient_id, k.date, min(o.arrival_date) AS next_arrival FROM (SELECT store_key, ingredient_id, max(date) AS date FROM needs GROUP BY store_key, ingredient_id, date_trunc('month', date)) k LEFT JOIN bound_offers o ON o.store_key = k.store_key AND o.ingredient_id = k.ingredient_id AND o.arrival_date > k.date GROUP BY ALL")
+def next_arrivals(spark, sf):
+    """For the last day of a need of each month, the next offer that could arrive."""
+    wanted, initial, inbound, opened = bound_inputs(spark, sf)
+    days = wanted.groupBy(*KEY, F.trunc("date", "month").alias("m")).agg(F.max("date").alias("date"))
+    return U.usable_supply(days, initial, inbound, opened, KEY).select(*KEY, "date", "next_arrival")
+
+
+@query("supply_prefix_bounds", "prefixes", "SELECT scenario_id, store_key, ingredient_id, checkpoint, round(required, 3) AS required, round(received, 3) AS received, round(shortfall, 3) AS shortfall, reason FROM prefixes")
+def supply_prefix_bounds(spark, sf):
+    rows = U.prefix_bounds(all_bounds(spark, sf), KEY)
+    return rows.select("scenario_id", *KEY, F.col("date").alias("checkpoint"), *[F.round(c, 3).alias(c) for c in ("required", "received", "shortfall")], "reason")
+
+
+@query(
+    "supply_verdict",
+    "key_bounds",
+    f""", worlds_ AS (SELECT scenario_id, min(fill) AS fill, bool_or(short) AS short FROM (SELECT *, CASE WHEN required > 0 THEN 1 - shortfall / required ELSE 1 END AS fill FROM key_bounds) GROUP BY 1),
+one AS (SELECT min(fill) AS w, sum(CASE WHEN short THEN 0.1::DOUBLE ELSE 0 END) AS p FROM worlds_),
+expected AS (SELECT min(f) AS f FROM (SELECT store_key, ingredient_id, sum(0.1::DOUBLE * CASE WHEN required > 0 THEN 1 - shortfall / required ELSE 1 END) AS f FROM key_bounds GROUP BY 1, 2))
+SELECT profile, round(w, 6) AS worst_fill, round(p, 6) AS stockout_probability, round(f, 6) AS worst_expected_fill, w + 1e-9 < a OR p > b + 1e-9 OR f + 1e-9 < c AS infeasible
+FROM one CROSS JOIN expected CROSS JOIN (VALUES {", ".join(f"('{n}', {a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE)" for n, a, b, c in PROFILES)}) t(profile, a, b, c)""",
+)
+def supply_verdict(spark, sf):
+    weights = in_worlds(spark.range(1).select(F.lit(1.0).alias("quantity"))).select("scenario_id", "weight")
+    out = U.ruled_out(world_bounds(spark, sf), weights, PROFILES, KEY)
+    return out.select("profile", *[F.round(c, 6).alias(c) for c in ("worst_fill", "stockout_probability", "worst_expected_fill")], "infeasible")
+
+
+@query(
+    "supply_least_cost",
+    "key_bounds bound_offers bound_supply",
+    """SELECT store_key, ingredient_id, round(greatest(0, m * 0.9::DOUBLE - coalesce(r, 0)), 3) AS quantity, round(price, 6) AS price, round(CASE WHEN m * 0.9::DOUBLE > coalesce(r, 0) THEN (m * 0.9::DOUBLE - coalesce(r, 0)) * price ELSE 0 END, 2) AS cost
+  FROM (SELECT store_key, ingredient_id, max(required) AS m FROM key_bounds GROUP BY 1, 2) LEFT JOIN (SELECT store_key, ingredient_id, sum(q) AS r FROM bound_supply WHERE firm GROUP BY 1, 2) USING (store_key, ingredient_id)
+  LEFT JOIN (SELECT store_key, ingredient_id, min(price) AS price FROM bound_offers WHERE arrival_date <= DATE '2001-11-04' GROUP BY 1, 2) USING (store_key, ingredient_id)""",
+)
+def supply_least_cost(spark, sf):
+    _, initial, inbound, opened = bound_inputs(spark, sf)
+    received = initial.select(*KEY, "quantity").unionByName(inbound.select(*KEY, "quantity")).groupBy(*KEY).agg(F.sum("quantity").alias("received"))
+    rows = U.least_cost(world_bounds(spark, sf), received, opened, 0.9, KEY, DAY("2001-11-04"))
+    return rows.select(*KEY, F.round("quantity", 3).alias("quantity"), F.round("price", 6).alias("price"), F.round("cost", 2).alias("cost"))
+
+
+@query("blocked_offers", "bound_offers needs", "SELECT o.store_key, o.ingredient_id, offer_id, arrival_date, 'SUPPLIER_EXPIRY_REQUIRED' AS reason FROM bound_offers o JOIN (SELECT store_key, ingredient_id, max(date) AS last FROM needs GROUP BY 1, 2) n ON n.store_key = o.store_key AND n.ingredient_id = o.ingredient_id AND arrival_date <= last WHERE shelf_life_days IS NULL")
+def blocked_offers(spark, sf):
+    wanted, _, _, opened = bound_inputs(spark, sf)
+    return U.blocked_offers(opened, wanted, KEY)
 
 
 part("plan_", "SELECT l_orderkey || '-' || l_linenumber AS line_id, l_suppkey || ':' || product_key AS offer_id, product_key AS ingredient_id, l_quantity AS quantity, CASE WHEN l_orderkey % 9 = 0 THEN 1.0 ELSE price END AS price, date AS order_date, store_key FROM @sales_lines JOIN (SELECT offer_id AS oid, round(CASE WHEN price_basis = 'PACK' THEN unit_price / pack_size ELSE unit_price END, 6) AS price FROM @offers) ON oid = l_suppkey || ':' || product_key")
