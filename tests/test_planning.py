@@ -242,19 +242,43 @@ def test_block_bootstrap(spark):
     assert c.n == 50 and 0.4 < c.low <= c.high < 0.6
 
 
+IMPORT = "k int, v double, at int"
+
+
+def run_imports(spark, tmp_path, batches, rules, order=None):
+    from tidegrain.streaming.imports import import_stream
+
+    for i, rows in enumerate(batches):
+        if rows is not None:
+            spark.createDataFrame(rows, IMPORT).coalesce(1).write.parquet(str(tmp_path / "in" / f"part{len(list((tmp_path / 'in').glob('*'))) if (tmp_path / 'in').exists() else 0}"))
+        stream = spark.readStream.schema(IMPORT).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+        import_stream(stream, str(tmp_path / "table"), ["k"], rules, str(tmp_path / "check"), order).awaitTermination(120)
+
+
 def test_import_stream(spark, tmp_path):
-    from tidegrain.streaming.imports import current, import_stream
-
-    schema = "k int, v double"
-    rules = {"negative": F.col("v") < 0}
-    for i, rows in enumerate(([(1, 1.0), (2, -1.0)], [(1, 5.0), (3, 3.0)])):
-        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"part{i}"))
-        stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
-        q = import_stream(stream, str(tmp_path / "table"), ["k"], rules, str(tmp_path / "check"))
-        q.awaitTermination(120)
-        last = q
-    assert {r.k: r.v for r in current(spark, str(tmp_path / "table"), last).collect()} == {1: 5.0, 3: 3.0}
-    assert spark.read.parquet(str(tmp_path / "table" / "quarantine")).count() == 1
+    from tidegrain.streaming.imports import compact, current, finished
+
+    rules = {"negative": F.col("v") < 0, "huge": F.col("v") > 100}
+    table = lambda: {r.k: r.v for r in current(spark, str(tmp_path / "table"), ["k"]).collect()}
+    run_imports(spark, tmp_path, [[(1, 1.0, 0), (2, -1.0, 0), (2, 7.0, 1), (2, float("inf"), 2), (None, 3.0, 0), (None, 3.0, 0)]], rules)
+    assert table() == {1: 1.0, 2: 7.0}  # a bad row of a key does not hide the good one
+    away = spark.read.parquet(str(tmp_path / "table" / "quarantine"))
+    assert away.count() == 4 and sorted(c for r in away.collect() for c in r.issues) == ["KEY_MISSING", "KEY_MISSING", "huge", "negative"]
+    run_imports(spark, tmp_path, [None, [(1, 5.0, 0), (3, 3.0, 0)], None], rules)  # nothing new, something, nothing new
+    assert table() == {1: 5.0, 2: 7.0, 3: 3.0} and finished(spark, str(tmp_path / "table" / "changes")) == [0, 1]
+    assert compact(spark, str(tmp_path / "table"), ["k"]) == compact(spark, str(tmp_path / "table"), ["k"]) == 1
+    run_imports(spark, tmp_path, [[(2, 8.0, 0), (4, -4.0, 0)]], rules)
+    assert table() == {1: 5.0, 2: 8.0, 3: 3.0}
+
+
+def test_import_stream_orders_rows_of_a_batch(spark, tmp_path):
+    from tidegrain.streaming.imports import current, last_of_batch
+
+    run_imports(spark, tmp_path, [[(1, 9.0, 1), (1, 2.0, 5), (2, 1.0, 3), (2, 4.0, 3)]], {}, ["at"])
+    assert {r.k: r.v for r in current(spark, str(tmp_path / "table"), ["k"]).collect()} == {1: 2.0, 2: 4.0}
+    assert last_of_batch(spark.createDataFrame([(1,), (1,)], "k int"), ["k"]).count() == 1
+    with pytest.raises(checks.DataRefused):
+        current(spark, str(tmp_path / "none"), ["k"])
 
 
 def test_registered_queries_have_matching_sql():
