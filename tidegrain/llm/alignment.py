@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .batches import cut, slices, table, written
 from .bpe import byte_of
-from .pools import Pool, per_row
+from .pools import Pool, flattened, per_row, strings_of
 
 SPACE = "▁"  # stands for a space in the pieces of B
 BYTE = re.compile(r"<0x([0-9A-F]{2})>")
@@ -66,6 +66,13 @@ def chunks(column: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
     return found.dictionary_encode(), np.searchsorted(starts, bounds)
 
 
+def spell(texts: list[str], ids: np.ndarray, widths: np.ndarray, tokens: list[bytes]) -> np.ndarray:
+    """Whether the bytes of each text's tokens are the text."""
+    own = [tokens[i] for i in ids.tolist()]
+    ends = np.cumsum(widths).tolist()
+    return np.fromiter((b"".join(own[e - w : e]) == t.encode() for t, w, e in zip(texts, widths.tolist(), ends, strict=True)), dtype=bool, count=len(texts))
+
+
 class Pair:
     """Two tokenizers, the bytes of their tokens, and the ids of chunks met so far; lives in a Python worker."""
 
@@ -86,16 +93,15 @@ class Pair:
         bytes_b = [bytes([int(BYTE.fullmatch(p)[1], 16)]) if b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(names)]
         self.sizes = [pa.array([len(t) for t in own], pa.int64()) for own in (bytes_a, bytes_b)]
         self.names = [pa.array([str(i) for i in range(len(own))]) for own in (bytes_a, bytes_b)]
-        same = lambda own: lambda text, ids: b"".join(map(own.__getitem__, ids)) == text.encode()
         self.pools = [
-            Pool(lambda texts: [x.ids for x in a.encode_batch_fast(texts, add_special_tokens=False)], check=same(bytes_a)),
-            Pool(lambda texts: b.encode([t[1:] for t in texts], num_threads=1), check=same(bytes_b)),  # B adds the space
+            Pool(lambda texts: flattened([x.ids for x in a.encode_batch_fast(texts, add_special_tokens=False)]), check=lambda *found: spell(*found, bytes_a)),
+            Pool(lambda texts: flattened(b.encode([t[1:] for t in texts], num_threads=1)), check=lambda *found: spell(*found, bytes_b)),  # B adds the space
         ]
 
     def encode(self, column: pa.Array) -> list[pa.ListArray]:
         """Ids by document of A and of B; empty for documents without tokens."""
         coded, bounds = chunks(column)
-        distinct, which = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+        distinct, which = strings_of(coded.dictionary), coded.indices.to_numpy(zero_copy_only=False)
         slots = [pool.look_up(distinct)[which] for pool in self.pools]
         wrong = ~(self.pools[0].good[slots[0]] & self.pools[1].good[slots[1]])
         counts = np.diff(bounds)

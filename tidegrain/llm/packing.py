@@ -26,30 +26,86 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .batches import cut, slices, table
-from .pools import Pool, per_row
+from .pools import Pool, flattened, per_row, runs, strings_of
 
 LONGEST = 4096
 CLOSING = 2  # the id after each document
 BIN_PIECES = 1 << 18
 
 
+SPECIAL = "<|"  # begins the strings of special tokens, which count as such in texts
+BETWEEN = "<|endoftext|>"
+PLAIN = np.arange(256, dtype=np.uint8)
+PLAIN[0x41:0x5B] += 0x20
+LETTER = np.zeros(256, dtype=bool)
+LETTER[[*range(0x30, 0x3A), *range(0x61, 0x7B)]] = True
+MARK = np.zeros(256, dtype=bool)
+MARK[list(b'.,;:!?)"')] = True
+
+
+def words_of(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """What is encoded on its own, one after another, and the bounds of each text's: words between ASCII white space, A-Z lowered, cut
+    before a mark that follows a letter or digit. Texts that may hold a special token are only cut at white space."""
+    texts = pc.fill_null(column.cast(pa.large_string()), "")
+    _, offsets, data = texts.buffers()
+    bounds = np.frombuffer(offsets, dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(data, dtype=np.uint8)[bounds[0] : bounds[-1]] if data is not None else np.zeros(0, dtype=np.uint8)
+    bounds = bounds - bounds[0]
+    low = PLAIN[raw]
+    cuts = np.zeros(len(raw), dtype=bool)
+    cuts[1:] = LETTER[low[:-1]] & MARK[low[1:]]
+    special = pc.match_substring(texts, SPECIAL).to_numpy(zero_copy_only=False)
+    if special.any():
+        own = np.repeat(special, np.diff(bounds))
+        low, cuts = np.where(own, raw, low), cuts & ~own
+    before = np.cumsum(cuts)
+    spaced = np.full(len(raw) + (int(before[-1]) if len(raw) else 0), 0x20, dtype=np.uint8)
+    spaced[np.arange(len(raw)) + before] = low
+    wider = bounds + np.concatenate(([0], before))[bounds]
+    words = pc.ascii_split_whitespace(pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(wider.tobytes()), pa.py_buffer(spaced.tobytes())))
+    at = words.offsets.to_numpy()
+    return words.flatten(), at - at[0]
+
+
 class WordCoder:
-    """Ids of texts by a tokenizer that drops white space: words between ASCII white space are encoded on their own."""
+    """Ids of texts by a tokenizer that lowers letters and drops white space, so that words can be encoded on their own."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tool = Tokenizer.from_file(path)
-        self.pool = Pool(lambda words: [x.ids for x in tool.encode_batch_fast(words, add_special_tokens=False)])
+        self.tool = Tokenizer.from_file(path)
+        self.between = self.tool.token_to_id(BETWEEN)
+        self.pool = Pool(self._encode)
+
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        special = np.array([SPECIAL in w for w in words])
+        if not special.any():
+            return self._joined(words)
+        ids, widths = self._joined([w for w in words if SPECIAL not in w])
+        more, wide = flattened([self.tool.encode(w, add_special_tokens=False).ids for w in words if SPECIAL in w])
+        order = np.argsort(np.concatenate((np.flatnonzero(~special), np.flatnonzero(special))))
+        ids, widths = np.concatenate((ids, more)), np.concatenate((widths, wide))
+        return runs(ids, (np.cumsum(widths) - widths)[order], widths[order]), widths[order]
+
+    def _joined(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Many words in one call, with a special token between them that tells where each ends."""
+        if not words:
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        found = []
+        for at in range(0, len(words), 1000):
+            found.append(np.array(self.tool.encode_batch_fast([BETWEEN.join(words[at : at + 1000])], add_special_tokens=False)[0].ids, dtype=np.int64))
+            found.append(np.array([self.between]))
+        ids = np.concatenate(found)
+        ends = np.flatnonzero(ids == self.between)
+        return np.delete(ids, ends), np.diff(ends, prepend=-1) - 1
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and the number of ids of each text."""
-        words = pc.ascii_split_whitespace(pc.fill_null(column.cast(pa.large_string()), ""))
-        coded = words.flatten().dictionary_encode()
-        ids, widths = self.pool.gather(self.pool.look_up(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)])
-        bounds = words.offsets.to_numpy()
-        return ids, per_row(bounds - bounds[0], widths)
+        words, bounds = words_of(column)
+        coded = words.dictionary_encode()
+        ids, widths = self.pool.gather(self.pool.look_up(strings_of(coded.dictionary))[coded.indices.to_numpy(zero_copy_only=False)])
+        return ids, per_row(bounds, widths)
 
 
 @lru_cache(maxsize=2)

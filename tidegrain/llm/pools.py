@@ -6,14 +6,30 @@ from collections.abc import Callable, Sequence
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 
 MOST_STRINGS, MOST_IDS = 250_000, 4_000_000
 
 
+def flattened(lists: Sequence[Sequence[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids one after another, and how many each list has."""
+    widths = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
+    return np.fromiter(chain.from_iterable(lists), dtype=np.int64, count=int(widths.sum())), widths
+
+
+def runs(ids: np.ndarray, starts: np.ndarray, widths: np.ndarray) -> np.ndarray:
+    """The runs of ``ids`` from ``starts`` on, one after another."""
+    ends = np.cumsum(widths)
+    return ids[np.repeat(starts - (ends - widths), widths) + np.arange(int(ends[-1]) if len(ends) else 0)]
+
+
 class Pool:
-    """Id lists by string, kept between slices. A pool that has grown beyond its bounds starts anew with the next slice."""
+    """Id lists by string, kept between slices. A pool that has grown beyond its bounds starts anew with the next slice.
 
-    def __init__(self, encode: Callable[[list[str]], Sequence[Sequence[int]]], kind=np.uint32, check: Callable[[str, Sequence[int]], bool] | None = None):
+    ``encode`` gives the ids of strings one after another and how many each has; ``check``, from the same, one flag for each string.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], kind=np.uint32, check: Callable[[list[str], np.ndarray, np.ndarray], np.ndarray] | None = None):
         self.encode, self.kind, self.check = encode, kind, check
         self.clear()
 
@@ -29,23 +45,25 @@ class Pool:
             self.clear()
         fresh = [s for s in strings if s not in self.slots]
         if fresh:
-            lists = self.encode(fresh)
-            widths = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
+            ids, widths = self.encode(fresh)
             self.slots.update(zip(fresh, range(len(self.slots), len(self.slots) + len(fresh)), strict=True))
-            self.ids = np.concatenate((self.ids, np.fromiter(chain.from_iterable(lists), dtype=self.kind, count=int(widths.sum()))))
+            self.ids = np.concatenate((self.ids, ids.astype(self.kind)))
             self.bounds = np.concatenate((self.bounds, self.bounds[-1] + np.cumsum(widths)))
             if self.check:
-                self.good = np.concatenate((self.good, np.fromiter(map(self.check, fresh, lists), dtype=bool, count=len(fresh))))
+                self.good = np.concatenate((self.good, self.check(fresh, ids, widths)))
         return np.fromiter(map(self.slots.__getitem__, strings), dtype=np.int64, count=len(strings))
 
     def gather(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of ``slots`` one after another, and how many each has."""
-        starts, widths = self.bounds[slots], self.bounds[slots + 1] - self.bounds[slots]
-        ends = np.cumsum(widths)
-        total = int(ends[-1]) if len(ends) else 0
-        return self.ids[np.repeat(starts - (ends - widths), widths) + np.arange(total)], widths
+        widths = self.bounds[slots + 1] - self.bounds[slots]
+        return runs(self.ids, self.bounds[slots], widths), widths
 
 
 def per_row(bounds: np.ndarray, widths: np.ndarray) -> np.ndarray:
     """Sums of ``widths`` between successive ``bounds``."""
     return np.diff(np.concatenate(([0], np.cumsum(widths)))[bounds])
+
+
+def strings_of(column: pa.Array) -> list[str]:
+    """Python strings of an Arrow column without nulls."""
+    return column.to_numpy(zero_copy_only=False).tolist()
