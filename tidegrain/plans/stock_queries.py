@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidegrain.operators import bom as B
 from tidegrain.operators import evaluate as E
 from tidegrain.operators import inventory as I
+from tidegrain.operators import lots as L
 from tidegrain.operators import revise as R
 from tidegrain.operators import scenarios as S
 from tidegrain.operators import supply as U
@@ -319,6 +320,102 @@ def lot_ledger(spark, sf):
     return simulated(spark, sf, ONE).select(*KEY, "date", *[F.round(c, 4).alias(c) for c in LINES])
 
 
+# Waste: what is counted two days after the arrival of some lines; costs and capacities by key.
+def waste_events(spark, sf):
+    x = lots(spark, sf).withColumn("line", F.split("lot_id", "-")[1].cast("int"))
+    return x.where("line in (3, 7)").select(*KEY, F.concat(F.lit("w"), "lot_id").alias("event_id"), F.date_add("received_date", 2).alias("date"), (F.col("line") * 0.5).alias("quantity"), F.lit(None).cast("string").alias("lot_id"))
+
+
+def cost_terms(spark, sf):
+    price = table(spark, sf, "part").groupBy(F.col("p_brand").alias("ingredient_id")).agg((F.min("p_retailprice") / 1000).alias("c"))
+    stores = table(spark, sf, "nation").select(F.concat(F.lit("S"), F.col("n_regionkey").cast("string")).alias("store_key")).distinct()
+    rows = price.where("ingredient_id <> 'Brand#3'").join(F.broadcast(stores), F.lit(True))  # five regions
+    capacity = F.when(F.col("store_key") != "S2", F.lit(100.0))
+    return rows.select(*KEY, (F.col("c") * 0.0213).alias("holding_cost"), (F.col("c") * 2).alias("shortage_cost"), F.col("c").alias("expired_cost"), (F.col("c") * 1.0937).alias("waste_cost"), capacity.alias("capacity"), DAY("1996-01-01").alias("capacity_from"), F.when(F.col("store_key") == "S1", DAY("1999-12-31")).alias("capacity_to"))
+
+
+def lot_flow(spark, sf):
+    stock, coming, demand = ledger_inputs(spark, sf)
+    rows, placed = L.flow(stock, demand, coming, waste_events(spark, sf), KEY)
+    return keep(rows), placed
+
+
+def wasted_sql(body):
+    """The ledger's SQL twin with waste: demand and then waste take from the same lots, first expired first out."""
+    sql = simulated_sql(ONE, body)
+    for old, new in (
+        ("coalesce(a.undated, 0)::DOUBLE AS undated\n", "coalesce(a.undated, 0)::DOUBLE AS undated, coalesce(z.waste, 0)::DOUBLE AS asked\n"),
+        ("a.date = k.date),\nled AS", "a.date = k.date\n  LEFT JOIN (SELECT store_key, ingredient_id, received_date + 2 AS date, sum(line * 0.5::DOUBLE) AS waste FROM (SELECT *, split_part(lot_id, '-', 2)::INT AS line FROM lots) WHERE line IN (3, 7) GROUP BY 1, 2, 3) z ON z.store_key = k.store_key AND z.ingredient_id = k.ingredient_id AND z.date = k.date),\nled AS"),
+        ("0::DOUBLE AS fulfilled, 0::DOUBLE AS ending", "0::DOUBLE AS fulfilled, 0::DOUBLE AS waste, 0::DOUBLE AS ending"),
+        ("demand, fulfilled, coalesce(list_sum", "demand, fulfilled, waste, coalesce(list_sum"),
+        ("demand - (sums[i] - x.q)", "demand + asked - (sums[i] - x.q)"),
+        ("least(whole, demand - served)", "least(whole, demand + asked - served)"),
+        ("least(demand, served + whole) AS fulfilled", "least(demand, served + whole) AS fulfilled, least(demand + asked, served + whole) - least(demand, served + whole) AS waste"),
+        ("d.demand, list_sort", "d.demand, d.asked, list_sort"),
+    ):
+        if sql.count(old) != 1:
+            raise ValueError(old)
+        sql = sql.replace(old, new)
+    return sql.replace("SELECT *, demand - fulfilled AS shortage FROM led", "SELECT *, demand - fulfilled AS shortage, beginning + inbound AS maximum, coalesce(list_sum(list_transform(list_filter(kept, lambda x: x.e - date BETWEEN 0 AND 3), lambda x: x.q)), 0) AS at_risk FROM led")
+
+
+part(
+    "cost_terms",
+    """SELECT store_key, ingredient_id, c * 0.0213::DOUBLE AS holding, c * 2 AS short, c AS expiry, c * 1.0937::DOUBLE AS wasting, CASE WHEN store_key <> 'S2' THEN 100.0::DOUBLE END AS capacity, CASE WHEN store_key = 'S1' THEN DATE '1999-12-31' ELSE DATE '9999-12-31' END AS capacity_to
+  FROM (SELECT p_brand AS ingredient_id, min(p_retailprice) / 1000 AS c FROM part WHERE p_brand <> 'Brand#3' GROUP BY 1) CROSS JOIN (SELECT DISTINCT 'S' || n_regionkey AS store_key FROM nation)""",
+)
+COSTED = """, costed AS (SELECT l.*, CASE WHEN l.date BETWEEN DATE '1996-01-01' AND capacity_to AND capacity IS NOT NULL THEN greatest(0, maximum - capacity) ELSE 0 END AS capacity_violation, ending * holding AS cost_holding, shortage * short AS cost_short, expired * expiry AS cost_expiry, waste * wasting AS cost_wasting
+  FROM lines l LEFT JOIN cost_terms t ON t.store_key = l.store_key AND t.ingredient_id = l.ingredient_id)
+"""
+WASTED = ("beginning", "inbound", "expired", "demand", "fulfilled", "waste", "ending", "at_risk", "shortage", "capacity_violation", "cost_holding", "cost_short", "cost_expiry", "cost_wasting")
+
+
+@query("waste_ledger", "lots pairs cost_terms", wasted_sql(COSTED + "SELECT store_key, ingredient_id, date_trunc('month', date)::DATE AS month, count(*) AS n_days, " + ", ".join(f"round(sum({c}), 3) AS {c}" for c in WASTED) + " FROM costed GROUP BY 1, 2, 3"))
+def waste_ledger(spark, sf):
+    """The daily ledger with waste, capacities and costs, added up by month."""
+    daily = L.with_costs(L.lines(lot_flow(spark, sf)[0], KEY), cost_terms(spark, sf), KEY)
+    return daily.groupBy(*KEY, F.trunc("date", "month").alias("month")).agg(F.count("*").alias("n_days"), *[F.round(F.sum(c), 3).alias(c) for c in WASTED])
+
+
+SUMMED = ("demand", "fulfilled", "shortage", "expired", "waste", "inbound", "beginning", "ending", "maximum", "capacity_violation", "at_risk", "cost_total", "fill_rate", "days_of_supply")
+
+
+@query(
+    "ledger_costs",
+    "lots pairs cost_terms",
+    wasted_sql(COSTED + f"""SELECT store_key, ingredient_id, {", ".join(f"round({c}, 4) AS {c}" for c in SUMMED)}, n_stockout_days, first_stockout FROM (SELECT *, CASE WHEN demand > 0 THEN fulfilled / demand ELSE 1 END AS fill_rate, CASE WHEN demand > 0 THEN ending / (demand / n) END AS days_of_supply
+  FROM (SELECT store_key, ingredient_id, sum(demand) AS demand, sum(fulfilled) AS fulfilled, sum(shortage) AS shortage, sum(expired) AS expired, sum(waste) AS waste, sum(inbound) AS inbound, min_by(beginning, date) AS beginning, max_by(ending, date) AS ending, max(maximum) AS maximum, max(capacity_violation) AS capacity_violation, max(at_risk) AS at_risk,
+    sum(cost_holding) + sum(cost_short) + sum(cost_expiry) + sum(cost_wasting) AS cost_total, count(*) AS n, count(*) FILTER (shortage > 1e-9) AS n_stockout_days, min(CASE WHEN shortage > 1e-9 THEN date END) AS first_stockout FROM costed GROUP BY 1, 2))"""),
+)
+def ledger_costs(spark, sf):
+    out = L.summarize(L.with_costs(L.lines(lot_flow(spark, sf)[0], KEY), cost_terms(spark, sf), KEY), KEY)
+    return out.select(*KEY, *[F.round(c, 4).alias(c) for c in SUMMED], "n_stockout_days", "first_stockout")
+
+
+@query(
+    "lot_traces",
+    "lots pairs",
+    wasted_sql("SELECT store_key, ingredient_id, date_trunc('month', date)::DATE AS month, kind, round(sum(q), 3) AS quantity FROM (SELECT store_key, ingredient_id, date, 'consumed' AS kind, fulfilled AS q FROM lines UNION ALL SELECT store_key, ingredient_id, date, 'expired', expired FROM lines UNION ALL SELECT store_key, ingredient_id, date, 'wasted', waste FROM lines) WHERE q > 1e-9 GROUP BY 1, 2, 3, 4"),
+)
+def lot_traces(spark, sf):
+    """What lots gave by month and kind; the twin has it from the ledger, so the traces of single lots add up to it."""
+    rows, placed = lot_flow(spark, sf)
+    return L.traces(rows, placed, KEY).groupBy(*KEY, F.trunc("date", "month").alias("month"), "kind").agg(F.round(F.sum("quantity"), 3).alias("quantity"))
+
+
+@query("lot_outcomes", "lots pairs", wasted_sql(", have AS (SELECT store_key, ingredient_id, count(DISTINCT lot_id) AS n_lots, sum(quantity) AS quantity FROM lots GROUP BY 1, 2) SELECT store_key, ingredient_id, n_lots, round(quantity, 3) AS quantity, round(f, 3) AS consumed, round(e, 3) AS expired, round(w, 3) AS wasted, round(quantity - f - e - w, 3) AS remaining FROM have JOIN (SELECT store_key, ingredient_id, sum(fulfilled) AS f, sum(expired) AS e, sum(waste) AS w FROM lines GROUP BY 1, 2) USING (store_key, ingredient_id)"))
+def lot_outcomes(spark, sf):
+    """What became of the lots of each key, from the outcome of every lot."""
+    rows, placed = lot_flow(spark, sf)
+    each = L.outcomes(placed, L.traces(rows, placed, KEY), KEY).withColumnRenamed("left", "remaining")
+    return each.groupBy(*KEY).agg(F.count("*").alias("n_lots"), *[F.round(F.sum(c), 3).alias(c) for c in ("quantity", "consumed", "expired", "wasted", "remaining")])
+
+
+@query("refused_waste", "lots pairs", wasted_sql("SELECT store_key, ingredient_id, round(sum(asked - waste), 3) AS quantity FROM (SELECT l.store_key, l.ingredient_id, l.date, l.waste, d.asked FROM lines l JOIN days d ON d.store_key = l.store_key AND d.ingredient_id = l.ingredient_id AND d.date = l.date) WHERE asked - waste > 1e-9 GROUP BY 1, 2"))
+def refused_waste(spark, sf):
+    return L.refused_waste(lot_flow(spark, sf)[0], KEY).groupBy(*KEY).agg(F.round(F.sum("quantity"), 3).alias("quantity"))
+
+
 @query("world_ledgers", "lots pairs", simulated_sql(WORLDS, "SELECT store_key, ingredient_id, round(avg((shortage > 1e-9)::INT), 6) AS p_stockout, round(avg(shortage), 3) AS shortage, round(avg(fill_rate), 6) AS fill_rate, round(avg(expired), 3) AS expired FROM sums GROUP BY 1, 2"))
 def world_ledgers(spark, sf):
     r = I.risk(summaries(spark, sf, WORLDS).withColumn("weight", F.lit(0.2)), KEY)
