@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidegrain.functions.text import all_tokens, let, tokens
 
+from .ordered import at_rank, at_share, value_ranks
 from .ranking import first_rows
 
 
@@ -96,9 +97,6 @@ def ranking_metrics(ranking: DataFrame, gold: DataFrame, ks: tuple[int, ...] = (
 
 def latency(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Least, greatest, median and 95th percentile by interpolation, and the latter as an order statistic."""
-    w = Window.partitionBy(*keys)
-    ranked = df.withColumn("r_", F.row_number().over(w.orderBy(value))).withColumn("n_", F.count("*").over(w))
-    at = F.least(F.col("n_") - 1, F.floor(F.col("n_") * 0.95)) + 1
-    q = F.percentile(value, F.array(F.lit(0.5), F.lit(0.95)))
-    out = ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.min(value).alias("least"), F.max(value).alias("greatest"), q.alias("q"), F.max(F.when(F.col("r_") == at, F.col(value))).alias("p95_rank"))
-    return out.select(*keys, "n", "least", "greatest", F.col("q")[0].alias("p50"), F.col("q")[1].alias("p95"), "p95_rank")
+    at = F.least(F.col("total") - 1, F.floor(F.col("total") * 0.95)) + 1
+    ranked = value_ranks(df, keys, value).groupBy(*keys)
+    return ranked.agg(F.max("total").alias("n"), F.min(value).alias("least"), F.max(value).alias("greatest"), at_share(0.5, value).alias("p50"), at_share(0.95, value).alias("p95"), at_rank(at, value).alias("p95_rank"))

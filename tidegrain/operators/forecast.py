@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import at_rank, value_ranks
 from .panel import SERIES
 
 
@@ -50,14 +51,12 @@ def score() -> Column:
 
 def fit_cqr(df: DataFrame, coverage: float = 0.5, least: int = 30) -> DataFrame:
     """horizon (null: all), correction, n, level: the k-th smallest score, k = ceil((n + 1) * coverage). A k beyond n gives null."""
-    both = df.select("horizon", score().alias("s")).select(F.explode(F.array(F.col("horizon"), F.lit(None).cast("int"))).alias("horizon"), "s")
-    w = Window.partitionBy("horizon")
-    ranked = both.withColumn("r", F.row_number().over(w.orderBy("s"))).withColumn("n", F.count("*").over(w))
-    k = F.ceil((F.col("n") + 1) * F.lit(coverage))
-    return (
-        ranked.groupBy("horizon", "n").agg(F.max(F.when(F.col("r") == k, F.col("s"))).alias("correction")).where(F.col("horizon").isNull() | (F.col("n") >= least))
-        .select("horizon", "correction", "n", (k / F.col("n")).alias("level"))
-    )
+    every = -(1 << 31)  # stands for all horizons among the keys
+    scores = df.select(F.coalesce("horizon", F.lit(every)).alias("horizon"), score().alias("s")).where("s is not null")
+    both = scores.select(F.explode(F.array(F.col("horizon"), F.lit(every))).alias("horizon"), "s")
+    rank = F.ceil((F.col("total") + 1) * F.lit(coverage))
+    fitted = value_ranks(both, ["horizon"], "s").groupBy("horizon", F.col("total").alias("n")).agg(at_rank(rank, "s").alias("correction"), F.max(rank / F.col("total")).alias("level"))
+    return fitted.withColumn("horizon", F.when(F.col("horizon") != every, F.col("horizon"))).where(F.col("horizon").isNull() | (F.col("n") >= least)).select("horizon", "correction", "n", "level")
 
 
 def by_horizon(df: DataFrame, fitted: DataFrame, value: str) -> DataFrame:

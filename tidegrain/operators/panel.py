@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import codes
+
 SERIES = ["store_key", "product_key"]
 HORIZONS = tuple(range(1, 8))
 
@@ -140,8 +142,7 @@ def latest_full_suffix(panel: DataFrame, column: str, least: int = 28) -> DataFr
 
 def category_codes(df: DataFrame, column: str) -> DataFrame:
     """value, code: sorted distinct values from 0; a null is the value __MISSING__."""
-    values = df.select(F.coalesce(F.col(column).cast("string"), F.lit("__MISSING__")).alias("value")).distinct()
-    return values.withColumn("code", F.dense_rank().over(Window.orderBy("value")) - 1)
+    return codes(df.select(F.coalesce(F.col(column).cast("string"), F.lit("__MISSING__")).alias("value")), "value")
 
 
 def encode(df: DataFrame, column: str, codes: DataFrame, to: str) -> DataFrame:
