@@ -427,11 +427,26 @@ def test_counts_of_a_sliced_column():
     assert all((whole[n][1:] == part[n]).all() for n in stats.NAMES)
 
 
+def test_what_is_hot_does_not_depend_on_the_size_of_the_table(spark, monkeypatch):
+    """Anchors with more pieces than the bound, counted over all tasks, and the same ones in a table with much else."""
+    monkeypatch.setattr(repeats, "HOT_PIECES", 100)
+    r = np.random.default_rng(8)
+    words = lambda n: "".join(r.choice(list("abcdefgh "), n))
+    line = words(130)
+    texts = [(i, words(80) + line + words(80)) for i in range(150)]
+    more = [(1000 + i, words(300)) for i in range(600)] + [(5000 + i, texts[0][1]) for i in range(400)]
+    find = lambda rows: set(repeats.hot_anchors(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), 100, "doc_id", "text").tolist())
+    few = find(texts)
+    assert few and find(texts + more) == few and find(texts[:60]) == find(more) == set()
+
+
 def test_a_hot_anchor_is_spread_over_buckets_and_never_sorted_in_a_shard(spark, monkeypatch):
     seeds = np.zeros(1000, dtype=repeats.SEED)
     seeds["anchor"], seeds["piece"], seeds["doc"], seeds["n"] = 7, np.arange(1000) * 2654435761, np.arange(1000), 3
-    dealt, place = repeats.deal(repeats.collapse(seeds)[0], 10, 50)
-    assert np.bincount(place, minlength=10).max() < 200 and list(place[dealt["n"] == 0]) == [7] and (dealt["n"] != 0).sum() == 1000
+    dealt, place = repeats.deal(repeats.collapse(seeds)[0], 10, np.array([7], dtype=np.uint64))
+    assert np.bincount(place, minlength=10).max() < 200 and len(dealt) == 1000 and (dealt["n"] == -3).all()
+    dealt, place = repeats.deal(repeats.collapse(seeds)[0], 10, np.array([8], dtype=np.uint64))
+    assert set(place) == {7} and (dealt["n"] == 3).all()
     monkeypatch.setattr(repeats, "HOT_PIECES", 20)
 
     def shards(length, of=repeats.shard_spans):

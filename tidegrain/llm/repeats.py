@@ -6,8 +6,9 @@ repeats cover go. Finding them:
 1. In every string of ``length`` bytes the 32-byte gram of least hash is its anchor, so equal strings have equal anchors at the same
    place. A text becomes a few pieces: maximal runs of strings with one anchor. Pieces that are equal as a whole collapse to the
    earliest, first within a task and then per anchor bucket; the others are repeats already.
-2. An anchor that has many different pieces within one task already (a line that stands in a third of all texts) is hot: its pieces are
-   dealt by their own hash, and its home bucket gets a mark instead, so that pieces of other tasks are known as hot there.
+2. How many different pieces an anchor has is counted before: tasks count the anchors that have several, and the counts are added up. An
+   anchor with more than HOT_PIECES (a line that stands in a great many texts) is hot, whatever the size of the table: all its pieces
+   are dealt by their own hash instead of meeting in one bucket.
 3. A hot anchor's pieces become single strings. The earliest of equal ones is a minimum by string hash, combined within tasks first;
    the others are spans, found by a join that adaptive execution can split. No two of the earliest are equal, and equal strings have
    equal anchors, so the suffix sort has nothing to add for them.
@@ -40,8 +41,8 @@ SLICE = 1 << 20
 HELD_SEEDS = 1 << 19
 BUCKET_BYTES = 6 << 20
 SHARD_BYTES = 2 << 20
-HOT_PIECES = 50_000  # an anchor with more different pieces is settled string by string; about as many reach its home bucket
-HELD_BYTES = 4 << 20  # text that fills HELD_SEEDS, at least
+HOT_PIECES = 50_000  # an anchor with more different pieces is settled string by string
+HOT_ANCHORS = 1 << 20  # the hottest that tasks are told of (8 MB); a bucket tells of any other by itself
 SEED = np.dtype([("anchor", np.uint64), ("piece", np.uint64), ("doc", np.int64), ("start", np.int32), ("n", np.int32)])
 
 
@@ -107,28 +108,53 @@ def spans_of(seeds: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np
     return doc[at], start[at], end[np.append(at[1:], len(doc)) - 1]
 
 
-def deal(kept: np.ndarray, buckets: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Collapsed seeds with their buckets. An anchor with more than ``most`` pieces is hot: its pieces go by their own hash with ``n``
-    negated, and a seed of ``n`` 0 marks it in its home bucket."""
-    anchor, group_of, held = np.unique(kept["anchor"], return_inverse=True, return_counts=True)
-    hot = held[group_of] > most
-    seeds, marks = kept.copy(), np.zeros(int((held > most).sum()), dtype=SEED)
-    seeds["n"][hot] *= -1
-    marks["anchor"] = anchor[held > most]
-    place = np.concatenate((np.where(hot, kept["piece"], kept["anchor"]), marks["anchor"])) % np.uint64(buckets)
-    return np.concatenate((seeds, marks)), place.astype(np.int64)
+def deal(kept: np.ndarray, buckets: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Collapsed seeds with their buckets: that of their anchor; pieces of a hot anchor go by their own hash, with ``n`` negated."""
+    is_hot = np.isin(kept["anchor"], hot)
+    seeds = kept.copy()
+    seeds["n"][is_hot] *= -1
+    return seeds, (np.where(is_hot, kept["piece"], kept["anchor"]) % np.uint64(buckets)).astype(np.int64)
 
 
-def piece_spans(df: DataFrame, length: int, buckets: int, most: int, id_col: str, text_col: str) -> DataFrame:
-    """Rows for the next step by bucket: packed seeds (blob), or a span of pieces that repeat within the task (doc, start, end)."""
+def with_ids(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return df.where(df[id_col].isNotNull()).select(df[id_col].cast("long"), df[text_col].cast("string"))
 
-    def run(batches):
-        held: list[np.ndarray] = []
 
-        def out():
-            kept, again = collapse(np.concatenate(held))
+def held_seeds(batches, length: int):
+    """The seeds of the texts of a task, a bounded number at a time, the earliest of equal pieces and those that repeat one."""
+    held: list[np.ndarray] = []
+    for part in slices(batches, limit=SLICE):
+        held.append(pieces(part.column(1), part.column(0).to_numpy(zero_copy_only=False).astype(np.int64), length))
+        if sum(map(len, held)) >= HELD_SEEDS:
+            full = collapse(np.concatenate(held))
             held.clear()
-            kept, place = deal(kept, buckets, most)
+            yield full
+    if held:
+        yield collapse(np.concatenate(held))
+
+
+def hot_anchors(df: DataFrame, length: int, id_col: str, text_col: str) -> np.ndarray:
+    """Sorted anchors with more than HOT_PIECES pieces, as counted where several stand in what a task holds at once.
+
+    An anchor that stands there once at most each time is not counted; it brings one piece for each such part of the table.
+    """
+
+    def run(batches):
+        for kept, _ in held_seeds(batches, length):
+            anchor, n = np.unique(kept["anchor"], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(anchor[n > 1].view(np.int64)), pa.array(n[n > 1])], names=["anchor", "n"])
+
+    counts = with_ids(df, id_col, text_col).mapInArrow(run, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
+    hottest = counts.where(F.col("n") > HOT_PIECES).orderBy(F.desc("n"), "anchor").limit(HOT_ANCHORS).collect()
+    return np.sort(np.array([r["anchor"] for r in hottest], dtype=np.int64).view(np.uint64))
+
+
+def piece_spans(df: DataFrame, length: int, buckets: int, hot: np.ndarray, id_col: str, text_col: str) -> DataFrame:
+    """Rows for the next step by bucket: packed seeds (blob), or a span of pieces that repeat within the task (doc, start, end)."""
+
+    def run(batches):
+        for kept, again in held_seeds(batches, length):
+            kept, place = deal(kept, buckets, hot)
             order = np.argsort(place, kind="stable")
             met, first = np.unique(place[order], return_index=True)  # the buckets of this task only: their number may be far greater
             blobs = list(zip(met.tolist(), np.split(kept[order], first[1:]), strict=True)) if len(kept) else []
@@ -147,15 +173,7 @@ def piece_spans(df: DataFrame, length: int, buckets: int, most: int, id_col: str
                 names=["bucket", "blob", "doc", "start", "end"],
             )
 
-        for part in slices(batches, limit=SLICE):
-            held.append(pieces(part.column(1), part.column(0).to_numpy(zero_copy_only=False).astype(np.int64), length))
-            if sum(map(len, held)) >= HELD_SEEDS:
-                yield from out()
-        if held:
-            yield from out()
-
-    chosen = df.where(df[id_col].isNotNull()).select(df[id_col].cast("long"), df[text_col].cast("string"))
-    return chosen.mapInArrow(run, "bucket int, blob binary, doc long, start long, end long")
+    return with_ids(df, id_col, text_col).mapInArrow(run, "bucket int, blob binary, doc long, start long, end long")
 
 
 def unpack(blobs) -> np.ndarray:
@@ -177,8 +195,7 @@ def bucket_spans(length: int):
     def work(group: pd.DataFrame) -> pd.DataFrame:
         packed = group["blob"].notna()
         seeds = unpack(group["blob"][packed])
-        marked = np.unique(seeds["anchor"][seeds["n"] <= 0])
-        seeds = seeds[seeds["n"] != 0]
+        marked = np.unique(seeds["anchor"][seeds["n"] < 0])
         seeds["n"] = np.abs(seeds["n"])
         kept, again = collapse(seeds)
         doc, start, end = (np.concatenate((x, group[c][~packed].to_numpy(dtype=np.int64))) for x, c in zip(spans_of(again, length), ("doc", "start", "end"), strict=True))
@@ -275,8 +292,7 @@ def repeated_spans(df: DataFrame, length: int = 100, id_col: str = "doc_id", tex
     size = df.agg(F.coalesce(F.sum(F.octet_length(df[text_col].cast("string"))), F.lit(0))).first()[0]
     parallel = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(parallel, -(-size // BUCKET_BYTES))
-    most = max(1, HOT_PIECES // (1 + size // HELD_BYTES))  # a task's pieces of one anchor for its home bucket
-    mapped = piece_spans(df, length, buckets, most, id_col, text_col)
+    mapped = piece_spans(df, length, buckets, hot_anchors(df, length, id_col, text_col), id_col, text_col)
     met = cut(mapped.groupBy("bucket").applyInPandas(bucket_spans(length), "doc long, start long, end long, anchor long, whole boolean, hot boolean"))
     wanted = met.where("not whole and not hot")
     n_hot, load = met.where("not whole").agg(F.count_if("hot"), F.coalesce(F.sum(F.when(~F.col("hot"), F.col("end") - F.col("start"))), F.lit(0))).first()
