@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegrain.functions.text import all_tokens, let, tokens
 
+from . import retrieval as R
 from .ordered import at_rank, at_share, value_ranks
-from .ranking import first_rows
 
 
 def stable_evidence_id(*parts: Column) -> Column:
@@ -53,34 +53,75 @@ def mentions(items: DataFrame, names: DataFrame, id_col: str, most_tokens: int =
     return held.groupBy(id_col).agg(F.max(F.struct(F.length("name").alias("l"), "name"))["name"].alias("entity"), F.count("*").alias("n"))
 
 
-def shared_tokens(queries: DataFrame, items: DataFrame) -> DataFrame:
-    """query_id, evidence_id, shared: number of tokens that a question and an item share, by an inverted join."""
-    q = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("token"))
-    d = items.select("evidence_id", F.explode(tokens(F.col("text"))).alias("token"))
-    return d.join(q, "token").groupBy("query_id", "evidence_id").agg(F.count("*").alias("shared"))
+def index_of(items: DataFrame, *more: Column) -> DataFrame:
+    """Items (evidence_id, text) as an index of their words and of further terms."""
+    none = F.array().cast(R.NONE)
+    return R.index(items.select("evidence_id", F.concat(F.coalesce(tokens(F.col("text")), none), F.array(*more) if more else none).alias("terms"), none.alias("keys")))
+
+
+def question_terms(queries: DataFrame, weight: float, *more: Column) -> DataFrame:
+    terms = R.words(F.col("query"), weight)
+    return R.asked(queries.select("query_id", (F.concat(terms, F.array(*more)) if more else terms).alias("terms"), F.array().cast(R.NONE).alias("keys")))
 
 
 def lexical(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
     """The k items that share most tokens with each question; ties by id."""
-    s = shared_tokens(queries, items)
-    w = Window.partitionBy("query_id").orderBy(F.desc("shared"), "evidence_id")
-    return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return R.best_items(question_terms(queries, 1), index_of(items), k).select("query_id", "evidence_id", "shared", "rank")
 
 
 def structured(queries: DataFrame, items: DataFrame, edges: DataFrame, k: int, seeds: int = 8) -> DataFrame:
     """Two points a shared token, a bonus for the type a question wants, one for neighbours of its best items; the k best.
 
-    queries: query_id, query, wanted_type. items: evidence_id, evidence_type, text.
+    queries: query_id, query, wanted_type. items: evidence_id, evidence_type, text. Items without a shared token have no score of their own.
     """
-    base = shared_tokens(queries, items).join(items.select("evidence_id", "evidence_type"), "evidence_id").join(queries.select("query_id", "wanted_type"), "query_id")
-    base = base.withColumn("score", F.col("shared") * 2.0 + F.when(F.col("evidence_type") == F.col("wanted_type"), 10.0).otherwise(0.0))
-    best = first_rows(base, ["query_id"], [F.desc("score"), "evidence_id"], seeds).select("query_id", "evidence_id")
-    both = edges.select("source_id", "target_id").unionByName(edges.select(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id"))).distinct()
-    near = best.join(both, F.col("evidence_id") == F.col("source_id")).select("query_id", F.col("target_id").alias("evidence_id")).distinct().withColumn("near", F.lit(1))
-    met = base.select("query_id", "evidence_id", "score").join(near, ["query_id", "evidence_id"], "full")
-    met = met.withColumn("score", F.when(F.col("score").isNull(), 0.5).otherwise(F.col("score") + F.coalesce("near", F.lit(0))))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "evidence_id")
-    return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "evidence_id", "score", "rank")
+    asked = question_terms(queries, 2, R.term(R.marked("type", F.col("wanted_type")), 10, opens=False))
+    indexed = index_of(items, R.marked("type", F.col("evidence_type")))
+    return R.with_neighbours(R.best_items(asked, indexed, max(k, seeds)), asked, indexed, edges, k, seeds)
+
+
+def prioritised(queries: DataFrame, items: DataFrame, priorities: dict[str, tuple[str, ...]], k: int) -> DataFrame:
+    """The k best by the priority that a question's intent gives to an item's type, then by shared tokens, then by id.
+
+    queries: query_id, query, intent. items: evidence_id, evidence_type, text. priorities: of an intent, its types, first ones first. Items
+    that share no token and have no type of the intent are left out.
+    """
+    step = 1e6  # above any number of shared words
+    ranks = [R.term(R.marked("type", F.lit(t)), F.when(F.col("intent") == name, step * (len(types) - i)).otherwise(0.0)) for name, types in priorities.items() for i, t in enumerate(types)]
+    terms = F.filter(F.array(*ranks), lambda t: t["weight"] > 0)
+    asked = R.asked(queries.select("query_id", F.concat(R.words(F.col("query"), 1), terms).alias("terms"), F.array().cast(R.NONE).alias("keys")))
+    out = R.best_items(asked, index_of(items, R.marked("type", F.col("evidence_type"))), k)
+    priority = F.floor(F.col("score") / step).cast("int")
+    return out.select("query_id", "evidence_id", priority.alias("priority"), (F.col("score") - priority * step).cast("long").alias("shared"), "rank")
+
+
+def in_context(queries: DataFrame, items: DataFrame, edges: DataFrame, bonuses: dict[str, dict[str, float]], strategies: tuple[str, ...], k: int, seeds: int = 8) -> DataFrame:
+    """Structured retrieval in full: query_id, evidence_id, score, rank.
+
+    Two points a shared token; the bonus that the intent gives to a type; 20 for an entity of the context that agrees and -5 for one that
+    differs; 18 for the strategy that a question names and -4 for any other; then one for neighbours of the best, 0.5 for those without a
+    score. Items of a score of 0 or less are left out. A question of the intent what_if, or of an entity that no item has, finds nothing.
+
+    queries: query_id, query, intent, context (map of keys and values). items: evidence_id, evidence_type, text, entities (map).
+    """
+    known = items.select(F.explode("entities").alias("key", "value")).select("key", F.lower("value").alias("value")).distinct()
+    wanted = queries.where(F.col("context").isNotNull()).select("query_id", F.explode("context").alias("key", "value")).select("query_id", "key", F.lower("value").alias("value"))
+    unknown = wanted.join(known, ["key", "value"], "left_anti").select("query_id").distinct()
+    rows = queries.where("intent <> 'what_if'").join(unknown, "query_id", "left_anti")
+    named = F.filter(F.array(*[F.lit(s) for s in strategies]), lambda s: F.array_contains(tokens(F.col("query")), F.lower(s)))
+    entity = lambda k, v: R.marked("entity", k, F.lower(v))
+    types = F.filter(F.array(*[R.term(R.marked("type", F.lit(t)), F.when(F.col("intent") == name, float(b)).otherwise(0.0)) for name, own in bonuses.items() for t, b in own.items()]), lambda t: t["weight"] > 0)
+    # An entity that agrees has 25 here, because the key that both name takes 5 away; a strategy has 22, because each one named takes 4.
+    context = F.coalesce("context", F.create_map().cast("map<string,string>"))
+    agree = F.transform(F.map_entries(context), lambda e: R.term(entity(e["key"], e["value"]), 25))
+    same = F.transform(named, lambda s: R.term(R.marked("strategy", s), 22))
+    asked = R.asked(rows.select("query_id", F.concat(R.words(F.col("query"), 2), types, agree, same).alias("terms"), F.map_keys(context).alias("keys")))
+    entities = F.coalesce("entities", F.create_map().cast("map<string,string>"))
+    own = F.concat(F.coalesce(tokens(F.col("text")), F.array().cast(R.NONE)), F.array(R.marked("type", F.col("evidence_type"))), F.transform(F.map_entries(entities), lambda e: entity(e["key"], e["value"])), F.array(R.marked("strategy", F.coalesce(entities["strategy"], F.lit("")))))
+    indexed = R.index(items.select("evidence_id", own.alias("terms"), F.map_keys(entities).alias("keys")))
+    less = rows.select("query_id", (F.size(named) * 4.0).alias("less"))
+    base = R.best_items(asked, indexed, max(k, seeds), penalty=5.0).join(less, "query_id").withColumn("score", F.col("score") - F.col("less")).where("score > 0").drop("less")
+    near = R.with_neighbours(base, asked, indexed, edges.join(items.select(F.col("evidence_id").alias("target_id")), "target_id", "left_semi").join(items.select(F.col("evidence_id").alias("source_id")), "source_id", "left_semi"), k, seeds, penalty=5.0, less=less)
+    return near.select("query_id", "evidence_id", "score", "rank")
 
 
 def ranking_metrics(ranking: DataFrame, gold: DataFrame, ks: tuple[int, ...] = (1, 3, 5)) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from tidegrain.functions import text as X
 from tidegrain.operators import evidence as V
+from tidegrain.operators import retrieval as R
 from tidegrain.operators import review as W
 from tidegrain.operators.checks import failed, union_all
 from tidegrain.sources import files
@@ -216,11 +217,52 @@ def comparative_evidence(spark, sf):
 
 @query("comparative_topk", "shared", "SELECT query_id, evidence_id, rank FROM (SELECT query_id, evidence_id, row_number() OVER (PARTITION BY query_id ORDER BY (lang = 'de')::INT DESC, shared DESC, evidence_id) AS rank FROM shared JOIN documents ON doc_id = evidence_id) WHERE rank <= 5")
 def comparative_topk(spark, sf):
-    from pyspark.sql import Window
+    asked = V.question_terms(questions(spark, sf), 1, R.term(R.marked("type", F.lit("de")), 1e6, opens=False))
+    return R.best_items(asked, V.index_of(items(spark, sf), R.marked("type", F.col("evidence_type"))), 5).select("query_id", "evidence_id", "rank")
 
-    s = V.shared_tokens(questions(spark, sf), items(spark, sf)).join(items(spark, sf).select("evidence_id", "evidence_type"), "evidence_id")
-    w = Window.partitionBy("query_id").orderBy(F.desc(F.col("evidence_type") == "de"), F.desc("shared"), "evidence_id")
-    return s.withColumn("rank", F.row_number().over(w)).where("rank <= 5").select("query_id", "evidence_id", "rank")
+
+# Intents of comparisons by how a passage begins, and the types that each puts first.
+PRIORITIES = {"changed_orders": ("de", "fr"), "changed_risk": ("es",), "changed_assumptions": ("en", "es", "de"), "summary": ()}
+INTENT_OF = list(PRIORITIES)
+
+
+@query(
+    "comparative_priority",
+    "shared",
+    f""", asked AS (SELECT item_id AS query_id, item_id % 4 AS i FROM benchmark),
+p(i, evidence_type, priority) AS (VALUES {", ".join(f"({i}, '{t}', {len(ts) - n})" for i, ts in enumerate(PRIORITIES.values()) for n, t in enumerate(ts))}),
+met AS (SELECT a.query_id, d.doc_id AS evidence_id, coalesce(p.priority, 0) AS priority, coalesce(s.shared, 0) AS shared FROM asked a CROSS JOIN documents d LEFT JOIN p ON p.i = a.i AND p.evidence_type = d.lang LEFT JOIN shared s ON s.query_id = a.query_id AND s.evidence_id = d.doc_id)
+SELECT query_id, evidence_id, priority, shared, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY priority DESC, shared DESC, evidence_id) AS rank FROM met WHERE priority > 0 OR shared > 0) WHERE rank <= 7""",
+)
+def comparative_priority(spark, sf):
+    """Types in the order that a question's intent gives them, then shared tokens, then ids."""
+    q = questions(spark, sf).withColumn("intent", F.element_at(F.array(*map(F.lit, INTENT_OF)), (F.col("query_id") % 4 + 1).cast("int")))
+    return V.prioritised(q, items(spark, sf), PRIORITIES, 7)
+
+
+BONUSES = {"changed_orders": {"de": 10.0, "fr": 4.0}, "changed_risk": {"es": 8.0}}
+
+
+@query(
+    "context_topk",
+    "shared links",
+    f""", asked AS (SELECT item_id AS query_id, item_id % 4 AS i, CASE WHEN item_id % 3 = 0 THEN 'src' || item_id % 5 END AS source FROM benchmark),
+b(i, evidence_type, bonus) AS (VALUES {", ".join(f"({INTENT_OF.index(n)}, '{t}', {v}::DOUBLE)" for n, ts in BONUSES.items() for t, v in ts.items())}),
+known AS (SELECT DISTINCT source FROM documents),
+base AS (SELECT * FROM (SELECT a.query_id, d.doc_id AS evidence_id, coalesce(b.bonus, 0) + 2.0 * coalesce(s.shared, 0) + CASE WHEN a.source IS NULL OR d.source IS NULL THEN 0 WHEN a.source = d.source THEN 20 ELSE -5 END AS score FROM asked a CROSS JOIN documents d LEFT JOIN b ON b.i = a.i AND b.evidence_type = d.lang LEFT JOIN shared s ON s.query_id = a.query_id AND s.evidence_id = d.doc_id
+  WHERE a.i <> 3 AND (a.source IS NULL OR a.source IN (SELECT source FROM known))) WHERE score > 0),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, evidence_id) AS k FROM base) WHERE k <= 8),
+near AS (SELECT DISTINCT query_id, t AS evidence_id FROM best JOIN (SELECT source_id AS s, target_id AS t FROM links UNION SELECT target_id, source_id FROM links) ON s = evidence_id WHERE t IN (SELECT doc_id FROM documents)),
+met AS (SELECT coalesce(b.query_id, n.query_id) AS query_id, coalesce(b.evidence_id, n.evidence_id) AS evidence_id, CASE WHEN b.score IS NULL THEN 0.5 ELSE b.score + (n.query_id IS NOT NULL)::INT END AS score FROM base b FULL JOIN near n ON b.query_id = n.query_id AND b.evidence_id = n.evidence_id)
+SELECT query_id, evidence_id, score::DOUBLE AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, evidence_id) AS rank FROM met) WHERE rank <= 10""",
+)
+def context_topk(spark, sf):
+    """Structured retrieval with entities of a context: passages of the fourth intent are what-if questions and find nothing."""
+    intent = F.when(F.col("query_id") % 4 == 3, "what_if").otherwise(F.element_at(F.array(*map(F.lit, INTENT_OF)), (F.col("query_id") % 4 + 1).cast("int")))
+    source = F.when(F.col("query_id") % 3 == 0, F.create_map(F.lit("source"), F.concat(F.lit("src"), (F.col("query_id") % 5).cast("string"))))
+    q = questions(spark, sf).withColumn("intent", intent).withColumn("context", source)
+    d = items(spark, sf).withColumn("entities", F.when(F.col("source").isNotNull(), F.create_map(F.lit("source"), F.col("source"))))
+    return V.in_context(q, d, links(spark, sf), BONUSES, ("LEAN", "BALANCED", "PROTECTED"), 10)
 
 
 # --- files -------------------------------------------------------------------------------------------------------------------
