@@ -5,6 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegrain.sources.keep import keep
+
+from .checks import union_all
+from .ordered import at_share, value_ranks
+from .panel import SERIES
+
 
 def pinball(y: Column, p: Column, q: float) -> Column:
     return F.avg(F.greatest((y - p) * q, (y - p) * (q - 1)))
@@ -75,6 +81,64 @@ def walk_forward_rows(rows: DataFrame, folds: DataFrame) -> DataFrame:
     return rows.join(bound, (F.col("target_date") >= bound["validation_start"]) & (F.col("target_date") <= bound["validation_end"]) & (F.col("cutoff_date") >= bound["train_end"]))
 
 
+LEVELS = (("series", (*SERIES, "horizon")), ("horizon", ("horizon",)), ("all", ()))
+SHARES = (0.25, 0.5, 0.75)
+
+
+def fold_quantiles(rows: DataFrame, folds: DataFrame, least: int = 20) -> DataFrame:
+    """level, fold_id, store_key, product_key, horizon (empty or -1 where the level has none), n, q25, q50, q75: quantiles of the residuals
+    (target less anchor) that each fold may learn from, of all folds in one pass.
+
+    Rows are counted once by group, residual and the first fold whose training ends no earlier than their target date. Counts add up, so a
+    fold's histogram is that of the folds up to it, and rows are never read again for a later fold. Groups of fewer than ``least`` rows are
+    left out.
+    """
+    ends = folds.select("fold_id", "train_end")
+    numbered = F.broadcast(ends.agg(F.array_sort(F.collect_list(F.struct("train_end", "fold_id"))).alias("ends_")))  # a row of a few folds
+    open_ = F.filter("ends_", lambda e: e["train_end"] >= F.col("target_date"))
+    known = rows.where("target is not null and anchor is not null").join(numbered, F.lit(True)).withColumn("first_", F.array_min(F.transform(open_, lambda e: e["train_end"]))).where("first_ is not null")
+    counts = keep(known.groupBy(*SERIES, "horizon", "first_", (F.col("target") - F.col("anchor")).alias("residual")).agg(F.count("*").alias("n_")))
+    every = []
+    for name, keys in LEVELS:
+        group = [F.col(c) if c in keys else F.lit("" if c in SERIES else -1).alias(c) for c in (*SERIES, "horizon")]
+        every.append(counts.select(F.lit(name).alias("level"), *group, "first_", "residual", "n_").groupBy("level", *SERIES, "horizon", "first_", "residual").agg(F.sum("n_").alias("n_")))
+    cumulated = union_all(every).join(F.broadcast(ends), F.col("train_end") >= F.col("first_"))
+    keys = ["level", "fold_id", *SERIES, "horizon"]
+    ranks = value_ranks(cumulated, keys, "residual", "n_")
+    return ranks.groupBy(*keys, F.col("total").alias("n")).agg(*[at_share(s, "residual").alias(f"q{int(s * 100)}") for s in SHARES]).where(F.col("n") >= least)
+
+
+def fold_forecasts(rows: DataFrame, folds: DataFrame, least: int = 20) -> DataFrame:
+    """Rows of each fold's validation (see ``walk_forward_rows``) with p25, p50, p75 as fitted on that fold's training: the anchor plus the
+    quantiles of the series and horizon, else of the horizon, else of all; level says which (none: the anchor alone)."""
+    fitted = keep(fold_quantiles(rows, folds, least))
+    out = walk_forward_rows(rows, folds)
+    for i, (name, keys) in enumerate(LEVELS):
+        own = fitted.where(F.col("level") == name).select("fold_id", *keys, F.array(*[f"q{int(s * 100)}" for s in SHARES]).alias(f"f{i}"))
+        out = out.join(own, ["fold_id", *keys], "left")
+    best = F.coalesce(*[f"f{i}" for i in range(len(LEVELS))])
+    level = F.lit("none")
+    for i, (name, _) in reversed(list(enumerate(LEVELS))):
+        level = F.when(F.col(f"f{i}").isNotNull(), name).otherwise(level)
+    fresh = {n: F.greatest(F.lit(0.0), F.col("anchor") + F.coalesce(best[i], F.lit(0.0))) for i, n in enumerate(("p25", "p50", "p75"))}
+    return out.withColumns({"level": level, **fresh}).drop(*[f"f{i}" for i in range(len(LEVELS))])
+
+
+def fold_audit(rows: DataFrame, folds: DataFrame, reasons: dict[str, Column]) -> DataFrame:
+    """Per fold: rows of its validation days, those that may be judged, and how many the origin or each reason keeps out (a row may have several).
+
+    rows: with target_date and cutoff_date. reasons: what keeps a row out, by name.
+    """
+    bound = F.broadcast(folds)  # a few folds
+    met = rows.join(bound, (F.col("target_date") >= bound["validation_start"]) & (F.col("target_date") <= bound["validation_end"]))
+    broken = {"origin_too_early": F.col("cutoff_date") < F.col("train_end"), **reasons}
+    out = {name: F.coalesce(c, F.lit(True)) for name, c in broken.items()}
+    bad = F.lit(False)
+    for c in out.values():
+        bad = bad | c
+    return met.groupBy("fold_id").agg(F.count("*").alias("n_candidates"), F.count_if(~bad).alias("n_eligible"), *[F.count_if(c).alias(f"n_{name}") for name, c in out.items()])
+
+
 def block_plan(dates: DataFrame, block: int, replications: int, seed: int) -> DataFrame:
     """replication, target_date (repeated): circular blocks of ``block`` dates, as many dates as there are."""
     numbered = dates.select("target_date").distinct().withColumn("i", F.row_number().over(Window.orderBy("target_date")) - 1)

@@ -13,12 +13,13 @@ from pyspark.sql import functions as F
 from tidegrain.sources.keep import keep
 
 
-def value_ranks(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+def value_ranks(df: DataFrame, keys: list[str], value: str, count: str | None = None) -> DataFrame:
     """keys, value, n (rows of the value), below (rows of the key with a lesser value), place (lesser distinct values), total (rows of the key).
 
-    Rows of a null value are left out; keys must not be null. An empty table gives an empty table.
+    Rows of a null value are left out; keys must not be null. ``count`` names how many rows a row stands for. An empty table gives an
+    empty table.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg((F.sum(count) if count else F.count("*")).alias("n"))
     fixed = keep(counts.repartitionByRange(*keys, value)).withColumn("range_", F.spark_partition_id())
     ranges = fixed.groupBy(*keys, "range_").agg(F.sum("n").alias("n_"), F.count("*").alias("v_"))
     key = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))

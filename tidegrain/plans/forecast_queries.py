@@ -353,6 +353,63 @@ def walk_forward_metrics(spark, sf):
     return g.agg(F.count("*").alias("n"), F.round(E.wape(F.col("target"), F.col("p50")), 6).alias("wape"))
 
 
+part("fit_rows", "SELECT f.fold_id, p.store_key, p.product_key, p.horizon, p.target - p.p50 AS residual FROM @pred p JOIN @folds_ f ON p.target_date <= f.train_end")
+part(
+    "fold_fit",
+    " UNION ALL ".join(f"SELECT '{name}' AS level, fold_id, {', '.join(c if c in keys else e + ' AS ' + c for c, e in (('store_key', chr(39) * 2), ('product_key', chr(39) * 2), ('horizon', '-1')))}, count(*) AS n, quantile_cont(residual, [0.25, 0.5, 0.75]) AS q FROM @fit_rows GROUP BY {', '.join(['fold_id', *keys])} HAVING count(*) >= 20" for name, keys in E.LEVELS),
+)
+part(
+    "fold_pred",
+    """SELECT r.*, greatest(0, r.anchor + coalesce(q[1], 0)) AS p25, greatest(0, r.anchor + coalesce(q[2], 0)) AS p50, greatest(0, r.anchor + coalesce(q[3], 0)) AS p75 FROM (SELECT v.*, CASE WHEN a.q IS NOT NULL THEN 'series' WHEN b.q IS NOT NULL THEN 'horizon' WHEN c.q IS NOT NULL THEN 'all' ELSE 'none' END AS level, coalesce(a.q, b.q, c.q) AS q
+  FROM (SELECT f.fold_id, p.store_key, p.product_key, p.horizon, p.target_date, p.target, p.p50 AS anchor, p.ma7, p.ma28 FROM @pred p JOIN @folds_ f ON p.target_date BETWEEN validation_start AND validation_end AND cutoff_date >= train_end) v
+  LEFT JOIN @fold_fit a ON a.level = 'series' AND a.fold_id = v.fold_id AND a.store_key = v.store_key AND a.product_key = v.product_key AND a.horizon = v.horizon
+  LEFT JOIN @fold_fit b ON b.level = 'horizon' AND b.fold_id = v.fold_id AND b.horizon = v.horizon LEFT JOIN @fold_fit c ON c.level = 'all' AND c.fold_id = v.fold_id) r""",
+)
+
+
+def fold_inputs(spark, sf):
+    rows = keep(predictions(spark, sf).withColumn("anchor", F.col("p50")).drop("p25", "p50", "p75"))
+    return rows, keep(E.walk_forward_folds(rows))
+
+
+@query("fold_quantiles", "fold_fit", "SELECT level, fold_id, store_key, product_key, horizon, n, round(q[1], 6) AS q25, round(q[2], 6) AS q50, round(q[3], 6) AS q75 FROM fold_fit")
+def fold_quantiles(spark, sf):
+    """What each fold learns from the rows up to its training end, of all folds in one pass."""
+    return E.fold_quantiles(*fold_inputs(spark, sf)).select("level", "fold_id", "store_key", "product_key", "horizon", "n", *[F.round(c, 6).alias(c) for c in ("q25", "q50", "q75")])
+
+
+FOLD_MODELS = ("p50", "anchor", "ma7", "ma28")
+
+
+@query(
+    "fold_metrics",
+    "fold_pred",
+    f"""SELECT fold_id, horizon, count(*) AS n, {", ".join(f"round(sum(abs(target - {m})) / nullif(sum(abs(target)), 0), 6) AS wape_{m}" for m in FOLD_MODELS)}, {", ".join(f"round(avg(greatest((target - p{k}) * {k / 100}::DOUBLE, (target - p{k}) * {k / 100 - 1}::DOUBLE)), 6) AS pinball_{k}" for k in (25, 50, 75))},
+  round(avg((target BETWEEN p25 AND p75)::INT), 6) AS coverage, count(*) FILTER (level = 'series') AS n_series, count(*) FILTER (level = 'horizon') AS n_horizon FROM fold_pred GROUP BY GROUPING SETS ((), (fold_id), (fold_id, horizon))""",
+)
+def fold_metrics(spark, sf):
+    """Errors of the quantiles fitted on each fold and of its baselines, of all folds, by fold, and by fold and horizon."""
+    out = E.fold_forecasts(*fold_inputs(spark, sf))
+    g = out.groupingSets([[], [F.col("fold_id")], [F.col("fold_id"), F.col("horizon")]], F.col("fold_id"), F.col("horizon"))
+    y = F.col("target")
+    return g.agg(
+        F.count("*").alias("n"), *[F.round(E.wape(y, F.col(m)), 6).alias(f"wape_{m}") for m in FOLD_MODELS], *[F.round(E.pinball(y, F.col(f"p{k}"), k / 100), 6).alias(f"pinball_{k}") for k in (25, 50, 75)],
+        F.round(F.avg(((y >= F.col("p25")) & (y <= F.col("p75"))).cast("double")), 6).alias("coverage"), F.count_if(F.col("level") == "series").alias("n_series"), F.count_if(F.col("level") == "horizon").alias("n_horizon"),
+    )
+
+
+@query(
+    "fold_audit",
+    "folds_ rows_ train",
+    """SELECT fold_id, count(*) AS n_candidates, count(*) FILTER (NOT (a OR b OR c OR d)) AS n_eligible, count(*) FILTER (a) AS n_origin_too_early, count(*) FILTER (b) AS n_not_accepted, count(*) FILTER (c) AS n_no_target, count(*) FILTER (d) AS n_short_history
+  FROM (SELECT f.fold_id, t.cutoff_date < f.train_end AS a, NOT t.target_train_eligible AS b, t.target IS NULL AS c, coalesce(t.history_observation_count < 28, true) AS d FROM train t JOIN folds_ f ON t.target_date BETWEEN validation_start AND validation_end) GROUP BY 1""",
+)
+def fold_audit(spark, sf):
+    every = keep(lagged_rows(spark, sf))
+    reasons = {"not_accepted": ~F.col("target_train_eligible"), "no_target": F.col("target").isNull(), "short_history": F.col("history_observation_count") < 28}
+    return E.fold_audit(every, E.walk_forward_folds(keep(predictions(spark, sf).select("target_date").distinct())), reasons)
+
+
 @query("fold_union", "folds_ pred", "SELECT fold_id, min(target_date) AS first_date, count(*) AS n FROM pred JOIN folds_ ON target_date BETWEEN validation_start AND validation_end AND cutoff_date >= train_end GROUP BY 1")
 def fold_union(spark, sf):
     p = keep(predictions(spark, sf))
