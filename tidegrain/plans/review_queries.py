@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidegrain.operators import coherence as C
 from tidegrain.operators import review as W
+from tidegrain.operators.checks import union_all
+from tidegrain.sources.keep import keep
 
 from .inputs import sales
 from .registry import part, query
-from .stock_queries import KEY, flow
+from .stock_queries import KEY, flow, needs
 
 EDITS = [{"store_key": "S1", "product_key": "PROMO", "multiplier": 1.2}, {"store_key": "S2", "multiplier": 0.5}]
 
@@ -76,3 +79,70 @@ def plan_review(spark, sf):
 @query("world_key_gaps", "key_years", "SELECT store_key, ingredient_id, count(*) AS n_worlds FROM key_years GROUP BY 1, 2 HAVING count(*) < (SELECT count(DISTINCT y) FROM key_years)")
 def world_key_gaps(spark, sf):
     return W.world_key_gaps(key_years(spark, sf)[0], "scenario_id", KEY)
+
+
+# Artifacts with planted faults: demand of two scenarios, and lines that ought to follow from it.
+part("artifact_demand", "SELECT s AS scenario_id, store_key, ingredient_id, date, quantity * (1 + s * 0.25::DOUBLE) AS quantity FROM (SELECT store_key, ingredient_id, date, sum(quantity) AS quantity FROM @needs GROUP BY 1, 2, 3) CROSS JOIN (SELECT unnest([0, 1]) AS s)")
+part("artifact_window", "SELECT min(date) - 1 AS forecast_date, min(date) AS first_day, max(date) AS last_day, 'v1' AS version FROM @needs")
+part(
+    "artifact_lines",
+    """SELECT scenario_id, store_key, ingredient_id, CASE WHEN store_key = 'S4' AND d % 120 = 0 THEN date + 4000 ELSE date END AS date, quantity * CASE WHEN store_key = 'S2' AND d % 50 = 0 THEN 1.01 ELSE 1 END AS quantity, CASE WHEN scenario_id = 1 AND ingredient_id = 'Brand#2' THEN NULL ELSE 0.5 END AS weight,
+  (date - forecast_date) + CASE WHEN store_key = 'S3' AND d % 80 = 0 THEN 1 WHEN store_key = 'S4' AND d % 120 = 0 THEN 4000 ELSE 0 END AS horizon, CASE WHEN ingredient_id = 'Brand#7' AND d % 90 = 0 THEN 'v0' ELSE 'v1' END AS version
+  FROM (SELECT *, dayofyear(date) AS d FROM @artifact_demand) CROSS JOIN @artifact_window CROSS JOIN (SELECT unnest([0, 1]) AS again) WHERE (again = 0 OR (store_key = 'S0' AND d % 100 = 0)) AND NOT (scenario_id = 1 AND store_key = 'S1' AND d % 61 = 0)""",
+)
+LINE_KEY = ["scenario_id", *KEY, "date"]
+LINE_JSON = "json_object('scenario_id', {0}scenario_id, 'store_key', {0}store_key, 'ingredient_id', {0}ingredient_id, 'date', {0}date::VARCHAR)::VARCHAR"
+RELATIONS = [
+    C.Pair("demand", "lines", LINE_KEY, [C.only_left("LINE_MISSING"), C.only_right("LINE_UNKNOWN"), C.differs("QUANTITY_LINEAGE_MISMATCH", "quantity", tolerance=1e-9)]),
+    C.Pair("lines", "window", [], [C.outside("DATE_OUTSIDE_WINDOW", "date", "first_day", "last_day"), C.holds("HORIZON_MISMATCH", lambda a, b: a("horizon") == F.datediff(a("date"), b("forecast_date"))), C.differs("MODEL_VERSION_MISMATCH", "version", severity="WARNING", blocking=False)]),
+    C.Pair("weights", "worlds", ["scenario_id"], [C.only_left("SCENARIO_UNKNOWN"), C.only_right("SCENARIO_WITHOUT_LINES"), C.differs("WEIGHT_MISMATCH", "weight", tolerance=1e-9)]),
+]
+
+
+def artifacts(spark, sf):
+    base = keep(needs(spark, sf).groupBy(*KEY, "date").agg(F.sum("quantity").alias("quantity")))
+    demand = base.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("scenario_id"), *KEY, "date", "quantity").withColumn("quantity", F.col("quantity") * (1 + F.col("scenario_id") * 0.25))
+    window = base.agg(F.date_sub(F.min("date"), 1).alias("forecast_date"), F.min("date").alias("first_day"), F.max("date").alias("last_day")).withColumn("version", F.lit("v1"))
+    d, at = F.dayofyear("date"), lambda s, n: (F.col("store_key") == s) & (F.dayofyear("date") % n == 0)
+    away = F.when(at("S4", 120), 4000).otherwise(0)
+    x = demand.join(F.broadcast(window.select("forecast_date")), F.lit(True)).where(~((F.col("scenario_id") == 1) & at("S1", 61)))  # one row
+    x = x.withColumn("again", F.explode(F.when(at("S0", 100), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    lines = x.select(
+        "scenario_id", *KEY, F.date_add("date", away).alias("date"), (F.col("quantity") * F.when(at("S2", 50), 1.01).otherwise(1.0)).alias("quantity"), F.when(~((F.col("scenario_id") == 1) & (F.col("ingredient_id") == "Brand#2")), 0.5).alias("weight"),
+        (F.datediff("date", "forecast_date") + F.when(at("S3", 80), 1).otherwise(away)).alias("horizon"), F.when((F.col("ingredient_id") == "Brand#7") & (d % 90 == 0), "v0").otherwise("v1").alias("version"),
+    )
+    worlds = spark.range(3).select(F.col("id").cast("int").alias("scenario_id"), (F.lit(0.6) - F.col("id") * 0.2).alias("weight"))
+    lines = keep(lines)
+    weights = lines.groupBy("scenario_id").agg(F.max("weight").alias("weight"))
+    return {"demand": demand, "lines": lines, "window": keep(window), "worlds": worlds, "weights": weights}
+
+
+@query(
+    "artifact_coherence",
+    "artifact_demand artifact_lines artifact_window",
+    f""", j AS (SELECT d.scenario_id IS NOT NULL AS a, l.scenario_id IS NOT NULL AS b, d.quantity AS x, l.quantity AS y, {LINE_JSON.format("d.")} AS dk, {LINE_JSON.format("l.")} AS lk FROM artifact_demand d FULL JOIN artifact_lines l ON d.scenario_id = l.scenario_id AND d.store_key = l.store_key AND d.ingredient_id = l.ingredient_id AND d.date = l.date),
+w AS (SELECT l.*, f.forecast_date, f.first_day, f.last_day FROM artifact_lines l CROSS JOIN artifact_window f),
+worlds(scenario_id, weight) AS (VALUES (0, 0.6::DOUBLE), (1, 0.4::DOUBLE), (2, 0.2::DOUBLE)), weights AS (SELECT scenario_id, max(weight) AS weight FROM artifact_lines GROUP BY 1)
+SELECT code, n, severity, blocking FROM (
+  SELECT 'LINE_MISSING' AS code, count(*) AS n, 'ERROR' AS severity, true AS blocking FROM j WHERE a AND NOT b
+  UNION ALL SELECT 'LINE_UNKNOWN', count(*), 'ERROR', true FROM j WHERE b AND NOT a
+  UNION ALL SELECT 'QUANTITY_LINEAGE_MISMATCH', count(*), 'ERROR', true FROM j WHERE a AND b AND abs(x - y) > 1e-9 * greatest(1, abs(x), abs(y))
+  UNION ALL SELECT 'DATE_OUTSIDE_WINDOW', count(*), 'ERROR', true FROM w WHERE NOT date BETWEEN first_day AND last_day
+  UNION ALL SELECT 'HORIZON_MISMATCH', count(*), 'ERROR', true FROM w WHERE horizon <> date - forecast_date
+  UNION ALL SELECT 'MODEL_VERSION_MISMATCH', count(*), 'WARNING', false FROM w WHERE version <> 'v1'
+  UNION ALL SELECT 'SCENARIO_WITHOUT_LINES', count(*), 'ERROR', true FROM worlds WHERE scenario_id NOT IN (SELECT scenario_id FROM weights)
+  UNION ALL SELECT 'WEIGHT_MISMATCH', count(*), 'ERROR', true FROM worlds v JOIN weights u ON u.scenario_id = v.scenario_id WHERE abs(u.weight - v.weight) > 1e-9
+  UNION ALL SELECT 'DUPLICATE_LINE', count(*), 'ERROR', true FROM (SELECT 1 FROM artifact_lines GROUP BY scenario_id, store_key, ingredient_id, date HAVING count(*) > 1)
+  UNION ALL SELECT 'WEIGHTS_NOT_ONE', count(*), 'ERROR', true FROM (SELECT 1 FROM worlds HAVING abs(sum(weight) - 1) > 1e-6)) WHERE n > 0""",
+)
+def artifact_coherence(spark, sf):
+    """Issues by code of artifacts with planted faults."""
+    made = artifacts(spark, sf)
+    issues = union_all([C.check_pairs(made, RELATIONS), C.repeated(made["lines"], "lines", LINE_KEY, "DUPLICATE_LINE"), C.wrong_total(made["worlds"], "worlds", [], "weight", 1.0, "WEIGHTS_NOT_ONE")])
+    return C.report(issues).select("code", "n", "severity", "blocking")
+
+
+@query("lineage_gaps", "artifact_demand artifact_lines", f"SELECT {LINE_JSON.format('d.')} AS key FROM artifact_demand d WHERE NOT EXISTS (SELECT 1 FROM artifact_lines l WHERE d.scenario_id = l.scenario_id AND d.store_key = l.store_key AND d.ingredient_id = l.ingredient_id AND d.date = l.date)")
+def lineage_gaps(spark, sf):
+    """Keys of the demand that no line follows from."""
+    return C.check_pairs(artifacts(spark, sf), RELATIONS[:1]).where("code = 'LINE_MISSING'").select("key")

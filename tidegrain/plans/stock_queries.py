@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidegrain.operators import bom as B
+from tidegrain.operators import draws as DR
 from tidegrain.operators import evaluate as E
 from tidegrain.operators import inventory as I
 from tidegrain.operators import lots as L
@@ -211,6 +212,37 @@ def supply_realisation(spark, sf):
     return lines.select("scenario_id", "l_orderkey", "l_linenumber", F.date_add(F.to_date("o_orderdate"), F.round(F.element_at("pool", (u * 11).cast("int") + 1)).cast("int")).alias("arrival_date"))
 
 
+part("lead_lines", "SELECT l_orderkey, l_linenumber, l_suppkey AS supplier_id, p_brand AS ingredient_id, o_orderdate::DATE AS order_date, (((l_shipdate::DATE - o_orderdate::DATE) % 21 + 21) % 21)::INT AS days, CASE WHEN l_orderkey % 7 <> 0 THEN (l_linenumber * 2 - 3)::INT END AS shelf_life_days FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey")
+part("lead_seen", "SELECT supplier_id, ingredient_id, days FROM @lead_lines WHERE order_date + days <= DATE '1996-06-30'")
+part(
+    "supply_drawn",
+    """SELECT t.*, order_date + lead AS arrival_date, order_date + lead + shelf_life_days AS expiry_date FROM (SELECT l.*, k AS scenario_id, CASE WHEN a.v IS NOT NULL THEN 'supplier_ingredient' WHEN b.v IS NOT NULL THEN 'supplier' WHEN c.v IS NOT NULL THEN 'ingredient' ELSE 'global' END AS source, len(coalesce(a.v, b.v, c.v, g.v)) AS n_observed,
+    coalesce(a.v, b.v, c.v, g.v)[least(floor(((l_orderkey * 31 + l_linenumber * 17 + k * 101) % 1009 + 0.5::DOUBLE) / 1009 * len(coalesce(a.v, b.v, c.v, g.v)))::BIGINT, len(coalesce(a.v, b.v, c.v, g.v)) - 1) + 1] AS lead
+  FROM @lead_lines l CROSS JOIN range(5) r(k) LEFT JOIN (SELECT supplier_id, ingredient_id, list(days ORDER BY days) AS v FROM @lead_seen GROUP BY 1, 2 HAVING count(*) >= 8) a ON a.supplier_id = l.supplier_id AND a.ingredient_id = l.ingredient_id
+  LEFT JOIN (SELECT supplier_id, list(days ORDER BY days) AS v FROM @lead_seen GROUP BY 1 HAVING count(*) >= 8) b ON b.supplier_id = l.supplier_id LEFT JOIN (SELECT ingredient_id, list(days ORDER BY days) AS v FROM @lead_seen GROUP BY 1 HAVING count(*) >= 8) c ON c.ingredient_id = l.ingredient_id
+  CROSS JOIN (SELECT list(days ORDER BY days) AS v FROM @lead_seen) g) t""",
+)
+
+
+@query(
+    "supply_draws",
+    "supply_drawn",
+    """SELECT scenario_id, supplier_id, source, date_trunc('month', arrival_date)::DATE AS month, count(*) AS n, min(arrival_date) AS first_arrival, sum(n_observed)::BIGINT AS observed, sum(lead)::BIGINT AS lead, count(*) FILTER (expiry_date < arrival_date) AS n_arrived_expired, min(expiry_date) AS first_expiry FROM supply_drawn GROUP BY ALL""",
+)
+def supply_draws(spark, sf):
+    """Arrivals and expiries of every order line in five scenarios; draws by numbers of the keys, so that SQL can take the same."""
+    p = purchases(spark, sf).withColumnsRenamed({"l_suppkey": "supplier_id", "p_brand": "ingredient_id"}).withColumn("order_date", F.to_date("o_orderdate"))
+    orders = p.select("supplier_id", "ingredient_id", "order_date", F.date_add("order_date", F.col("lead").cast("int")).alias("arrival_date"))
+    seen, _ = DR.observed_lead_times(orders, DAY("1996-06-30"))
+    shelf = F.when(F.col("l_orderkey") % 7 != 0, F.col("l_linenumber") * 2 - 3)
+    lines = p.select("l_orderkey", "l_linenumber", "supplier_id", "ingredient_id", "order_date", shelf.alias("shelf_life_days"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))).alias("scenario_id"))
+    u = ((F.col("l_orderkey") * 31 + F.col("l_linenumber") * 17 + F.col("scenario_id") * 101) % 1009 + 0.5) / 1009
+    drawn, _ = DR.realise_supply(lines, seen, u, 8)
+    return drawn.groupBy("scenario_id", "supplier_id", "source", F.trunc("arrival_date", "month").alias("month")).agg(
+        F.count("*").alias("n"), F.min("arrival_date").alias("first_arrival"), F.sum("n_observed").alias("observed"), F.sum("lead").cast("long").alias("lead"), F.count_if(F.col("arrival_condition") != "normal").alias("n_arrived_expired"), F.min("expiry_date").alias("first_expiry")
+    )
+
+
 @query("sample_worlds")
 def sample_worlds(spark, sf):
     w = table(spark, sf, "orders").select(F.col("o_orderkey").alias("scenario_id"), F.col("o_totalprice").alias("weight"))
