@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidegrain.operators import coherence as C
+from tidegrain.operators import critic as CR
+from tidegrain.operators import inventory as I
 from tidegrain.operators import review as W
 from tidegrain.operators.checks import union_all
 from tidegrain.sources.keep import keep
 
 from .inputs import sales
 from .registry import part, query
-from .stock_queries import KEY, flow, needs
+from .stock_queries import KEY, ONE, STRESSES, WORLDS, flow, needs, simulated, simulated_sql, summaries
 
 EDITS = [{"store_key": "S1", "product_key": "PROMO", "multiplier": 1.2}, {"store_key": "S2", "multiplier": 0.5}]
 
@@ -146,3 +148,43 @@ def artifact_coherence(spark, sf):
 def lineage_gaps(spark, sf):
     """Keys of the demand that no line follows from."""
     return C.check_pairs(artifacts(spark, sf), RELATIONS[:1]).where("code = 'LINE_MISSING'").select("key")
+
+
+# A claimed ledger that parts from the run: amounts, a missing day, a day too much.
+CLAIMS = ("fulfilled", "expired", "ending")
+
+
+@query(
+    "ledger_divergence",
+    "lots pairs",
+    simulated_sql(
+        ONE,
+        """, claimed AS (SELECT store_key, ingredient_id, CASE WHEN store_key = 'S4' AND day(date) = 31 AND year(date) > 1999 THEN date + 10000 ELSE date END AS date, fulfilled * CASE WHEN store_key = 'S1' AND date >= DATE '1997-03-01' THEN 1.5 ELSE 1 END AS fulfilled, expired + CASE WHEN store_key = 'S2' AND month(date) = 7 THEN 1 ELSE 0 END AS expired, ending FROM lines
+  WHERE NOT (store_key = 'S3' AND ingredient_id = 'Brand#3' AND dayofyear(date) = 200)),
+j AS (SELECT coalesce(c.store_key, l.store_key) AS store_key, coalesce(c.ingredient_id, l.ingredient_id) AS ingredient_id, coalesce(c.date, l.date) AS date, concat_ws(',', CASE WHEN c.store_key IS NULL THEN 'NOT_CLAIMED' END, CASE WHEN l.store_key IS NULL THEN 'NOT_FOUND' END,
+  CASE WHEN abs(c.fulfilled - l.fulfilled) > 1e-6 * greatest(1, abs(c.fulfilled), abs(l.fulfilled)) THEN 'fulfilled' END, CASE WHEN abs(c.expired - l.expired) > 1e-6 * greatest(1, abs(c.expired), abs(l.expired)) THEN 'expired' END) AS differs FROM claimed c FULL JOIN lines l ON c.store_key = l.store_key AND c.ingredient_id = l.ingredient_id AND c.date = l.date)
+SELECT store_key, ingredient_id, min(date) AS date, min_by(differs, date) AS differs, count(*) AS n FROM j WHERE differs <> '' GROUP BY 1, 2""",
+    ),
+)
+def ledger_divergence(spark, sf):
+    """Where a claimed ledger first parts from the run, by key."""
+    exact = keep(simulated(spark, sf, ONE).select(*KEY, "date", *CLAIMS))
+    day = F.col("date")
+    claimed = exact.where(~((F.col("store_key") == "S3") & (F.col("ingredient_id") == "Brand#3") & (F.dayofyear(day) == 200)))
+    claimed = claimed.withColumn("fulfilled", F.col("fulfilled") * F.when((F.col("store_key") == "S1") & (day >= F.lit("1997-03-01").cast("date")), 1.5).otherwise(1.0)).withColumn("expired", F.col("expired") + F.when((F.col("store_key") == "S2") & (F.month(day) == 7), 1.0).otherwise(0.0))
+    claimed = claimed.withColumn("date", F.when((F.col("store_key") == "S4") & (F.dayofmonth(day) == 31) & (F.year(day) > 1999), F.date_add(day, 10000)).otherwise(day))
+    return CR.first_divergence(claimed, exact, KEY, ["date"], list(CLAIMS)).select(*KEY, "date", F.array_join("differs", ",").alias("differs"), "n")
+
+
+@query("model_gaps", "lots pairs", simulated_sql(WORLDS, "SELECT store_key, ingredient_id, round(max(CASE WHEN run = '2' THEN fill_rate END) - avg(fill_rate), 6) AS fill_gap, round(avg((shortage > 1e-9)::INT) - max(CASE WHEN run = '2' THEN (shortage > 1e-9)::INT END), 6) AS stockout_gap FROM sums GROUP BY 1, 2 HAVING max(CASE WHEN run = '2' THEN fill_rate END) - avg(fill_rate) > 0.01 + 1e-9 OR avg((shortage > 1e-9)::INT) - max(CASE WHEN run = '2' THEN (shortage > 1e-9)::INT END) > 0.05 + 1e-9"))
+def model_gaps(spark, sf):
+    """Keys whose median world alone is more hopeful than the run of all worlds."""
+    sums = keep(summaries(spark, sf, WORLDS).withColumn("weight", F.lit(0.2)))
+    exact, predicted = I.risk(sums, KEY), I.risk(sums.where("run = '2'"), KEY)
+    return CR.model_gaps(predicted, exact, KEY, 0.01, 0.05).select(*KEY, F.round("fill_gap", 6).alias("fill_gap"), F.round("stockout_gap", 6).alias("stockout_gap"))
+
+
+@query("stress_review", "lots pairs", simulated_sql(STRESSES, "SELECT run, store_key, 'STRESS_SHORTAGE_OBSERVED' AS issue FROM sums GROUP BY 1, 2 HAVING max(shortage) > 0"))
+def stress_review(spark, sf):
+    sums = summaries(spark, sf, STRESSES).withColumn("capacity_violation", F.lit(None).cast("double")).withColumn("accounting_valid", F.lit(True))
+    return CR.stress_issues(sums, ["run", "store_key"])
