@@ -11,10 +11,12 @@ from pyspark.sql import types as T
 
 from tidegrain.functions import text as X
 from tidegrain.operators import evidence as V
+from tidegrain.operators import graph as G
 from tidegrain.operators import retrieval as R
 from tidegrain.operators import review as W
 from tidegrain.operators.checks import failed, union_all
 from tidegrain.sources import files
+from tidegrain.sources.keep import keep
 
 from .clean_queries import IMPORT_CASE, adapted
 from .forecast_queries import predictions, residuals
@@ -416,3 +418,95 @@ def patch_costs_stress(spark, sf):
 @query("import_units", "raw_sales", f"SELECT {IMPORT_CASE.format(c='lower(trim(unit_text))')} AS unit, count(*) AS n FROM raw_sales GROUP BY 1")
 def import_units(spark, sf):
     return raw_sales(spark, sf).groupBy(X.normalize_unit(F.col("unit_text"), X.IMPORT_UNITS).alias("unit")).agg(F.count("*").alias("n"))
+
+
+# --- provenance --------------------------------------------------------------------------------------------------------------
+ENTITIES = ("strategy", "plan_id", "store_id", "product_id", "ingredient_id", "scenario_id", "lot_id", "target_date", "unit", "stress_id")
+PROOF = [  # type, rows (SQL), entities in the order of the rows, whether it passed
+    ("forecast_prediction", "SELECT DISTINCT store_key, product_key FROM @sales", ("store_id", "product_id")),
+    ("recipe_contribution", "SELECT DISTINCT product_id, ingredient_id FROM @recipes", ("product_id", "ingredient_id")),
+    ("ingredient_demand", "SELECT DISTINCT store_key, ingredient_id FROM @lots", ("store_id", "ingredient_id")),
+    ("inventory_key_summary", "SELECT DISTINCT s, store_key, ingredient_id FROM @lots CROSS JOIN (SELECT unnest(['LEAN', 'BALANCED']) AS s)", ("strategy", "store_id", "ingredient_id")),
+    ("inventory_key_risk", "SELECT DISTINCT store_key, ingredient_id FROM @lots", ("store_id", "ingredient_id")),
+    ("inventory_risk", "SELECT unnest(['LEAN', 'BALANCED', 'PROTECTED'])", ("strategy",)),
+    ("lot_expiry", "SELECT DISTINCT 'LEAN', store_key, ingredient_id, lot_id FROM @lots WHERE lot_id LIKE '%-5' AND expiry_date IS NOT NULL", ("strategy", "store_id", "ingredient_id", "lot_id")),
+    ("lot_waste", "SELECT DISTINCT store_key, ingredient_id, lot_id FROM @lots WHERE lot_id LIKE '%-7'", ("store_id", "ingredient_id", "lot_id")),
+    ("procurement_plan", "SELECT s, 'plan-' || s FROM (SELECT unnest(['LEAN', 'BALANCED']) AS s)", ("strategy", "plan_id")),
+    ("critic_verdict", "SELECT unnest(['LEAN', 'BALANCED'])", ("strategy",)),
+    ("first_stage_order", "SELECT DISTINCT CASE WHEN split_part(lot_id, '-', 1)::BIGINT % 2 = 0 THEN 'LEAN' ELSE 'BALANCED' END, lot_id FROM @lots WHERE lot_id LIKE '%-1'", ("strategy", "lot_id")),
+    ("recommendation", "SELECT 'BALANCED'", ("strategy",)),
+]
+
+
+def proof_sql(kind, rows, names):
+    columns = ", ".join(f"c{names.index(e)} AS {e}" if e in names else f"NULL::VARCHAR AS {e}" for e in ENTITIES)
+    return f"SELECT 'EV_' || substr(sha256(concat_ws('|', '{kind}', {', '.join(f'c{i}' for i in range(len(names)))})), 1, 12) AS evidence_id, '{kind}' AS evidence_type, {columns} FROM ({rows}) t({', '.join(f'c{i}' for i in range(len(names)))})"
+
+
+part("proof", " UNION ALL ".join(proof_sql(*p) for p in PROOF))
+SHOWN = "CASE evidence_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in G.NODE_TYPES.items()) + " ELSE 'Evidence' END AS node_type"
+
+
+def spec_sql(spec):
+    listed = lambda types: ", ".join(f"'{t}'" for t in types)
+    agree = " AND ".join(f"(a.{x} IS NULL OR b.{y} IS NULL OR a.{x} = b.{y})" for x, y in spec.keys)
+    some = " OR ".join(f"a.{x} = b.{y}" for x, y in spec.keys)
+    only = {"PASSED_CHECK": " AND a.strategy = 'BALANCED'", "FAILED_CHECK": " AND a.strategy <> 'BALANCED'"}.get(spec.kind, "")
+    return f"SELECT 'node:' || a.evidence_id, 'node:' || b.evidence_id, '{spec.kind}' FROM @proof a JOIN @proof b ON {agree} AND ({some}) WHERE a.evidence_type IN ({listed(spec.source)}) AND b.evidence_type IN ({listed(spec.target)}){only}"
+
+
+part("proof_edges", "SELECT 'request:R1' AS source_node_id, 'node:' || evidence_id AS target_node_id, 'HAS_EVIDENCE' AS edge_type FROM @proof UNION " + " UNION ".join(spec_sql(s) for s in G.SPECS))
+
+
+def proof(spark, sf):
+    """Evidence of twelve kinds from the planning tables."""
+    every = keep(lots(spark, sf).select("store_key", "ingredient_id", "lot_id", "expiry_date"))
+    keys, line = every.select("store_key", "ingredient_id").distinct(), lambda n: F.col("lot_id").endswith(f"-{n}")
+    some = lambda *names: spark.createDataFrame([(n,) for n in names], "s string")
+    both = F.explode(F.array(F.lit("LEAN"), F.lit("BALANCED"))).alias("s")
+    even = F.when(F.split("lot_id", "-")[0].cast("long") % 2 == 0, "LEAN").otherwise("BALANCED")
+    rows = {
+        "forecast_prediction": sales(spark, sf).select("store_key", "product_key").distinct(),
+        "recipe_contribution": recipes(spark, sf).select("product_id", "ingredient_id").distinct(),
+        "ingredient_demand": keys,
+        "inventory_key_summary": keys.select(both, "store_key", "ingredient_id"),
+        "inventory_key_risk": keys,
+        "inventory_risk": some("LEAN", "BALANCED", "PROTECTED"),
+        "lot_expiry": every.where(line(5) & F.col("expiry_date").isNotNull()).select(F.lit("LEAN").alias("s"), "store_key", "ingredient_id", "lot_id").distinct(),
+        "lot_waste": every.where(line(7)).select("store_key", "ingredient_id", "lot_id").distinct(),
+        "procurement_plan": some("LEAN", "BALANCED").select("s", F.concat(F.lit("plan-"), "s").alias("plan")),
+        "critic_verdict": some("LEAN", "BALANCED"),
+        "first_stage_order": every.where(line(1)).select(even.alias("s"), "lot_id").distinct(),
+        "recommendation": some("BALANCED"),
+    }
+    out = []
+    for kind, _, names in PROOF:
+        x = rows[kind].toDF(*[f"c{i}" for i in range(len(names))])
+        own = [F.col(f"c{i}") for i in range(len(names))]
+        passed = F.col("c0") == "BALANCED" if kind == "critic_verdict" else F.lit(None).cast("boolean")
+        out.append(x.select(V.stable_evidence_id(F.lit(kind), *own).alias("evidence_id"), F.lit("M").alias("layer"), F.lit(kind).alias("evidence_type"), F.create_map(*[c for n, v in zip(names, own, strict=True) for c in (F.lit(n), v)]).alias("entities"), F.concat_ws(" ", F.lit(kind), *own).alias("text"), passed.alias("passed")))
+    return union_all(out)
+
+
+@query("provenance_nodes", "proof", f"SELECT 'node:' || evidence_id AS node_id, {SHOWN} FROM proof UNION ALL SELECT 'request:R1', 'DecisionRequest'")
+def provenance_nodes(spark, sf):
+    return G.nodes(proof(spark, sf), "R1").select("node_id", "node_type")
+
+
+@query("provenance_edges", "proof_edges", "SELECT 'edge:' || lower(edge_type) || ':' || substr(sha256(source_node_id || '|' || edge_type || '|' || target_node_id), 1, 16) AS edge_id, source_node_id, target_node_id, edge_type FROM proof_edges")
+def provenance_edges(spark, sf):
+    return G.edges(proof(spark, sf), "R1")
+
+
+@query(
+    "provenance_reach",
+    "proof proof_edges",
+    """, both_ AS (SELECT source_node_id AS a, target_node_id AS b FROM proof_edges WHERE edge_type <> 'HAS_EVIDENCE' UNION SELECT target_node_id, source_node_id FROM proof_edges WHERE edge_type <> 'HAS_EVIDENCE'),
+r0 AS (SELECT 'node:' || evidence_id AS n FROM proof WHERE evidence_type = 'recommendation'), r1 AS (SELECT n FROM r0 UNION SELECT b FROM r0 JOIN both_ ON a = n), r2 AS (SELECT n FROM r1 UNION SELECT b FROM r1 JOIN both_ ON a = n), r3 AS (SELECT n FROM r2 UNION SELECT b FROM r2 JOIN both_ ON a = n)
+SELECT n AS node_id, min(d)::INTEGER AS depth FROM (SELECT n, 0 AS d FROM r0 UNION ALL SELECT n, 1 FROM r1 UNION ALL SELECT n, 2 FROM r2 UNION ALL SELECT n, 3 FROM r3) GROUP BY 1""",
+)
+def provenance_reach(spark, sf):
+    """What lies within three steps of the recommendation, the request left out."""
+    items = keep(proof(spark, sf))
+    seeds = items.where("evidence_type = 'recommendation'").select(G.node_id(F.col("evidence_id")).alias("node_id"))
+    return G.reach(G.edges(items, "R1").where("edge_type <> 'HAS_EVIDENCE'"), seeds, 3)
