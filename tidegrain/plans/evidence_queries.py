@@ -15,7 +15,7 @@ from tidegrain.operators import graph as G
 from tidegrain.operators import retrieval as R
 from tidegrain.operators import review as W
 from tidegrain.operators.checks import failed, union_all
-from tidegrain.sources import files
+from tidegrain.sources import delimited, files
 from tidegrain.sources.keep import keep
 
 from .clean_queries import IMPORT_CASE, adapted
@@ -350,6 +350,25 @@ def delimited_scan(spark, sf):
     return files.read_delimited(spark, path)
 
 
+@query(
+    "delimited_encodings",
+    "",
+    """SELECT encoding, delimiter, ambiguous, count(*) AS n, sum(k)::BIGINT AS keys, sum(length(t))::BIGINT AS letters, max(n_columns) AS n_columns FROM (SELECT o_orderkey AS k, CASE o_orderkey % 4 WHEN 0 THEN 'utf-8' WHEN 1 THEN 'cp1258' WHEN 2 THEN 'utf-8' ELSE 'cp1252' END AS encoding, [',', ';', chr(9), '|'][o_orderkey % 4 + 1] AS delimiter,
+  o_orderkey % 4 = 1 AND false AS ambiguous, 'é ' || o_orderstatus || CASE o_orderkey % 4 WHEN 2 THEN chr(10) || 'à; "x"' WHEN 3 THEN 'Š' ELSE '' END AS t, 3 AS n_columns FROM orders) GROUP BY 1, 2, 3""",
+)
+def delimited_encodings(spark, sf):
+    """Orders in files of three encodings and four delimiters, some texts over two lines, read back without being told."""
+    path, part_ = scratch(spark, "encodings"), F.col("o_orderkey") % 4
+    text = F.concat(F.lit("é "), "o_orderstatus", F.when(part_ == 2, '\nà; "x"').when(part_ == 3, "\x8a").otherwise(""))
+    rows = keep(table(spark, sf, "orders").select("o_orderkey", text.alias("t"), F.lit("é").alias("mark"), part_.alias("p")))
+    for p, (sep, encoding) in enumerate(((",", "UTF-8"), (";", "ISO-8859-1"), ("\t", "UTF-8"), ("|", "ISO-8859-1"))):
+        rows.where(F.col("p") == p).drop("p").write.csv(f"{path}/{p}", sep=sep, encoding=encoding, escape='"')
+    found = keep(delimited.describe(spark, path))
+    read = delimited.read_rows(spark, found).join(found.select("path", "n_columns"), "path")
+    f = F.col("fields")
+    return read.groupBy("encoding", "delimiter", "ambiguous").agg(F.count("*").alias("n"), F.sum(f[0].cast("long")).alias("keys"), F.sum(F.length(f[1])).alias("letters"), F.max("n_columns").alias("n_columns"))
+
+
 # --- canonical tables --------------------------------------------------------------------------------------------------------
 @query("canonical_sales", "raw_sales adapted", "SELECT a.row_id, a.date, a.store_key, a.quantity_sold, concat_ws(',', CASE WHEN a.quantity_sold < 0 THEN 'RETURN' END, CASE WHEN a.date IS NULL THEN 'DATE_MISSING' END, CASE WHEN a.product_key IS NULL THEN 'PRODUCT_MISSING' END) AS issues FROM adapted a")
 def canonical_sales(spark, sf):
