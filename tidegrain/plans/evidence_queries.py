@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from tidegrain.functions import text as X
 from tidegrain.operators import evidence as V
+from tidegrain.operators import fidelity as FI
 from tidegrain.operators import graph as G
 from tidegrain.operators import retrieval as R
 from tidegrain.operators import review as W
@@ -529,3 +530,49 @@ def provenance_reach(spark, sf):
     items = keep(proof(spark, sf))
     seeds = items.where("evidence_type = 'recommendation'").select(G.node_id(F.col("evidence_id")).alias("node_id"))
     return G.reach(G.edges(items, "R1").where("edge_type <> 'HAS_EVIDENCE'"), seeds, 3)
+
+
+# --- fidelity ----------------------------------------------------------------------------------------------------------------
+MEANINGS = {"PROBABILITY_WITHOUT_EVIDENCE": (r"\bprobab|\blikely\b", "probability"), "CAUSE_WITHOUT_EVIDENCE": (r"\bbecause\b|\bcaused\b", "causal")}
+part(
+    "told",
+    """SELECT o_orderkey AS claim_id, o_orderkey // 4 AS answer_id, CASE WHEN o_orderkey % 10 = 7 THEN 'x' || o_orderkey ELSE 'e' || o_orderkey END AS cited, o_orderkey % 11 <> 3 AS cites, 'Order ' || CASE WHEN o_orderkey % 5 = 2 THEN o_custkey + 1 ELSE o_custkey END || ' costs ' || o_shippriority || '.5' || CASE o_orderkey % 6 WHEN 1 THEN ' because of demand' WHEN 2 THEN ', likely' ELSE '' END AS text,
+  o_custkey, o_shippriority, CASE WHEN o_orderkey % 12 = 1 THEN 'causal' WHEN o_orderkey % 12 = 2 THEN 'probability' END AS semantics FROM (SELECT o_orderkey, o_custkey, o_orderkey % 3 AS o_shippriority FROM orders)""",
+)
+
+
+def told(spark, sf):
+    """Claims on orders, some with a wrong number, a wrong citation or none, or words that their evidence does not bear out."""
+    k = F.col("o_orderkey")
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", (k % 3).alias("p"))
+    number = F.col("o_custkey") + F.when(k % 5 == 2, 1).otherwise(0)
+    text = F.concat(F.lit("Order "), number.cast("string"), F.lit(" costs "), F.col("p").cast("string"), F.lit(".5"), F.when(k % 6 == 1, " because of demand").when(k % 6 == 2, ", likely").otherwise(""))
+    cited = F.concat(F.when(k % 10 == 7, "x").otherwise("e"), k.cast("string"))
+    claims = o.select(k.alias("claim_id"), F.floor(k / 4).alias("answer_id"), text.alias("text"), F.when(k % 11 != 3, F.array(cited)).otherwise(F.array().cast("array<string>")).alias("evidence_ids"))
+    payload = F.to_json(F.struct(F.col("o_custkey").alias("customer"), (F.col("p") + 0.5).alias("cost")))
+    evidence = o.select(F.concat(F.lit("e"), k.cast("string")).alias("evidence_id"), payload.alias("payload"), F.when(k % 12 == 1, "causal").when(k % 12 == 2, "probability").alias("semantics"))
+    return claims, evidence
+
+
+@query(
+    "claim_support",
+    "told",
+    """SELECT claim_id, 2 AS n_numbers, CASE WHEN cites AND cited LIKE 'e%' THEN (claim_id % 5 <> 2 OR o_custkey + 1 = o_shippriority + 0.5)::INT + 1 ELSE 0 END AS n_supported, concat_ws(',', CASE WHEN text LIKE '%likely%' AND NOT (cites AND cited LIKE 'e%' AND coalesce(semantics, '') = 'probability') THEN 'PROBABILITY_WITHOUT_EVIDENCE' END,
+  CASE WHEN text LIKE '%because%' AND NOT (cites AND cited LIKE 'e%' AND coalesce(semantics, '') = 'causal') THEN 'CAUSE_WITHOUT_EVIDENCE' END) AS violations FROM told""",
+)
+def claim_support(spark, sf):
+    return FI.support(*told(spark, sf), meanings=MEANINGS).withColumn("violations", F.array_join("violations", ","))
+
+
+@query(
+    "answer_citations",
+    "told",
+    "SELECT answer_id, count(*) FILTER (cites AND cited LIKE 'x%') = 0 AS valid, bool_and(cites) AND count(*) FILTER (cites AND claim_id % 20 = 13) = 0 AS complete, count(DISTINCT CASE WHEN cites AND cited LIKE 'x%' THEN cited END) AS n_unknown FROM told GROUP BY 1",
+)
+def answer_citations(spark, sf):
+    """Answers of the claims on four orders, which leave out what some claims cite."""
+    claims, evidence = told(spark, sf)
+    claims = keep(claims)
+    shown = F.when(F.col("claim_id") % 20 != 13, F.col("evidence_ids")).otherwise(F.array().cast("array<string>"))
+    answers = claims.groupBy("answer_id").agg(F.flatten(F.collect_list(shown)).alias("citations"))
+    return FI.citations(answers, claims, evidence)

@@ -8,6 +8,7 @@ from tidegrain.operators import coherence as C
 from tidegrain.operators import critic as CR
 from tidegrain.operators import inventory as I
 from tidegrain.operators import review as W
+from tidegrain.operators import rule_mapping as RM
 from tidegrain.operators.checks import union_all
 from tidegrain.sources.keep import keep
 
@@ -188,3 +189,45 @@ def model_gaps(spark, sf):
 def stress_review(spark, sf):
     sums = summaries(spark, sf, STRESSES).withColumn("capacity_violation", F.lit(None).cast("double")).withColumn("accounting_valid", F.lit(True))
     return CR.stress_issues(sums, ["run", "store_key"])
+
+
+# Source rules of every store and brand, read by a mapping that lacks one kind, misreads another and has one too many.
+part(
+    "source_rules",
+    """SELECT store_key || ':' || ingredient_id || ':' || t AS rule_id, store_key AS store_id, ingredient_id, t AS rule_type, v * (1 + length(ingredient_id)) AS value, u AS unit FROM (SELECT DISTINCT store_key, ingredient_id FROM @needs)
+  CROSS JOIN (VALUES ('maximum_stock', 900.0::DOUBLE, 'kg'), ('safety_stock', 20000.0, 'g'), ('service_level_target', 0.1, 'ratio'), ('shelf_life_target', 2.0, 'day'), ('unheard_of', 1.0, 'kg')) k(t, v, u)""",
+)
+BASES = ("kg", "liter", "kg")
+
+
+def rule_inputs(spark, sf):
+    keys = needs(spark, sf).select(F.col("store_key").alias("store_id"), "ingredient_id").distinct()
+    kinds = [("maximum_stock", 900.0, "kg"), ("safety_stock", 20000.0, "g"), ("service_level_target", 0.1, "ratio"), ("shelf_life_target", 2.0, "day"), ("unheard_of", 1.0, "kg")]
+    rows = keys.select("*", F.inline(F.array(*[F.struct(F.lit(t).alias("rule_type"), F.lit(v).alias("v"), F.lit(u).alias("unit")) for t, v, u in kinds])))
+    none = F.lit(None).cast("date")
+    source = rows.select(F.concat_ws(":", "store_id", "ingredient_id", "rule_type").alias("rule_id"), "store_id", "ingredient_id", "rule_type", (F.col("v") * (1 + F.length("ingredient_id"))).alias("value"), "unit", none.alias("effective_from"), none.alias("effective_to"))
+    wanted = [("maximum_stock", "END_OF_DAY_MAX", "kg"), ("safety_stock", "END_OF_DAY_MIN", "g"), ("service_level_target", "PER_KEY_EXPECTED_FILL", "percent"), ("shelf_life_target", "PURCHASE_COVER_DAYS", "day")]
+    brands = keys.select("ingredient_id").distinct()
+    mapping = brands.select("ingredient_id", F.inline(F.array(*[F.struct(F.lit(t).alias("rule_type"), F.lit(s).alias("semantics"), F.lit(u).alias("unit")) for t, s, u in wanted]))).withColumn("classification", F.lit("HARD")).withColumn("penalty", F.lit(1.0))
+    extra = mapping.limit(1).select(F.lit("Brand#none").alias("ingredient_id"), *[c for c in mapping.columns if c != "ingredient_id"]).withColumn("rule_type", F.lit("maximum_stock"))
+    number = F.regexp_extract("ingredient_id", r"(\d+)", 1).cast("int") % 3
+    units = keys.select("store_id", "ingredient_id", F.element_at(F.array(*map(F.lit, BASES)), (number + 1).cast("int")).alias("base_unit"))
+    factors = spark.createDataFrame([("g", "kg", 0.001)], "from_unit string, to_unit string, factor double")
+    daily = needs(spark, sf).groupBy(F.col("store_key").alias("store_id"), "ingredient_id").agg(F.avg("quantity").alias("quantity"))
+    return source, mapping.unionByName(extra), units, factors, daily
+
+
+RULES_SQL = """, r AS (SELECT *, ['kg', 'liter', 'kg'][regexp_extract(ingredient_id, '(\\d+)', 1)::INT % 3 + 1] AS base FROM source_rules),
+n AS (SELECT *, CASE WHEN unit IN ('day', 'ratio') OR unit = base THEN 1.0::DOUBLE WHEN unit = 'g' AND base = 'kg' THEN 0.001::DOUBLE END AS f FROM r)
+"""
+
+
+@query("normalised_rules", "source_rules needs", RULES_SQL + "SELECT rule_id, CASE rule_type WHEN 'maximum_stock' THEN 'END_OF_DAY_MAX' WHEN 'safety_stock' THEN 'END_OF_DAY_MIN' ELSE 'PURCHASE_COVER_DAYS' END AS semantics, round(value * f, 6) AS target, CASE WHEN unit = 'day' THEN unit ELSE base END AS unit, CASE WHEN rule_type = 'shelf_life_target' THEN round(d.q, 5) END AS reference_daily FROM n LEFT JOIN (SELECT store_key, ingredient_id AS i, avg(quantity) AS q FROM needs GROUP BY 1, 2) d ON store_key = store_id AND i = ingredient_id WHERE rule_type IN ('maximum_stock', 'safety_stock', 'shelf_life_target') AND f IS NOT NULL")
+def normalised_rules(spark, sf):
+    rows, _ = RM.normalise_rules(*rule_inputs(spark, sf))
+    return rows.select("rule_id", "semantics", F.round("target", 6).alias("target"), "unit", F.round("reference_daily", 5).alias("reference_daily"))
+
+
+@query("refused_rules", "source_rules", RULES_SQL + "SELECT rule_id, CASE rule_type WHEN 'unheard_of' THEN 'PREVIEW_UNMAPPED_SOURCE_RULE' WHEN 'service_level_target' THEN 'RULE_TYPE_SEMANTICS_OR_UNIT_MISMATCH' ELSE 'RULE_TARGET_UNIT_REQUIRED' END AS issue FROM n WHERE rule_type IN ('unheard_of', 'service_level_target') OR f IS NULL UNION ALL SELECT 'maximum_stock:Brand#none', 'UNUSED_RULE_MAPPING'")
+def refused_rules(spark, sf):
+    return RM.normalise_rules(*rule_inputs(spark, sf))[1]
