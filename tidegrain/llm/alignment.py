@@ -36,6 +36,8 @@ from .batches import cut, slices, table, written
 from .bpe import byte_of
 from .pools import Pool, flattened, per_row, strings_of
 
+JOINED = 50  # chunks in one call
+SLICE = 1 << 20  # bytes of text that are aligned at once
 SPACE = "▁"  # stands for a space in the pieces of B
 BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 
@@ -73,6 +75,27 @@ def spell(texts: list[str], ids: np.ndarray, widths: np.ndarray, tokens: list[by
     return np.fromiter((b"".join(own[e - w : e]) == t.encode() for t, w, e in zip(texts, widths.tolist(), ends, strict=True)), dtype=bool, count=len(texts))
 
 
+def joined_ids(texts: list[str], encode, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of chunks one after another and how many each has, of many chunks in one call: the texts of JOINED chunks are put together, and
+    cut again where as many bytes are spelled as a chunk has. Only chunks that begin with a space and a visible character follow another
+    one, as they do in a text; the others begin a call."""
+    joined, owner = [], []
+    for t in texts:
+        follows = len(t) > 1 and t[0] == " " and ("!" <= t[1] <= "~" or t[1].isalnum())
+        if follows and joined and len(owner[-1]) < JOINED:
+            joined[-1].append(t)
+            owner[-1].append(len(t.encode()))
+        else:
+            joined.append([t])
+            owner.append([len(t.encode())])
+    ids, _ = flattened(encode(["".join(own) for own in joined]))
+    ends, wanted = np.cumsum(sizes[ids]), np.cumsum([n for own in owner for n in own])
+    at = np.searchsorted(ends, wanted) + 1
+    if (np.append(ends, -1)[at - 1] != wanted).any():  # some bytes are not spelled
+        return flattened(encode(texts))
+    return ids, np.diff(at, prepend=0)
+
+
 class Pair:
     """Two tokenizers, the bytes of their tokens, and the ids of chunks met so far; lives in a Python worker."""
 
@@ -94,7 +117,7 @@ class Pair:
         self.sizes = [pa.array([len(t) for t in own], pa.int64()) for own in (bytes_a, bytes_b)]
         self.names = [pa.array([str(i) for i in range(len(own))]) for own in (bytes_a, bytes_b)]
         self.pools = [
-            Pool(lambda texts: flattened([x.ids for x in a.encode_batch_fast(texts, add_special_tokens=False)]), check=lambda *found: spell(*found, bytes_a)),
+            Pool(lambda texts: joined_ids(texts, lambda some: [x.ids for x in a.encode_batch_fast(some, add_special_tokens=False)], np.array([len(t) for t in bytes_a])), check=lambda *found: spell(*found, bytes_a)),
             Pool(lambda texts: flattened(b.encode([t[1:] for t in texts], num_threads=1)), check=lambda *found: spell(*found, bytes_b)),  # B adds the space
         ]
 
@@ -167,7 +190,7 @@ def align(df: DataFrame, path_a: str | None = None, path_b: str | None = None, i
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        for part in slices(batches):
+        for part in slices(batches, limit=SLICE):
             tool = pair(path_a, path_b)
             a, b = tool.encode(part.column(1))
             doc, *sizes = group_sizes(joined_ends(a, b, tool))
@@ -185,7 +208,7 @@ def linked(df: DataFrame, path_a: str, path_b: str, id_col: str, text_col: str)
 
     def run(batches):
         task = TaskContext.get().partitionId() << 32
-        for number, part in enumerate(slices(batches)):
+        for number, part in enumerate(slices(batches, limit=SLICE)):
             tool, rows = pair(path_a, path_b), part.num_rows
             a, b = tool.encode(part.column(1))
             ends = joined_ends(a, b, tool)
