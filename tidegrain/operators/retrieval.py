@@ -22,6 +22,7 @@ from .checks import union_all
 from .ranking import first_rows
 
 BLOCK_ITEMS = 1 << 16
+HOPEFUL = 4  # times k: items that are scored first
 ROUNDS = (0.5, 0.75, 1.0)  # share of a question's terms that are looked up, rarest first
 MARK = "\x1f"  # between the parts of terms that are no words
 NONE = "array<string>"
@@ -88,10 +89,11 @@ def best_items(questions: DataFrame, indexed: DataFrame, k: int, penalty: float
         rest = left.groupBy("query_id").agg(F.sum(F.when(now, 0.0).otherwise(F.col("weight"))).alias("rest")).join(adds, "query_id").select("query_id", (F.col("rest") + F.col("adds")).alias("rest"))
         first = left.where(now).join(blocks.select("term", "block"), "term")
         pairs = first.join(held, ["term", "block"]).groupBy("query_id", "evidence_id").agg(F.sum("weight").alias("low")).join(rest, "query_id")
-        if not penalty:  # then ``low`` is sure to be reached, and the k-th of it is a floor
-            pairs = keep(pairs)
-            floor = first_rows(pairs, ["query_id"], [F.desc("low"), "evidence_id"], k).groupBy("query_id").agg(F.when(F.count("*") == k, F.min("low")).alias("floor"))
-            pairs = pairs.join(floor, "query_id").where(F.col("floor").isNull() | (F.col("low") + F.col("rest") >= F.col("floor")))
+        # The exact scores of the few that look best give a floor, below whose k-th no bound has to be scored.
+        pairs = keep(pairs)
+        hopeful = score_pairs(first_rows(pairs, ["query_id"], [F.desc("low"), "evidence_id"], HOPEFUL * k).select("query_id", "evidence_id"), indexed, questions, penalty)
+        floor = first_rows(hopeful, ["query_id"], [F.desc("score"), "evidence_id"], k).groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score")).alias("floor"))
+        pairs = pairs.join(floor, "query_id").where(F.col("floor").isNull() | (F.col("low") + F.col("rest") >= F.col("floor")))
         scored = score_pairs(pairs.select("query_id", "evidence_id", "rest"), indexed, questions, penalty)
         top = first_rows(scored, ["query_id"], [F.desc("score"), "evidence_id"], k)
         group = Window.partitionBy("query_id")
