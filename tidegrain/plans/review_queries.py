@@ -231,3 +231,9 @@ def normalised_rules(spark, sf):
 @query("refused_rules", "source_rules", RULES_SQL + "SELECT rule_id, CASE rule_type WHEN 'unheard_of' THEN 'PREVIEW_UNMAPPED_SOURCE_RULE' WHEN 'service_level_target' THEN 'RULE_TYPE_SEMANTICS_OR_UNIT_MISMATCH' ELSE 'RULE_TARGET_UNIT_REQUIRED' END AS issue FROM n WHERE rule_type IN ('unheard_of', 'service_level_target') OR f IS NULL UNION ALL SELECT 'maximum_stock:Brand#none', 'UNUSED_RULE_MAPPING'")
 def refused_rules(spark, sf):
     return RM.normalise_rules(*rule_inputs(spark, sf))[1]
+
+
+@query("line_key_gaps", "artifact_lines", "SELECT store_key, ingredient_id, date, count(DISTINCT scenario_id) AS n_worlds FROM artifact_lines GROUP BY 1, 2, 3 HAVING count(DISTINCT scenario_id) < 2")
+def line_key_gaps(spark, sf):
+    """Keys that a scenario of the lines with planted faults lacks."""
+    return W.world_key_gaps(artifacts(spark, sf)["lines"], "scenario_id", [*KEY, "date"])
