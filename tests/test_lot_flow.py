@@ -130,3 +130,17 @@ def test_flow_of_nothing(spark):
     assert L.lines(rows, KEYS).count() == 0 and L.traces(rows, placed, KEYS).count() == 0
     rows, placed = run(spark, [("S", "a", "x", 1.0, None, None)], [], [], [])
     assert L.outcomes(placed, L.traces(rows, placed, KEYS), KEYS).first().left == 1.0
+
+
+def test_waste_that_names_no_lot_is_one_row_of_the_fold(spark):
+    """The events of a day are as many as there are sales; the fold sees one run of them, and each gets its own share back."""
+    key = ("S", "a")
+    lots = [(*key, f"l{i}", 10.0, START + dt.timedelta(9), START) for i in range(5)]
+    waste = [(*key, f"w{i:03}", START, 0.5, None) for i in range(120)] + [(*key, "w060b", START, 4.0, "l4")]
+    runs = L.waste_runs(spark.createDataFrame(waste, WASTE), KEYS)
+    assert [tuple(r) for r in runs.groupBy("run_", "lot_id").agg(F.count("*"), F.sum("quantity")).orderBy("run_").collect()] == [(0, None, 61, 30.5), (1, "l4", 1, 4.0), (2, None, 59, 29.5)]
+    rows, placed = L.flow(spark.createDataFrame(lots, LOTS), spark.createDataFrame([(*key, START, 1.0)], DEMAND), spark.createDataFrame([], LOTS + ", arrival_date date"), spark.createDataFrame(waste, WASTE), KEYS)
+    got = {r.event_id: r.quantity for r in L.traces(rows, placed, KEYS).where("kind = 'wasted'").groupBy("event_id").agg(F.sum("quantity").alias("quantity")).collect()}
+    refused = {r.event_id: r.quantity for r in L.refused_waste(rows, KEYS).collect()}
+    # 49 after demand: 61 events of 0.5, 4 of lot l4, then 14.5 for 29 events; the last 30 go without.
+    assert got == {f"w{i:03}": 0.5 for i in range(90)} | {"w060b": 4.0} and refused == {f"w{i:03}": 0.5 for i in range(90, 120)}

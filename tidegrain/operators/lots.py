@@ -1,9 +1,10 @@
 """Lot ledgers with waste, costs and traces: what became of every lot, day by day.
 
 A day of a key goes: deliveries arrive, what is past its date expires, demand takes lots first expired first out, waste events take what
-they name. Lots of equal dates are one entry before the fold over days, unless a waste event names one of them, so a fold has as many
-entries as pairs of dates. The fold reports what each entry loses; an overlap join of running sums (an entry's lots in their order, its
-losses in theirs) tells which lot that was.
+they name. Lots of equal dates are one entry before the fold over days, unless a waste event names one of them, and waste events that follow
+each other on a day without naming a lot are one run. So a fold has as many entries as pairs of dates, and as many runs as days and
+events that name a lot. The fold reports what each entry loses; where running sums overlap (an entry's lots in their order, its losses
+in theirs; a run's events and its losses) tells which lot and which event that was. Overlaps are found in one sort of both, not by pairs.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegrain.sources.keep import keep
+
 from .inventory import NEVER, START, fefo_order
 
 ENTRY = ["arrival_", "expiry_", "received_", "own_"]
@@ -27,32 +30,63 @@ def entries(lots: DataFrame, inbound: DataFrame, waste: DataFrame, keys: list[st
     shown = [*keys, "lot_id", "quantity", "expiry_date", "received_date"]
     every = lots.select(*shown, F.lit(START).alias("arrival_")).unionByName(inbound.select(*shown, F.unix_date("arrival_date").alias("arrival_")))
     number = lambda c: F.coalesce(F.unix_date(c), F.lit(NEVER))
-    every = every.withColumns({"expiry_": number("expiry_date"), "received_": number("received_date")}).join(named, [*keys, "lot_id"], "left")
-    alike = Window.partitionBy(*keys, "arrival_", "expiry_", "received_")
-    own = F.when(F.max(F.coalesce("named_", F.lit(False))).over(alike), F.col("lot_id")).otherwise("")
-    return every.withColumn("own_", own).drop("named_")
+    every = every.withColumns({"expiry_": number("expiry_date"), "received_": number("received_date")})
+    dates = [*keys, *ENTRY[:3]]
+    apart = every.join(named, [*keys, "lot_id"], "left_semi").select(*dates, F.lit(True).alias("named_")).distinct()
+    return every.join(apart, dates, "left").withColumn("own_", F.when(F.col("named_"), F.col("lot_id")).otherwise("")).drop("named_")
+
+
+def waste_runs(waste: DataFrame, keys: list[str]) -> DataFrame:
+    """Waste events that ask for something, with their run: an event that names a lot is one, and so are those between two of them."""
+    order = Window.partitionBy(*keys, "date").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
+    named = F.col("lot_id").isNotNull()
+    asked = waste.select(*keys, "date", F.col("event_id").cast("string").alias("event_id"), F.col("quantity").cast("double").alias("quantity"), "lot_id").where("quantity > 0")
+    return asked.withColumn("run_", (2 * F.count_if(named).over(order) - named.cast("int")).cast("int"))
+
+
+def overlaps(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
+    """``by``, a_, b_, quantity: where the stretches (a struct a_ or b_, from_, to_) of two tables lie over each other.
+
+    The stretches of a table follow each other within ``by``. The starts of both are sorted together; from each to the next, the last
+    start of either table tells what lies there, if it has not ended.
+    """
+    kinds = {name: df.schema[name].dataType for name, df in (("a_", a), ("b_", b))}
+    ends = a.where("from_ < to_").select(*by, "from_", F.struct("a_", "to_").alias("x_")).unionByName(b.where("from_ < to_").select(*by, "from_", F.struct("b_", "to_").alias("y_")), allowMissingColumns=True)
+    w = Window.partitionBy(*by).orderBy("from_")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    pieces = ends.select(*by, "from_", F.last("x_", True).over(so_far).alias("x_"), F.last("y_", True).over(so_far).alias("y_"), F.lead("from_").over(w).alias("next_"))
+    met = pieces.withColumn("quantity", F.least("next_", "x_.to_", "y_.to_") - F.col("from_")).where(F.col("x_").isNotNull() & F.col("y_").isNotNull() & (F.col("quantity") > TOLERANCE))
+    return met.select(*by, *[F.col(f"{c}.{name}").cast(kinds[name]).alias(name) for c, name in (("x_", "a_"), ("y_", "b_"))], "quantity")
+
+
+def stretches(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
+    """Rows with the stretch from_ to to_ that their quantity takes among those of ``by`` in order."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    running = lambda end: F.sum("quantity").over(w.rowsBetween(Window.unboundedPreceding, end))
+    return df.where("quantity > 0").withColumns({"to_": running(0), "from_": F.coalesce(running(-1), F.lit(0.0))})
 
 
 def flow(lots: DataFrame, demand: DataFrame, inbound: DataFrame, waste: DataFrame, keys: list[str], expiry_inclusive: bool = True, at_risk_days: int = 3) -> tuple[DataFrame, DataFrame]:
-    """The fold: all its rows (``lines`` and ``losses`` read them; write them once before that), and the lots with their entries.
+    """The fold, written once: all its rows (``lines``, ``refused_waste`` and ``traces`` read them), and the lots with their entries.
 
     lots: keys, lot_id, quantity, expiry_date, received_date. inbound: the same with arrival_date. demand: keys, date, demand, the days to
     simulate. waste: keys, event_id, date, quantity, lot_id (null: first expired first out). What a waste event asks beyond the stock it
     may take is reported as refused. Deliveries on days that are not simulated do not arrive.
     """
-    placed = entries(lots, inbound, waste, keys)
+    placed, runs = entries(lots, inbound, waste, keys), waste_runs(waste, keys)
     none = lambda kind: F.lit(None).cast(kind)
-    rows = lambda df, day, kind, quantity, expiry=none("int"), received=none("int"), own=none("string"), lot=none("string"), event=none("string"): df.select(
-        *keys, day.alias("day"), F.lit(kind).alias("kind"), quantity.cast("double").alias("quantity"), expiry.alias("expiry_"), received.alias("received_"), own.alias("own_"), lot.alias("lot_id"), event.alias("event_id")
+    rows = lambda df, day, kind, quantity, expiry=none("int"), received=none("int"), own=none("string"), lot=none("string"), run=none("int"): df.select(
+        *keys, day.alias("day"), F.lit(kind).alias("kind"), quantity.cast("double").alias("quantity"), expiry.alias("expiry_"), received.alias("received_"), own.alias("own_"), lot.alias("lot_id"), run.alias("run_")
     )
-    grouped = placed.groupBy(*keys, *ENTRY).agg(F.sum("quantity").alias("quantity"), F.min("lot_id").alias("lot_id"))
+    grouped = placed.groupBy(*keys, *ENTRY).agg(F.sum("quantity").alias("quantity"))
+    grouped_waste = runs.groupBy(*keys, "date", "run_", "lot_id").agg(F.sum("quantity").alias("quantity"))
     events = (
-        rows(grouped, F.col("arrival_"), "lot", F.col("quantity"), F.col("expiry_"), F.col("received_"), F.col("own_"), F.col("lot_id"))
+        rows(grouped, F.col("arrival_"), "lot", F.col("quantity"), F.col("expiry_"), F.col("received_"), F.col("own_"))
         .unionByName(rows(demand, F.unix_date("date"), "day", F.coalesce("demand", F.lit(0.0))))
-        .unionByName(rows(waste, F.unix_date("date"), "waste", F.col("quantity"), lot=F.col("lot_id"), event=F.col("event_id").cast("string")))
+        .unionByName(rows(grouped_waste, F.unix_date("date"), "waste", F.col("quantity"), lot=F.col("lot_id"), run=F.col("run_")))
     )
     kinds = {f.name: f.dataType.simpleString() for f in demand.schema.fields}
-    lost = ["arrival_ int", "expiry_ int", "received_ int", "own_ string", "step int", "event_id string", "quantity double"]
+    lost = ["arrival_ int", "expiry_ int", "received_ int", "own_ string", "step int", "run_ int", "quantity double"]
     schema = ", ".join([*[f"{k} {kinds[k]}" for k in keys], "kind string", "day int", *lost, *[f"{c} double" for c in AMOUNTS]])
 
     def fold(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
@@ -61,7 +95,17 @@ def flow(lots: DataFrame, demand: DataFrame, inbound: DataFrame, waste: DataFram
             out[k] = v
         return out
 
-    return events.groupBy(*keys).applyInPandas(fold, schema), placed
+    folded = keep(events.groupBy(*keys).applyInPandas(fold, schema))
+    return folded.where("run_ is null").drop("run_").withColumn("event_id", none("string")).unionByName(by_event(folded.where("run_ is not null"), runs, keys)), placed
+
+
+def by_event(found: DataFrame, runs: DataFrame, keys: list[str]) -> DataFrame:
+    """What runs of waste events lost, and what of them was refused, for each event: they are served in order, and the last go without."""
+    day = [*keys, "day", "run_"]
+    asked = stretches(runs.withColumn("day", F.unix_date("date")), day, [F.col("event_id")]).select(*day, F.struct("event_id").alias("a_"), "from_", "to_")
+    own = [c for c in found.columns if c not in (*day, "quantity")]
+    gone = stretches(found, day, [F.col("kind") == "refused", F.col("step")]).select(*day, F.struct(*own).alias("b_"), "from_", "to_")
+    return overlaps(asked, gone, day).select(*keys, "day", "a_.event_id", "quantity", "b_.*").select(*[c if c != "run_" else "event_id" for c in found.columns])
 
 
 def fold_days(rows: pd.DataFrame, inclusive: bool, at_risk_days: int) -> list[tuple]:
@@ -69,30 +113,30 @@ def fold_days(rows: pd.DataFrame, inclusive: bool, at_risk_days: int) -> list[tu
     of = lambda kind: rows[rows["kind"] == kind]
     arriving: dict[int, list] = {}
     for r in of("lot").itertuples():
-        arriving.setdefault(r.day, []).append([(int(r.expiry_), int(r.received_), r.day, r.lot_id), r.quantity, r.own_])
+        arriving.setdefault(r.day, []).append([(int(r.expiry_), int(r.received_), r.day, r.own_), r.quantity, r.own_])
     wasting: dict[int, list] = {}
-    for r in of("waste").sort_values("event_id").itertuples():
-        wasting.setdefault(r.day, []).append((r.event_id, r.lot_id, r.quantity))
+    for r in of("waste").sort_values("run_").itertuples():
+        wasting.setdefault(r.day, []).append((int(r.run_), r.lot_id, r.quantity))
     stock: list[list] = []  # [order, quantity, own id], in order
     out: list[tuple] = []
     blank = (None,) * len(AMOUNTS)
     step = 0
 
-    def lose(kind: str, day: int, entry: list, quantity: float, event: str | None = None) -> None:
+    def lose(kind: str, day: int, entry: list, quantity: float, run: int | None = None) -> None:
         nonlocal step
         step += 1
         entry[1] -= quantity
         expiry, received, arrival, _ = entry[0]
-        out.append((kind, day, arrival, expiry, received, entry[2], step, event, quantity, *blank))
+        out.append((kind, day, arrival, expiry, received, entry[2], step, run, quantity, *blank))
 
-    def take(kind: str, day: int, wanted: float, event: str | None = None, lot: str | None = None) -> float:
+    def take(kind: str, day: int, wanted: float, run: int | None = None, lot: str | None = None) -> float:
         """First expired first out, or from the entry of ``lot``; returns what could not be taken."""
         for entry in stock if lot is None else [e for e in stock if e[2] == lot]:
             if wanted <= 0:
                 break
             got = min(entry[1], wanted)
             if got > 0:
-                lose(kind, day, entry, got, event)
+                lose(kind, day, entry, got, run)
                 wanted -= got
         stock[:] = [e for e in stock if e[1] > 0]
         return wanted
@@ -113,10 +157,10 @@ def fold_days(rows: pd.DataFrame, inclusive: bool, at_risk_days: int) -> list[tu
                 lose("expired", day, entry, entry[1])
         short = take("consumed", day, r.quantity)
         before = sum(e[1] for e in stock)
-        for event, lot, wanted in wasting.get(day, []):
-            rest = take("wasted", day, wanted, event, None if pd.isna(lot) else lot)
+        for run, lot, wanted in wasting.get(day, []):
+            rest = take("wasted", day, wanted, run, None if pd.isna(lot) else lot)
             if rest > TOLERANCE:
-                out.append(("refused", day, None, None, None, None, None, event, rest, *blank))
+                out.append(("refused", day, None, None, None, None, None, run, rest, *blank))
         ending = sum(e[1] for e in stock)
         risk = sum(e[1] for e in stock if e[0][0] != NEVER and 0 <= e[0][0] - day <= at_risk_days)
         out.append(("line", day, None, None, None, None, None, None, None, beginning, arrived, beginning + arrived, expired, r.quantity, r.quantity - short, before - ending, ending, risk))
@@ -136,13 +180,9 @@ def refused_waste(rows: DataFrame, keys: list[str]) -> DataFrame:
 def traces(rows: DataFrame, placed: DataFrame, keys: list[str]) -> DataFrame:
     """keys, lot_id, date, kind (consumed, expired, wasted), event_id, quantity: what each lot gave, and when."""
     entry = [*keys, *ENTRY]
-    running = lambda order: F.sum("quantity").over(Window.partitionBy(*entry).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    held = placed.withColumn("to_", running(fefo_order())).withColumn("from_", F.col("to_") - F.col("quantity")).select(*entry, "lot_id", "from_", "to_")
-    lost = rows.where("kind in ('consumed', 'expired', 'wasted')").withColumn("end_", running([F.col("step")])).withColumn("start_", F.col("end_") - F.col("quantity"))
-    lost = lost.select(*entry, "day", "kind", "event_id", "start_", "end_")
-    met = held.join(lost, entry).where("start_ < to_ and from_ < end_")
-    share = F.least("to_", "end_") - F.greatest("from_", "start_")
-    return met.withColumn("quantity", share).where(F.col("quantity") > TOLERANCE).select(*keys, "lot_id", F.date_from_unix_date("day").alias("date"), "kind", "event_id", "quantity")
+    held = stretches(placed, entry, fefo_order()).select(*entry, F.struct("lot_id").alias("a_"), "from_", "to_")
+    lost = stretches(rows.where("kind in ('consumed', 'expired', 'wasted')"), entry, [F.col("step"), F.col("event_id")]).select(*entry, F.struct("day", "kind", "event_id").alias("b_"), "from_", "to_")
+    return overlaps(held, lost, entry).select(*keys, "a_.lot_id", F.date_from_unix_date("b_.day").alias("date"), "b_.kind", "b_.event_id", "quantity")
 
 
 def outcomes(placed: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
