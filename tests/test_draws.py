@@ -42,3 +42,16 @@ def test_orders_that_cannot_be_used(spark):
     orders = [("s", "i", D(2026, 1, 1), D(2026, 1, 4)), ("s", "i", D(2026, 1, 5), D(2026, 1, 4)), ("s", "i", None, D(2026, 1, 4)), ("s", "i", D(2026, 1, 1), D(2030, 1, 1))]
     seen, away = DR.observed_lead_times(spark.createDataFrame(orders, "supplier_id string, ingredient_id string, order_date date, arrival_date date"), F.lit(D(2026, 6, 1)))
     assert [r.lead for r in seen.collect()] == [3] and sorted(r.issue for r in away.collect()) == ["DATES_MISSING", "LEAD_TIME_NEGATIVE"]
+
+
+def test_counted_observations_and_lines_copied_last(spark):
+    """Observations with their numbers, and each line drawn in several worlds, give what rows written out give; the lines are joined once."""
+    seen = [("s", "i", d) for d in (5, 1, 3, 3, 3)] + [("t", "i", 7)]
+    counted = spark.createDataFrame([("s", "i", 5, 1), ("s", "i", 1, 1), ("s", "i", 3, 3), ("t", "i", 7, 1)], SEEN + ", n int")
+    lines = [(k, who, "i", D(2026, 1, 1), None, 0.1 * k) for k, who in enumerate("sstx")]
+    plain = spark.createDataFrame(lines, LINES)
+    copies = [(r, w) for r in lines for w in range(3)]
+    want, _ = DR.realise_supply(spark.createDataFrame([(*r[:5], (r[5] + 0.3 * w) % 1, w) for r, w in copies], LINES + ", scenario_id long"), spark.createDataFrame(seen, SEEN), F.col("u"), 3)
+    got, without = DR.realise_supply(plain, counted, lambda w: (F.col("u") + 0.3 * w) % 1, 3, count="n", asked=plain, worlds=range(3), dealt=["supplier_id"])
+    of = lambda df: sorted((r.line, r.scenario_id, r.source, r.n_observed, r.lead, r.arrival_date) for r in df.collect())
+    assert of(got) == of(want) and len(of(got)) == len(copies) and without.count() == 0
