@@ -13,21 +13,26 @@ from tidegrain.functions import text as T
 from .checks import failed, repeated_keys
 
 
-def adapt_sales(raw: DataFrame, default_store: str = "ALL") -> DataFrame:
+def adapt_sales(raw: DataFrame, default_store: str = "ALL", columns: tuple[str, ...] | None = None, hashed: bool = True) -> DataFrame:
     """Typed sales from text columns, with the store defaulted and the product id hashed where it is missing.
 
-    The typed columns come out of a generator, so that a filter on them does not read the texts again.
+    The typed columns come out of a generator, so that a filter on them does not read the texts again; a generator makes all its columns,
+    so ``columns`` names those that are read (default: all). Without ``hashed``, product_key is the name itself, for what asks only
+    whether there is one.
     """
-    typed = F.struct(
+    product = T.clean(F.col("product_text"))
+    typed = [
         T.parse_date(F.col("date_text")).alias("date"),
         F.coalesce(T.clean(F.col("store_text")), F.lit(default_store)).alias("store_key"),
-        F.when(T.clean(F.col("product_text")).isNotNull(), T.stable_id("PRODUCT", F.col("product_text"))).alias("product_key"),
+        (F.when(product.isNotNull(), T.stable_id("PRODUCT", F.col("product_text"))) if hashed else product).alias("product_key"),
         T.parse_number(F.col("quantity_text")).alias("quantity_sold"),
         F.col("revenue").alias("revenue"),
         T.parse_boolean(F.col("stockout_text")).alias("is_stockout"),
         T.normalize_unit(F.col("unit_text"), T.IMPORT_UNITS).alias("unit"),
-    )
-    return raw.select("row_id", F.inline(F.array(typed)))
+    ]
+    names = ("date", "store_key", "product_key", "quantity_sold", "revenue", "is_stockout", "unit")
+    chosen = [c for name, c in zip(names, typed, strict=True) if columns is None or name in columns]
+    return raw.select("row_id", F.inline(F.array(F.struct(*chosen))))
 
 
 def fatal_rules() -> dict[str, Column]:

@@ -29,6 +29,11 @@ def adapted(spark, sf):
     return clean.adapt_sales(raw_sales(spark, sf))
 
 
+def judged(spark, sf):
+    """What the fatal rules read, and no more."""
+    return clean.adapt_sales(raw_sales(spark, sf), columns=("date", "product_key", "quantity_sold"), hashed=False)
+
+
 @query(
     "clean_sales",
     "valid",
@@ -41,7 +46,7 @@ def clean_sales(spark, sf):
 
 @query("null_reason_counts", "adapted", "SELECT count(*) FILTER (date IS NULL) AS null_date, count(*) FILTER (product_key IS NULL) AS null_product, count(*) FILTER (quantity_sold IS NULL) AS null_quantity, count(*) FILTER (quantity_sold < 0) AS negative_quantity FROM adapted")
 def null_reason_counts(spark, sf):
-    return checks.counts_of(adapted(spark, sf), clean.fatal_rules())
+    return checks.counts_of(judged(spark, sf), clean.fatal_rules())
 
 
 part(
@@ -131,7 +136,7 @@ def repeated_headers(spark, sf):
   CASE WHEN quantity_sold IS NULL THEN 'null_quantity' END, CASE WHEN quantity_sold < 0 THEN 'negative_quantity' END], lambda x: x IS NOT NULL)) AS issue FROM adapted) GROUP BY 1""",
 )
 def quarantine_split(spark, sf):
-    _, away = clean.quarantine(adapted(spark, sf), clean.fatal_rules())
+    _, away = clean.quarantine(judged(spark, sf), clean.fatal_rules())
     return away.select("row_id", F.explode("issues").alias("issue")).groupBy("issue").agg(F.count("*").alias("n"), F.min("row_id").alias("first_row"))
 
 
@@ -142,7 +147,7 @@ def quarantine_split(spark, sf):
 )
 def row_lineage(spark, sf):
     used = F.filter(F.array(F.lit("date_text"), F.when(F.col("product_key").isNotNull(), F.lit("product_text")), F.when(F.col("quantity_sold").isNotNull(), F.lit("quantity_text"))), lambda x: x.isNotNull())
-    return adapted(spark, sf).where("date IS NOT NULL").select("row_id", F.lit("raw_sales").alias("container"), F.array_join(used, ",").alias("used"))
+    return judged(spark, sf).where("date IS NOT NULL").select("row_id", F.lit("raw_sales").alias("container"), F.array_join(used, ",").alias("used"))
 
 
 @query(
