@@ -12,8 +12,10 @@ Cue words spare the classifier what the comparison could not confirm: they are c
 part more than 1 - ``CONFIRM`` of the pairs hold one; a window without a cue word thus cannot hold ``CONFIRM`` of any, and no finding is
 lost to them.
 
-The training set is bounded: the templates with their parts, the counter-examples, and at most ``BACKGROUND`` windows of
-``BACKGROUND_DOCS`` documents of smallest id hash, half of which set the levels. All work is DataFrame expressions and Spark's own JVM learner.
+The training set is the templates with their parts, the counter-examples, and every distinct window with a cue word of all documents
+that is unlike every template: no other window is ever classified. However many these are, they weigh ``BACKGROUND`` in all at most.
+For the levels, each half of them (by hash) is scored by a model that learned from the other half; a level is the least step of
+1 / ``STEPS`` that at most ``FALSE_RATE`` of all of them exceed. All work is DataFrame expressions and Spark's own JVM learner.
 
 Defined results: a null or empty text has no findings; very long texts and lines are scanned whole; repeated rows get equal results
 (a paragraph found in several rows of an id counts once); an empty table gives an empty table; other columns are not read.
@@ -31,12 +33,13 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .batches import cut, least_by_hash, table
+from .batches import cut, table
 
 UNKNOWN = "unknown"
 FEATURES = 1 << 13
 WIDTHS = (8, 16, 48)  # words of a window; each width moves by half of itself
-BACKGROUND_DOCS, BACKGROUND = 2_000, 4_000
+BACKGROUND = 2_000  # weight of all background windows together
+STEPS = 1_000_000
 FALSE_RATE = 0.001
 CONFIRM = 0.6
 PART = 16  # words
@@ -157,39 +160,52 @@ class Scanner:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Scanner:
-    spark = docs.sparkSession
+    return train_on(cued_windows(docs, id_col, text_col))
+
+
+def train_on(cued: DataFrame) -> Scanner:
+    """A scanner from all windows of ``cued_windows``."""
+    spark = cued.sparkSession
     families = [UNKNOWN, *TEMPLATES]
-    ids = least_by_hash(docs.select(docs[id_col].alias("id_")), "id_", BACKGROUND_DOCS)
-    chosen = docs.select(docs[id_col].alias("id_"), docs[text_col].alias("text_")).join(F.broadcast(ids), "id_")  # BACKGROUND_DOCS ids at most
-    lines = chosen.select(F.explode(F.split(F.coalesce("text_", F.lit("")), "\n")).alias("line")).where(F.col("line").rlike(r"[^\s]{3}"))
-    cut_lines = lines.select(F.explode(windows(F.col("line"))).alias("window")).distinct().withColumn("cued", F.col("window").rlike(CUES))
-    # Of what is scanned, windows with a cue, all that are found are taken, and as many others; those like a template are no background.
-    each = Window.partitionBy("cued").orderBy(F.xxhash64("window"), "window")
-    some = cut(cut_lines.withColumn("r", F.row_number().over(each)).where(F.col("r") <= BACKGROUND // 2).select("window", "cued"))
+    every = cut(cued.select("window").distinct())
     known = templates(spark).unionByName(template_parts(spark)).select(grams(F.col("text"), 2).alias("template"))
-    pairs = some.where("cued").withColumn("pairs", grams(F.col("window"), 2)).crossJoin(F.broadcast(known))  # BACKGROUND windows and the templates: constants
+    pairs = every.withColumn("pairs", grams(F.col("window"), 2)).crossJoin(F.broadcast(known))  # the templates: a constant
     like = pairs.where(F.size(F.array_intersect("pairs", "template")) >= UNLIKE * F.size("template")).select("window").distinct()
-    ordinary = cut(some.join(like, "window", "left_anti").withColumn("part", F.pmod(F.xxhash64("window", F.lit(1)), F.lit(2))))
+    ordinary = cut(every.join(like, "window", "left_anti").withColumn("part", F.pmod(F.xxhash64("window", F.lit(1)), F.lit(2))))
     words = F.split("text", " ")
     # Each template whole, and its parts without up to a third of the words at either end.
     parts = F.array_distinct(F.transform(F.sequence(F.lit(0), F.floor(F.size(words) / 3).cast("int")), lambda k: F.array_join(F.slice(words, k + 1, F.size(words)), " ")))
     heads = F.array_distinct(F.transform(F.sequence(F.lit(0), F.floor(F.size(words) / 3).cast("int")), lambda k: F.array_join(F.slice(words, F.lit(1), F.size(words) - k), " ")))
     positive = templates(spark).select("family", F.explode(F.array_distinct(F.concat(F.array("text"), parts, heads))).alias("window"))
-    negative = _table_of(spark, [(UNKNOWN, t) for t in COUNTER]).select("family", F.col("text").alias("window")).unionByName(ordinary.where("part = 0").select(F.lit(UNKNOWN).alias("family"), "window"))
+    fixed = positive.unionByName(_table_of(spark, [(UNKNOWN, t) for t in COUNTER]).select("family", F.col("text").alias("window"))).withColumn("part", F.lit(None).cast("long"))
     number = reduce(lambda c, i: c.when(F.col("family") == families[i], float(i)), range(1, len(families)), F.when(F.col("family") == UNKNOWN, 0.0))
-    rows = positive.unionByName(negative).withColumn("label", number).withColumn("grams_", grams(F.col("window"), 1, 2, 3))
-    counted = cut(HashingTF(numFeatures=FEATURES, binary=True, inputCol="grams_", outputCol="features").transform(rows).select("label", "features"))
-    model = LogisticRegression(maxIter=25, regParam=0.002, family="multinomial", tol=1e-4).fit(counted.coalesce(2))
-    scanner = Scanner(spark, model, families)
-    # The other half of the ordinary windows gives each family the level that only FALSE_RATE of them exceed.
-    tested = scanner.probabilities(ordinary.where("part = 1"))
-    reached = tested.agg(*[F.percentile(F.col("p_")[i], F.lit(1 - FALSE_RATE)).alias(f"p{i}") for i in range(len(families))]).first()
-    scanner.levels = [max(0.5, p or 0.0) for p in reached]
+    rows = fixed.unionByName(ordinary.select(F.lit(UNKNOWN).alias("family"), "window", "part")).withColumn("label", number).withColumn("grams_", grams(F.col("window"), 1, 2, 3))
+    counted = cut(HashingTF(numFeatures=FEATURES, binary=True, inputCol="grams_", outputCol="features").transform(rows).select("label", "features", "part"))
+    sizes = {r.part: r.n for r in ordinary.groupBy("part").agg(F.count("*").alias("n")).collect()}  # two numbers
+
+    def fitted(used: Column, n: int) -> LogisticRegressionModel:
+        weight = F.when(F.col("part").isNull(), 1.0).otherwise(min(1.0, BACKGROUND / max(n, 1)))
+        return LogisticRegression(maxIter=25, regParam=0.002, family="multinomial", tol=1e-4, weightCol="weight").fit(counted.where(F.col("part").isNull() | used).withColumn("weight", weight))
+
+    n = sum(sizes.values())
+    scanner = Scanner(spark, fitted(F.lit(True), n), families)
+    # Windows above a half for one family are all that a level depends on; they are counted by steps, which bounds what the driver reads.
+    step = F.floor(F.col("p_")[F.col("i")] * STEPS)
+    seen = []
+    for part in sizes:
+        other = Scanner(spark, fitted(F.col("part") != part, n - sizes[part]), families)
+        scored = other.probabilities(ordinary.where(F.col("part") == part)).select("p_", F.explode(F.sequence(F.lit(0), F.lit(len(families) - 1))).alias("i"))
+        seen.append(scored.where(F.col("p_")[F.col("i")] > 0.5).select("i", step.alias("step")))
+    if seen:
+        above = F.sum("n").over(Window.partitionBy("i").orderBy(F.col("step").desc()).rowsBetween(Window.unboundedPreceding, 0))
+        over = reduce(DataFrame.unionByName, seen).groupBy("i", "step").agg(F.count("*").alias("n")).withColumn("above", above).where(F.col("above") > FALSE_RATE * n)
+        for r in over.groupBy("i").agg(F.max("step").alias("step")).collect():  # a row a family at most
+            scanner.levels[r.i] = max(0.5, (r.step + 1) / STEPS)
     return scanner
 
 
-def scan(df: DataFrame, scanner: Scanner, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, paragraph (number from 0 of the line, or of the first line of the joined ones), family, probability, similarity: confirmed findings."""
+def cued_windows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id_, block, paragraph, tier (1: a line, 2: joined lines), window: the windows with a cue word of all texts."""
     blocks = F.split(df[text_col], BREAK)
     cued = df.where(df[text_col].rlike(CUES)).select(df[id_col].alias("id_"), blocks.alias("blocks"), F.posexplode(blocks).alias("block", "body")).where(F.col("body").rlike(CUES))
     before = F.size(F.split(F.array_join(F.slice("blocks", F.lit(1), F.col("block")), "\n\n"), "\n")) + 1  # lines: a break has two line ends
@@ -198,10 +214,19 @@ def scan(df: DataFrame, scanner: Scanner, id_col: str = "doc_id", text_col: str
     joined = F.array(F.struct(F.col("at").alias("paragraph"), F.col("body").alias("text"), F.lit(2).alias("tier")))
     cutted = cued.select("id_", "block", F.inline(F.concat(lines, joined))).where(F.col("text").rlike(CUES)).select("id_", "block", "paragraph", "tier", F.split(F.trim("text"), r"\s+").alias("words"))
     cutted = cutted.select("id_", "block", "paragraph", "tier", F.explode(windows_of(F.col("words"))).alias("window"))
-    cutted = cutted.where(F.col("window").rlike(CUES))
+    return cutted.where(F.col("window").rlike(CUES))
+
+
+def scan(df: DataFrame, scanner: Scanner, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, paragraph (number from 0 of the line, or of the first line of the joined ones), family, probability, similarity: confirmed findings."""
+    return confirmed(cued_windows(df, id_col, text_col), scanner, id_col)
+
+
+def confirmed(cutted: DataFrame, scanner: Scanner, id_col: str = "doc_id") -> DataFrame:
+    """The findings of ``scan`` in the windows of ``cued_windows``."""
     kin = lambda c: F.regexp_replace(F.regexp_replace(c, "^CC-BY.*$", "CC-BY"), "^[AL]?GPL.*$", "GPL")
     found = scanner.classify(cutted).where(F.col("family") != UNKNOWN).withColumnRenamed("family", "said").withColumn("kin", kin("said"))
-    spark = df.sparkSession
+    spark = cutted.sparkSession
     known = templates(spark).withColumn("part", F.lit(0)).unionByName(template_parts(spark).withColumn("part", F.lit(1))).select("family", kin("family").alias("kin"), "part", grams(F.col("text"), 2).alias("template"))
     met = found.withColumn("pairs", grams(F.col("window"), 2)).join(F.broadcast(known), "kin")  # TEMPLATES: a constant
     met = met.withColumn("similarity", F.size(F.array_intersect("pairs", "template")) / F.greatest(F.size("template"), F.lit(1)))
@@ -216,6 +241,7 @@ def scan(df: DataFrame, scanner: Scanner, id_col: str = "doc_id", text_col: str
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = scan(docs, train(docs)).groupBy(F.col("doc_id").alias("d_")).agg(F.count("*").alias("n_found"), F.array_join(F.array_sort(F.collect_set("family")), ",").alias("families"))
+    cued = cut(cued_windows(docs))
+    found = confirmed(cued, train_on(cued)).groupBy(F.col("doc_id").alias("d_")).agg(F.count("*").alias("n_found"), F.array_join(F.array_sort(F.collect_set("family")), ",").alias("families"))
     rows = docs.select("doc_id").join(found, docs["doc_id"].eqNullSafe(F.col("d_")), "left")
     return rows.select("doc_id", F.coalesce("n_found", F.lit(0)).cast("long").alias("n_found"), F.coalesce("families", F.lit("")).alias("families"))
