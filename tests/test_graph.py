@@ -53,3 +53,33 @@ def test_steps_from_seeds(spark):
     seeds = spark.createDataFrame([("0",), ("0",), ("7",)], "node_id string")
     depths = lambda k: {r.node_id: r.depth for r in G.reach(found, seeds, k).collect()}
     assert depths(0) == {"0": 0, "7": 0} and depths(2) == {"0": 0, "7": 0, "1": 1, "2": 1, "3": 2} and depths(50) == {**depths(2), "4": 3, "5": 4, "6": 5}
+
+
+def test_all_ways_to_meet_give_the_same(spark, monkeypatch):
+    """Where no end has few items, all specs meet in one shuffle."""
+    rows = items(5)
+    df = spark.createDataFrame(rows, ITEMS)
+    monkeypatch.setattr(G, "FEW", 0)
+    monkeypatch.setattr(G, "SPECS", G.SPECS[:8])
+    got = G.edges(df, "R", G.SPECS).where("edge_type <> 'HAS_EVIDENCE'").collect()
+    assert {(e.source_node_id, e.target_node_id, e.edge_type) for e in got} == {e for e in by_hand(rows) if e[2] != "HAS_EVIDENCE"}
+
+
+def test_items_are_read_a_bounded_number_of_times_and_edges_not_sorted_out_again(spark):
+    """However many specs there are, the kept items are read by a few scans, and edges that cannot come again are not shuffled."""
+    rows = [(f"w{i}", "M", "lot_waste", {"store_id": "S", "ingredient_id": "a"}, f"t{i}", None) for i in range(50)] + [(f"k{s}", "M", "inventory_key_summary", {"strategy": s, "store_id": "S", "ingredient_id": "a"}, s, None) for s in "xy"]
+    found = G.edges(spark.createDataFrame(rows, ITEMS), "R")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.count() == 52 + 100
+    assert plan.count("Relation [") <= 7 and "Aggregate" not in plan
+
+
+def test_an_id_that_items_share_is_one_node(spark):
+    rows = [("a", "M", "lot_waste", {"store_id": "S", "ingredient_id": i}, f"t{i}", None) for i in "uvv"] + [(f"k{i}", "M", "inventory_key_summary", {"strategy": "x", "store_id": "S", "ingredient_id": i}, i, None) for i in "uvw"]
+    df = spark.createDataFrame(rows, ITEMS)
+    got = [tuple(e)[1:] for e in G.edges(df, "R", shared_ids=True).collect()]
+    want = {("request:R", f"node:{x}", "HAS_EVIDENCE") for x in ("a", "ku", "kv", "kw")} | {("node:a", f"node:k{i}", "WASTED_AS") for i in "uv"}
+    assert set(got) == want and len(got) == len(want)
+    assert G.nodes(df, "R", shared_ids=True).count() == 6
+    with pytest.raises(DataRefused, match="EVIDENCE_ID_COLLISION"):
+        G.edges(df, "R")
