@@ -83,3 +83,12 @@ def test_an_id_that_items_share_is_one_node(spark):
     assert G.nodes(df, "R", shared_ids=True).count() == 6
     with pytest.raises(DataRefused, match="EVIDENCE_ID_COLLISION"):
         G.edges(df, "R")
+
+
+def test_many_nodes_of_a_step_meet_by_shuffle(spark, monkeypatch):
+    """Steps from many nodes, those with very many edges apart."""
+    monkeypatch.setattr(G, "FEW", 0)
+    monkeypatch.setattr(G, "HOT", 2)
+    found = spark.createDataFrame([("hub", f"n{i}") for i in range(9)] + [("n1", "m"), ("m", "z"), ("hub", "hub")], "source_node_id string, target_node_id string")
+    depths = {r.node_id: r.depth for r in G.reach(found, spark.createDataFrame([("n3",)], "node_id string"), 4).collect()}
+    assert depths == {"n3": 0, "hub": 1, **{f"n{i}": 2 for i in range(9) if i != 3}, "m": 3, "z": 4}

@@ -89,6 +89,7 @@ SPECS = (
 
 
 FEW = 20_000  # rows that may go to every task
+HOT = 100_000  # edges at one node that are not left to one task
 
 
 def few(df: DataFrame, n: int) -> DataFrame:
@@ -200,15 +201,29 @@ def edges(items: DataFrame, request_id: str, specs: tuple[Spec, ...] = SPECS, sh
 
 
 def reach(found: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
-    """node_id, depth: what lies within ``depth`` undirected steps of the seeds (node_id), with the fewest steps. Each step goes out from
-    the nodes of the last one alone, and what was met before is left out."""
-    both = keep(found.select("source_node_id", "target_node_id").unionByName(found.select(F.col("target_node_id").alias("source_node_id"), F.col("source_node_id").alias("target_node_id"))).distinct())
-    front = keep(seeds.select("node_id").distinct())
-    met = front.withColumn("depth", F.lit(0))
+    """node_id, depth: what lies within ``depth`` undirected steps of the seeds (node_id), with the fewest steps.
+
+    Each step goes out from the nodes of the last one alone; what it comes to was met in the last two steps or never. Few nodes are sent
+    to every task; many are joined by shuffle, those with very many edges apart.
+    """
+    pair = lambda a, b: F.struct(F.col(a).alias("from_"), F.col(b).alias("node_id"))
+    both = keep_table(found.select("source_node_id", "target_node_id")).select(F.inline(F.array(pair("source_node_id", "target_node_id"), pair("target_node_id", "source_node_id"))))
+    fronts, hot = [keep_table(seeds.select("node_id").distinct())], None
     for step in range(1, depth + 1):
-        after = both.join(front, both["source_node_id"] == front["node_id"]).select(F.col("target_node_id").alias("node_id")).distinct()
-        front = keep(after.join(met.select("node_id"), "node_id", "left_anti"))
-        if front.isEmpty():
+        front, n = fronts[-1].select(F.col("node_id").alias("from_")), fronts[-1].count()
+        if not n:
             break
-        met = keep(met.unionByName(front.withColumn("depth", F.lit(step))))
-    return met
+        if n <= FEW:
+            after = both.join(F.broadcast(front), "from_")
+        else:
+            far, front = (x.withColumn("h_", F.xxhash64("from_")) for x in (both, front))
+            hot = keep(far.groupBy("h_").count().where(F.col("count") > HOT).select("h_")) if hot is None else hot
+            n_hot = hot.count()
+            cold = far.join(few(hot, n_hot), "h_", "left_anti").join(front.drop("h_"), "from_") if n_hot else far.join(front.drop("h_"), "from_")
+            after = cold.select("node_id")
+            if n_hot:
+                near = front.join(few(hot, n_hot), "h_", "left_semi").drop("h_")
+                after = after.unionByName(far.join(few(hot, n_hot), "h_", "left_semi").join(few(near, n_hot), "from_").select("node_id"))
+        met = union_all(fronts[-2:])
+        fronts.append(keep_table(after.select("node_id").distinct().join(met, "node_id", "left_anti")))
+    return union_all([f.withColumn("depth", F.lit(k)) for k, f in enumerate(fronts)])
