@@ -124,3 +124,12 @@ def test_bounds_of_nothing(spark):
     assert bounds.count() == 0 and U.prefix_bounds(bounds, KEYS).count() == 0
     _, _, bounds = frames(spark, [(1, "S", "a", START, None), (1, "S", "a", START + dt.timedelta(1), 3.0)], [], [], [])
     assert {(r.shortfall, r.reason) for r in bounds.where("required is not null").collect()} == {(3.0, U.NO_USABLE_LOT)}
+
+
+def test_stock_is_read_once_for_each_input(spark):
+    """The sweep has one scan of the needs and one of each kind of supply, and adds up before the one shuffle of changes."""
+    needs, initial, inbound, offers = case(1)
+    opened = U.open_offers(spark.createDataFrame(offers, OFFERS), F.lit(START))
+    swept = U.usable_supply(spark.createDataFrame(needs, NEEDS), spark.createDataFrame(initial, STOCK), spark.createDataFrame(inbound, INBOUND), opened, KEYS)
+    plan = swept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 4

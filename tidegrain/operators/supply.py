@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .checks import failed
+from .checks import failed, union_all
 
 
 def add_working_days(start: Column, lead: Column, working: Column, holidays: Column, most: int = 60) -> Column:
@@ -64,13 +64,18 @@ def plan_violations(plan: DataFrame, offers: DataFrame) -> DataFrame:
 BEFORE_FIRST_ARRIVAL, NO_USABLE_LOT, CUMULATIVE, EXPIRY_REQUIRED = "DEMAND_BEFORE_FIRST_ARRIVAL", "NO_USABLE_LOT", "CUMULATIVE_DEMAND_BEFORE_FIRST_ARRIVAL", "SUPPLIER_EXPIRY_REQUIRED"
 
 
+def is_open(decision: Column) -> Column:
+    """Whether an offer may still be ordered, and arrives."""
+    ok = F.coalesce("available", F.lit(False)) & (F.col("order_date") >= decision) & F.coalesce(F.col("order_date") <= F.col("order_cutoff_date"), F.lit(True))
+    return F.coalesce(ok & F.col("arrival_date").isNotNull(), F.lit(False))
+
+
 def open_offers(offers: DataFrame, decision: Column, unknown_expiry: str = "reject") -> DataFrame:
     """Offers that may still be ordered, with expiry_date and blocked (no shelf life where that must be known: they arrive, but supply nothing).
 
     offers: offer_id, available, order_date, order_cutoff_date, arrival_date, shelf_life_days, maximum_order_quantity (null: no limit).
     """
-    ok = F.coalesce("available", F.lit(False)) & (F.col("order_date") >= decision) & F.coalesce(F.col("order_date") <= F.col("order_cutoff_date"), F.lit(True))
-    rows = offers.where(ok & F.col("arrival_date").isNotNull())
+    rows = offers.where(is_open(decision))
     return rows.withColumn("expiry_date", F.date_add("arrival_date", F.col("shelf_life_days").cast("int"))).withColumn("blocked", F.col("shelf_life_days").isNull() & F.lit(unknown_expiry == "reject"))
 
 
@@ -80,53 +85,68 @@ def blocked_offers(opened: DataFrame, needs: DataFrame, keys: list[str]) -> Data
     return opened.where("blocked").join(last, keys).where("arrival_date <= last_").select(*keys, "offer_id", "arrival_date", F.lit(EXPIRY_REQUIRED).alias("reason"))
 
 
-def usable_supply(needs: DataFrame, initial: DataFrame, inbound: DataFrame, opened: DataFrame, keys: list[str], expiry_inclusive: bool = True) -> DataFrame:
-    """Per key and day of ``needs``: usable (upper bound of what could serve the day), unlimited (offers without a limit), received
-    (initial stock and inbound so far, whatever its expiry), earliest_arrival, next_arrival and last_expiry of the offers.
+START = "0001-01-01"  # the day on which what is on hand counts as received
 
-    A sweep: supply comes on the day it arrives and goes after its last day. Changes are added up by key and day before the one window
-    of a key, which has as many rows as there are days, however many lots and offers there are. What is consumed is left out on
-    purpose, so that the bound is never too low.
+
+def supply_row(arrival: Column, expiry: Column, quantity: Column, firm: bool, blocked: Column, price: Column) -> Column:
+    """A lot, a delivery or an offer: offers are not firm, and without a limit if their quantity is null."""
+    return F.struct(arrival.cast("date").alias("arrival_date"), expiry.cast("date").alias("expiry_date"), quantity.cast("double").alias("quantity"), F.lit(firm).alias("firm"), blocked.alias("blocked"), price.cast("double").alias("price_per_unit"))
+
+
+def stock_of(initial: DataFrame, inbound: DataFrame, opened: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and the fields of ``supply_row``: all that is on hand, comes or is offered."""
+    expiry, no, none = F.col("expiry_date"), F.lit(False), F.lit(None)
+    price = F.col("price_per_unit") if "price_per_unit" in opened.columns else none
+    rows = [
+        (initial, supply_row(F.lit(START), expiry, F.col("quantity"), True, no, none)),
+        (inbound, supply_row(F.col("arrival_date"), expiry, F.col("quantity"), True, no, none)),
+        (opened, supply_row(F.col("arrival_date"), expiry, F.col("maximum_order_quantity"), False, F.col("blocked"), price)),
+    ]
+    return union_all([df.select(*keys, row.alias("s_")).select(*keys, "s_.*") for df, row in rows])
+
+
+def daily_changes(needs: DataFrame, stock: DataFrame, keys: list[str], expiry_inclusive: bool = True) -> DataFrame:
+    """Per key and day: q (usable quantity that comes less what goes), n (offers without a limit, likewise), r (received), a, e and p (first
+    arrival, last expiry and least price of offers that arrive), asked (whether ``needs`` has it). Stock is read once and added up where it lies.
     """
-    zero, none = F.lit(0.0), F.lit(None).cast("date")
-    first = F.lit("0001-01-01").cast("date")
+    zero, no_day = F.lit(0.0), F.lit(None).cast("date")
+    arrival, expiry, quantity, firm, offer = F.col("arrival_date"), F.col("expiry_date"), F.col("quantity"), F.col("firm"), ~F.col("firm")
     gone = F.date_add("expiry_date", 1 if expiry_inclusive else 0)
-    offered = opened.where(~F.col("blocked"))
-    limited, unlimited = offered.where("maximum_order_quantity is not null"), offered.where("maximum_order_quantity is null")
-    row = lambda day, q=zero, n=zero, r=zero, a=none, e=none, asked=False: [
-        *keys, day.alias("date"), q.cast("double").alias("q"), n.alias("n"), r.cast("double").alias("r"), a.alias("a"), e.alias("e"), F.lit(asked).alias("asked"),
-    ]
-    stays = lambda day: gone > day  # noqa: E731 # what expires before it comes never counts
-    ends = lambda df, day: df.where(F.col("expiry_date").isNotNull() & stays(day))
-    comes = lambda df, day: df.where(F.col("expiry_date").isNull() | stays(day))
-    quantity, limit, arrival = F.col("quantity"), F.col("maximum_order_quantity"), F.col("arrival_date")
-    changes = [
-        needs.select(*row(F.col("date"), asked=True)),
-        initial.select(*row(first, quantity, r=quantity)),
-        ends(initial, first).select(*row(gone, -quantity)),
-        inbound.select(*row(arrival, r=quantity)),
-        comes(inbound, arrival).select(*row(arrival, quantity)),
-        ends(inbound, arrival).select(*row(gone, -quantity)),
-        opened.select(*row(arrival, a=arrival, e=F.col("expiry_date"))),
-        comes(limited, arrival).select(*row(arrival, limit)),
-        ends(limited, arrival).select(*row(gone, -limit)),
-        comes(unlimited, arrival).select(*row(arrival, n=F.lit(1.0))),
-        ends(unlimited, arrival).select(*row(gone, n=F.lit(-1.0))),
-    ]
-    every = changes[0]
-    for rows in changes[1:]:
-        every = every.unionByName(rows)
-    daily = every.groupBy(*keys, "date").agg(*[F.sum(c).alias(c) for c in "qnr"], F.min("a").alias("a"), F.max("e").alias("e"), F.max("asked").alias("asked"))
+    limited, counts = firm | quantity.isNotNull(), ~F.col("blocked")
+    stays = counts & F.coalesce(expiry.isNull() | (gone > arrival), F.lit(False))  # what expires before it comes never counts
+    row = lambda day, q=zero, n=zero, r=zero, a=no_day, e=no_day, p=F.lit(None), asked=False: F.struct(
+        day.alias("date"), q.cast("double").alias("q"), n.alias("n"), r.cast("double").alias("r"), a.alias("a"), e.alias("e"), p.cast("double").alias("p"), F.lit(asked).alias("asked")
+    )
+    comes = row(arrival, F.when(stays & limited, quantity).otherwise(0.0), F.when(stays & ~limited, 1.0).otherwise(0.0), F.when(firm, quantity).otherwise(0.0), F.when(offer, arrival), F.when(offer, expiry), F.when(offer, F.col("price_per_unit")))
+    goes = F.when(stays & expiry.isNotNull(), row(gone, F.when(limited, -quantity).otherwise(0.0), F.when(~limited, -1.0).otherwise(0.0)))
+    changes = stock.select(*keys, F.inline(F.array(comes, goes))).where("asked IS NOT NULL")
+    every = changes.unionByName(needs.select(*keys, row(F.col("date"), asked=True).alias("s_")).select(*keys, "s_.*"))
+    return every.groupBy(*keys, "date").agg(*[F.sum(c).alias(c) for c in "qnr"], F.min("a").alias("a"), F.max("e").alias("e"), F.min("p").alias("p"), F.max("asked").alias("asked"))
+
+
+def sweep(daily: DataFrame, keys: list[str]) -> DataFrame:
+    """The running sums of ``daily_changes`` on the days that are asked for: see ``usable_supply``."""
     key = Window.partitionBy(*keys)
     so_far = key.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     later = key.orderBy("date").rowsBetween(1, Window.unboundedFollowing)
     swept = daily.select(
-        *keys, "date", "asked", F.greatest(F.sum("q").over(so_far), zero).alias("usable"), F.sum("n").over(so_far).cast("long").alias("unlimited"), F.sum("r").over(so_far).alias("received"),
+        *keys, "date", "asked", F.greatest(F.sum("q").over(so_far), F.lit(0.0)).alias("usable"), F.sum("n").over(so_far).cast("long").alias("unlimited"), F.sum("r").over(so_far).alias("received"),
         F.min("a").over(key).alias("earliest_arrival"), F.min("a").over(later).alias("next_arrival"), F.max("e").over(key).alias("last_expiry"),
     )
     return swept.where("asked").drop("asked")
 
 
+def usable_supply(needs: DataFrame, initial: DataFrame, inbound: DataFrame, opened: DataFrame, keys: list[str], expiry_inclusive: bool = True) -> DataFrame:
+    """Per key and day of ``needs``: usable (upper bound of what could serve the day), unlimited (offers without a limit), received
+    (initial stock and inbound so far, whatever its expiry), earliest_arrival, next_arrival and last_expiry of the offers.
+
+    A sweep: supply comes on the day it arrives and goes after its last day. Changes are added up by key and day before the one window
+    of a key, which has as many rows as there are days, however many lots and offers there are. What is consumed is left out on
+    purpose, so that the bound is never too low.
+    """
+    return sweep(daily_changes(needs, stock_of(initial, inbound, opened, keys), keys, expiry_inclusive), keys)
+
+
 def supply_bounds(needs: DataFrame, swept: DataFrame, keys: list[str], world: str = "scenario_id", tolerance: float = 1e-6) -> DataFrame:
     """Per world, key and day: required, usable, shortfall (a sound lower bound) and reason (null where nothing is short).
 
